@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.shared import WordHashes, connected_components, materialize, shingle_set
+from weekloom.llm.shared import WordHashes, connected_components, materialize, mix, shingle_set
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 12
+FILTER_BITS = 1 << 24
+#: Lists of at most so many groups are compared in whole at once; longer ones through a pivot first.
+SHORT = 16
 
 
 def _hash_ids(values: np.ndarray) -> pa.Array:
@@ -82,13 +85,57 @@ def _prefixes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return texts.select("id", "_text").mapInArrow(prefix, "id long, n long, high long, low long, prefix array<long>, common double")
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over ``ids(id)``, with two bits an id: as large for any input."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, dtype=bool)
+        for batch in batches:
+            for at in _bits(batch.column(0).to_numpy()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["k", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        all_bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for x in table.column("bits").to_pylist():
+            all_bits |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"k": pa.array([0], pa.int32()), "bits": pa.array([all_bits.tobytes()], pa.binary())})
+
+    found = ids.mapInArrow(mark, "k int, bits binary").groupBy("k").applyInArrow(either, "k int, bits binary").collect()
+    return np.unpackbits(np.frombuffer(found[0].bits, np.uint8)).astype(bool) if found else np.zeros(FILTER_BITS, dtype=bool)
+
+
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) % FILTER_BITS
+
+
+def sets_by_id(texts: DataFrame, ids: DataFrame, parts: Callable, to_set: Callable) -> DataFrame:
+    """``id, hashes`` of the parts whose id is in ``ids(id)``, in one scan of ``texts(id, _text)`` without a shuffle.
+
+    ``parts(doc id, text, cache)`` yields (part id, value); ``to_set`` makes a value's set. The filter lets a few other parts through."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(ids)))
+
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, bits = WordHashes(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, k, cache).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
+            found, hashes = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for part, value in parts(doc, text, cache):
+                    one, two = _bits(np.array([part], dtype=np.int64))
+                    if bits[one[0]] and bits[two[0]]:
+                        found.append(part)
+                        hashes.append(to_set(value).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(hashes, pa.binary())], ["id", "hashes"])
+
+    return texts.where("id is not null").select("id", "_text").mapInArrow(to_sets, "id long, hashes binary")
+
 
-    return texts.select("id", "_text").mapInArrow(to_sets, "id long, hashes binary")
+def _sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    def whole(doc: int, text: pa.Scalar, cache: WordHashes) -> Iterator[tuple[int, tuple]]:
+        yield doc, (text, cache)
+
+    return sets_by_id(texts, ids, whole, lambda x: shingle_set(x[0].as_py(), k, x[1]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -151,22 +198,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("id", "n", "leader")
     )
     groups = materialize(groups, "join-groups")
-    of_groups = (
-        postings.join(groups, ["id", "n"])
-        .groupBy("shingle", "n", F.col("leader").alias("id"))
-        .agg(F.min("pos").alias("pos"), F.max("common").alias("common"))
-    )
-    pairs = pairs_with_pivots(of_groups, num, den).unionAll(groups.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))).distinct()
-
-    candidates = texts.join(groups.select("id").distinct(), "id", "left_semi")
-    sets = materialize(_sets(candidates, k).distinct(), "join-sets")
+    by_shingle = Window.partitionBy("shingle")
+    leads = F.when(F.col("id") == F.col("leader"), 1)
+    postings = materialize(postings.join(groups, ["id", "n"]).withColumn("members", F.count(F.lit(1)).over(by_shingle)).withColumn("groups", F.count(leads).over(by_shingle)), "join-grouped")
+    of_groups = postings.groupBy("shingle", "n", F.col("leader").alias("id"), "groups").agg(F.min("pos").alias("pos"), F.max("common").alias("common"))
+    short, long = of_groups.where(F.col("groups") <= SHORT), of_groups.where(F.col("groups") > SHORT)
+    mate = short.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos")])
+    within = short.join(mate, "shingle").where((F.col("p_id") < F.col("id")) & near(num, den)).select(F.col("p_id").alias("a"), F.col("id").alias("b"))
+    expanded = groups.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    pairs = materialize(within.unionAll(pairs_with_pivots(long, num, den)).unionAll(expanded).distinct(), "join-pairs")
+
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    sets = materialize(_sets(texts, ends(pairs), k), "join-sets")
     links = materialize(verified(pairs, sets, num, den), "join-links")
     found = materialize(connected_components(links, "join-first"), "join-found")
 
-    # second pass: what the pivots have left apart
-    by_shingle = Window.partitionBy("shingle")
+    # second pass: what pivots and leaders have left apart
     apart = (
-        postings.join(found.withColumnRenamed("component", "c"), "id", "left")
+        postings.where((F.col("members") > F.col("groups")) | (F.col("groups") > SHORT))
+        .join(found.withColumnRenamed("component", "c"), "id", "left")
         .withColumn("c", F.coalesce("c", "id"))
         .withColumn("least", F.min("c").over(by_shingle))
         .withColumn("most", F.max("c").over(by_shingle))
@@ -176,13 +228,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = materialize(apart, "join-apart")
     mate = apart.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos", "c")])
     rest = apart.join(mate, "shingle").where((F.col("p_c") < F.col("c")) & near(num, den)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets, num, den), "join-more")
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "join-rest")
+    if rest.isEmpty():
+        more = links.limit(0)
+    else:
+        unseen = ends(rest).join(sets.select("id"), "id", "left_anti")
+        further = sets if unseen.isEmpty() else sets.unionAll(materialize(_sets(texts, materialize(unseen, "join-unseen"), k), "join-sets"))
+        more = materialize(verified(rest, further, num, den), "join-more")
     if more.isEmpty():
         components = found
     else:
-        ends = more.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        over = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "join-second")
+        far = more.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        over = connected_components(far.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "join-second")
         over = materialize(over, "join-over")
         raised = found.join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
         components = raised.unionAll(over.join(found, "id", "left_anti"))

@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weekloom.llm.ann import nearest_neighbours
 from weekloom.llm.bpe import bpe_encode
+from weekloom.llm.html_text import extract_main_text
 from weekloom.llm.jaccard_join import jaccard_join
+from weekloom.llm.language import identify_languages
 from weekloom.llm.mixing import MIX_SQL, mix_sources
+from weekloom.llm.secrets import scan_secrets
+from weekloom.llm.substring_dedup import repeated_passages
 from weekloom.llm.topk import topk_inner_product
+from weekloom.llm.toxicity import score_toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BPE_PATTERN = public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +28,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_inner_product(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -30,15 +40,45 @@ def op4_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, with_ids=False)
+    return bpe_encode(_table(spark, sf_dir, "documents"), BPE_RANKS, BPE_PATTERN, with_ids=False)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_ngram_jaccard_join, op4_anisotropic_ann, op6_byte_bpe, op8_mix_sources)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_topk,
+        op2_substring_dedup,
+        op3_ngram_jaccard_join,
+        op4_anisotropic_ann,
+        op5_language_id,
+        op6_byte_bpe,
+        op7_toxicity,
+        op8_mix_sources,
+        op9_html_text,
+        op10_secret_scan,
+    )
+}
 
 _VECTORS = """
 with v as (
