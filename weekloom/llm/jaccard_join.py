@@ -138,23 +138,65 @@ def _sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return sets_by_id(texts, ids, whole, lambda x: shingle_set(x[0].as_py(), k, x[1]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose sets have den * intersection >= num * union."""
+def _histogram(values: np.ndarray) -> np.ndarray:
+    return np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=256)
+
+
+def _passing(pairs: DataFrame, left: DataFrame, right: DataFrame, test: Callable) -> DataFrame:
+    """The rows of ``pairs(a, b)`` for which ``test`` holds of a's and b's binary value in ``left(a, x)`` and ``right(b, y)``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
+            keep = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def _sides(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return values.select(F.col("id").alias("a"), F.col("value").alias("x")), values.select(F.col("id").alias("b"), F.col("value").alias("y"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose sets have den * intersection >= num * union.
+
+    First by the sets' histograms over 256 ranges of hashes, whose common part bounds the intersection from above: most pairs fall there,
+    and only the sets of those left are moved."""
+
+    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [_histogram(np.frombuffer(x, np.uint64)).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x, 1) for x in sizes], pa.binary())], ["id", "value"])
+
+    def may(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64), np.frombuffer(zlib.decompress(y), "<u4").astype(np.int64)
+        both = int(np.minimum(x, y).sum())
+        return den * both >= num * (int(x.sum() + y.sum()) - both)
+
+    def does(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(x) + len(y) - len(np.union1d(x, y))
+        return den * both >= num * (len(x) + len(y) - both)
+
+    left = materialize(_passing(pairs, *_sides(sets.mapInArrow(histograms, "id long, value binary")), may), "pairs-left")
+    ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return _passing(left, *_sides(_let_through(sets, ids)), does)
+
+
+def _let_through(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, value`` of the sets whose id is in ``ids`` (and a few others), without a shuffle."""
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(ids)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            one, two = _bits(batch.column(0).to_numpy())
+            kept = batch.filter(pa.array(bits[one] & bits[two], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, ["id", "value"])
+
+    return sets.mapInArrow(keep, "id long, value binary")
+
+
 def near(num: int, den: int, p: str = "p_", q: str = "") -> F.Column:
     """Size and position filter for two postings of one shingle; it never drops the first shingle that a linked pair shares."""
     n, m = F.col(f"{p}n"), F.col(f"{q}n")
@@ -162,10 +204,11 @@ def near(num: int, den: int, p: str = "p_", q: str = "") -> F.Column:
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (most * (num + den) >= num * (n + m))
 
 
-def pairs_with_pivots(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """For each shingle, its commonest posting (the pivot) with each other one: linear in the postings."""
+def pairs_with_pivots(postings: DataFrame, num: int, den: int, pivots: int = 4) -> DataFrame:
+    """For each shingle, its commonest postings (the pivots) with each other one: linear in the postings."""
     w = Window.partitionBy("shingle").orderBy(F.desc("common"), "id", "n")
-    pivot = postings.select("*", *[F.first(c).over(w).alias(f"p_{c}") for c in ("id", "n", "pos")])
+    chosen = postings.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= pivots).select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos")])
+    pivot = postings.join(chosen, "shingle")
     return pivot.where((F.col("id") != F.col("p_id")) & near(num, den)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
 
@@ -193,8 +236,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     groups = (
         postings.groupBy("id", "n")
-        .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shingle"))), lambda x: x["shingle"].cast("string")), ","), 256).alias("prefix"))
-        .withColumn("leader", F.min("id").over(Window.partitionBy("n", "prefix")))
+        .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shingle"))), lambda x: x["shingle"].cast("string")), ","), 256).alias("prefix"), F.max("common").alias("common"))
+        .withColumn("leader", F.first("id").over(Window.partitionBy("n", "prefix").orderBy(F.desc("common"), "id")))
         .select("id", "n", "leader")
     )
     groups = materialize(groups, "join-groups")
@@ -205,8 +248,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     short, long = of_groups.where(F.col("groups") <= SHORT), of_groups.where(F.col("groups") > SHORT)
     mate = short.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos")])
     within = short.join(mate, "shingle").where((F.col("p_id") < F.col("id")) & near(num, den)).select(F.col("p_id").alias("a"), F.col("id").alias("b"))
-    expanded = groups.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(within.unionAll(pairs_with_pivots(long, num, den)).unionAll(expanded).distinct(), "join-pairs")
+    of_pairs = materialize(within.unionAll(pairs_with_pivots(long, num, den)).distinct(), "join-group-pairs")
+    member, other = groups.select(F.col("leader").alias("b"), F.col("id").alias("m")), groups.select(F.col("leader").alias("a"), F.col("id").alias("m"))
+    # a pair of groups is expanded to the leader of one with the members of the other: linear in the members
+    expanded = of_pairs.join(member, "b").select(F.col("a").alias("u"), "m").unionAll(of_pairs.join(other, "a").select(F.col("b").alias("u"), "m")).unionAll(groups.select(F.col("leader").alias("u"), F.col("id").alias("m")))
+    pairs = materialize(expanded.where("u <> m").select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct(), "join-pairs")
 
     def ends(of: DataFrame) -> DataFrame:
         return of.select(F.explode(F.array("a", "b")).alias("id")).distinct()
