@@ -83,13 +83,13 @@ QUERIES = {
 _VECTORS = """
 with v as (
   select vec_id, embedding from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 )"""
 
 ORACLES = {
     "op1_exact_topk": _VECTORS
     + """, z as (
-  select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from v
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from v
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
   from z q join z c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
