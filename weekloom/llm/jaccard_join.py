@@ -259,7 +259,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sets = materialize(_sets(texts, ends(pairs), k), "join-sets")
     links = materialize(verified(pairs, sets, num, den), "join-links")
-    found = materialize(connected_components(links, "join-first"), "join-found")
+    # an id on several rows is one node: tie it to the classes of all its texts
+    twice = rows.where("n > 0 and id is not null").groupBy("id").count().where("count > 1").select("id")
+    ties = rows.join(twice, "id", "left_semi").join(classes.select("high", "low", F.col("id").alias("a")), ["high", "low"]).select("a", F.col("id").alias("b"))
+    found = materialize(connected_components(links.unionAll(ties), "join-first"), "join-found")
 
     # second pass: what pivots and leaders have left apart
     apart = (
