@@ -107,35 +107,34 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64))
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) % FILTER_BITS
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) & (FILTER_BITS - 1)
 
 
-def sets_by_id(texts: DataFrame, ids: DataFrame, parts: Callable, to_set: Callable) -> DataFrame:
+def sets_by_id(texts: DataFrame, ids: DataFrame, parts: Callable) -> DataFrame:
     """``id, hashes`` of the parts whose id is in ``ids(id)``, in one scan of ``texts(id, _text)`` without a shuffle.
 
-    ``parts(doc id, text, cache)`` yields (part id, value); ``to_set`` makes a value's set. The filter lets a few other parts through."""
+    ``parts(doc ids, texts, cache)`` yields (part ids, function from index to set). The filter lets a few other parts through."""
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(ids)))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, bits = WordHashes(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             found, hashes = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for part, value in parts(doc, text, cache):
-                    one, two = _bits(np.array([part], dtype=np.int64))
-                    if bits[one[0]] and bits[two[0]]:
-                        found.append(part)
-                        hashes.append(to_set(value).tobytes())
+            for part_ids, to_set in parts(batch.column(0), batch.column(1), cache):
+                one, two = _bits(part_ids)
+                for i in np.flatnonzero(bits[one] & bits[two]).tolist():
+                    found.append(int(part_ids[i]))
+                    hashes.append(to_set(i).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(hashes, pa.binary())], ["id", "hashes"])
 
     return texts.where("id is not null").select("id", "_text").mapInArrow(to_sets, "id long, hashes binary")
 
 
 def _sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    def whole(doc: int, text: pa.Scalar, cache: WordHashes) -> Iterator[tuple[int, tuple]]:
-        yield doc, (text, cache)
+    def whole(docs: pa.Array, texts: pa.Array, cache: WordHashes) -> Iterator[tuple[np.ndarray, Callable]]:
+        yield docs.to_numpy(zero_copy_only=False), lambda i: shingle_set(texts[i].as_py(), k, cache)
 
-    return sets_by_id(texts, ids, whole, lambda x: shingle_set(x[0].as_py(), k, x[1]))
+    return sets_by_id(texts, ids, whole)
 
 
 def _histogram(values: np.ndarray) -> np.ndarray:
