@@ -377,17 +377,17 @@ def alert_censoring(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {o.BACKTEST_CHAIN}, {o.NAIVE} {o.scored(o.NAIVE_PRED, 'naive')}")
 def backtest_naive(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.backtest(backtest.naive, repaired(spark, d), CFG, method="naive"))
+    return rounded(backtest.backtest(backtest.naive, repaired(spark, d), CFG, method="naive", check=False))
 
 
 @query(f"with {o.BACKTEST_CHAIN}, {o.STATE}, {o.FORECAST} {o.scored(o.STAT_PRED, 'statistical')}")
 def backtest_statistical(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.backtest(backtest.statistical, repaired(spark, d), CFG, method="statistical"))
+    return rounded(backtest.backtest(backtest.statistical, repaired(spark, d), CFG, method="statistical", check=False))
 
 
 @query(f"with {o.BACKTEST_CHAIN}, {o.PLAN_AS_OF} {o.scored(o.PLAN_PRED, 'plan')}")
 def backtest_plan(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.backtest(backtest.plan(feeds.demand_plan(spark, d)), repaired(spark, d), CFG, method="plan"))
+    return rounded(backtest.backtest(backtest.plan(feeds.demand_plan(spark, d)), repaired(spark, d), CFG, method="plan", check=False))
 
 
 @query()
@@ -395,7 +395,7 @@ def backtest_translated(spark: SparkSession, d: str) -> DataFrame:
     known = repaired(spark, d)
     ship = feeds.shipments(spark, d)
     maker = translate.translated_forecaster(known, feeds.channel_inventory(spark, d), ship, CFG)
-    return rounded(backtest.backtest(maker, translate.shipped_panel(known, ship), CFG, value="units_shipped", method="translated"))
+    return rounded(backtest.backtest(maker, translate.shipped_panel(known, ship), CFG, value="units_shipped", method="translated", check=False))
 
 
 def _tidy(spark: SparkSession, d: str) -> DataFrame:
