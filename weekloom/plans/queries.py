@@ -457,9 +457,9 @@ def ranked_series(spark: SparkSession, d: str) -> DataFrame:
     return pipe.ranked_series(rows, alerts.deviation(rows, CFG)).withColumn("volume", F.round("volume", 4))
 
 
-@query("""select c_custkey, case when abs(v) >= 1000000 then printf('%.1fM', v / 1000000) when abs(v) >= 1000 then printf('%.1fK', v / 1000) else printf('%.0f', v) end as short from (select c_custkey, c_custkey * 1003.0::double as v from customer)""")
+@query("""select c_custkey, case when abs(v) >= 1000000 then printf('%.1fM', v / 1000000) when abs(v) >= 1000 then printf('%.1fK', v / 1000) else printf('%.0f', v) end as short from (select c_custkey, c_custkey * 1003.0::double + 0.3::double as v from customer)""")
 def short_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", scalars.short_number(F.col("c_custkey") * 1003.0).alias("short"))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", scalars.short_number(F.col("c_custkey") * 1003.0 + 0.3).alias("short"))
 
 
 @query(f"{R_SQL} select item_id, region, week::timestamp - interval 84 hours as band_start, week::timestamp + interval 84 hours as band_end from repaired where is_censored")
