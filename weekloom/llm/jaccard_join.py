@@ -14,7 +14,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator
 

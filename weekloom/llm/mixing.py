@@ -56,7 +56,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document without words, takes nothing (its copies may still be 1 or 2 where its source has words). The offset of a source is a
     hash of the seed and its name, and ties of one cell are ordered by id, so reruns agree; rows that repeat an id and a size are
     interchangeable. Null ids are kept. Other columns are ignored; an empty table gives an empty result."""
-    # Character classes are written out: the pattern is the contract's, counted whole by the JVM.
     text_size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), text_size.alias("size"))
     digits = F.col("size").cast("string")
