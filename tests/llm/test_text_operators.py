@@ -133,16 +133,16 @@ def test_toxicity_generalises_to_misspellings(spark):
     plain = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(200)]
     rude = ["worthless", "worthles", "worthlesss", "wortthless", "pathetic", "pathetik", "patheticc", "pathettic"]
     texts, marks = [], []
-    for i in range(400):
+    for i in range(900):
         bad = i % 4 == 0
-        own = rng.sample(plain, 40) + ([rng.choice(rude)] * 2 if bad else [])
+        own = rng.sample(plain, 10) + (rng.sample(rude, 2) if bad else [])
         rng.shuffle(own)
         texts.append((i, " ".join(own), 0.5))
         marks.append((i, int(bad), 1))
-    texts += [(900, None, 0.5), (901, "", 0.5)]
+    texts += [(9000, None, 0.5), (9001, "", 0.5)]
     docs, labels = spark.createDataFrame(texts, "doc_id long, text string, score double"), spark.createDataFrame(marks + [(5000, None, 1)], "doc_id long, toxic int, quality int")
     got = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(got[i].predicted == (i % 4 == 0) for i in held) >= 0.9 * len(held)
-    assert 0 <= got[900].score == got[901].score <= 1
+    assert 0 <= got[9000].score == got[9001].score <= 1
     assert score_toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0 and score_toxicity(docs.limit(0), labels).count() == 0

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens remembered in each of two generations by a worker.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Rows of an Arrow batch that are encoded together.
+TOGETHER = 2500
 #: Pre-tokens of more bytes go through a queue of their own.
 LONG = 128
 NONE = np.int32(2**31 - 1)
@@ -270,7 +272,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         split = regex.compile(pattern)
-        for batch in batches:
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
             counts, hashes, back, lists = [], [], [], []
             numbers = Numbers()
             of_texts = [np.fromiter(map(numbers.__getitem__, split.findall(t or "")), dtype=np.int32) for t in batch.column(1).to_pylist()]
@@ -283,11 +285,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 hashes.append(hashlib.sha256(ids.encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join([data[i] for i in listed])).hexdigest())
                 if with_ids:
-                    lists.append(np.array(ids.split(","), dtype=np.int32) if ids else np.zeros(0, np.int32))
+                    lists.append(np.fromstring(ids, dtype=np.int32, sep=",") if ids else np.zeros(0, np.int32))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists), pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
