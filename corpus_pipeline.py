@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir) and returns rows with the columns of documen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm.bpe import bpe_encode
@@ -22,10 +22,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.8 on five-word shingles, the one with the smallest doc_id stays."""
+    """Of documents linked at a similarity of 0.8 on five-word shingles, the one with the smallest doc_id stays.
+
+    Rows that repeat a doc_id are one document: the first in the order of text and the other columns stays. The stages that follow
+    go by doc_id, so a row without one goes."""
     found = jaccard_join(docs, k=5, num=80, den=100)
     stays = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    place = "_" + max(docs.columns, key=len)  # longer than any, so no other column's name
+    once = docs.where("doc_id is not null").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text", others))).where(F.col(place) == 1)
+    return once.join(stays, "doc_id", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,6 +114,7 @@ def test_pipeline_stages(spark, tmp_path):
         lang = rng.choice(list(words))
         rows.append((i, " ".join(rng.choice(words[lang]) + str(rng.randrange(100)) * (j % 3 == 0) for j in range(60)), lang, f"s{i % 3}", 0))
     rows += [(100, rows[0][1], "en", "s0", 0), (101, "12 34", "en", "s0", 0), (102, rows[1][1] + " password=abcdef123456", rows[1][2], "s1", 0)]
+    rows += [(5, rows[5][1], rows[5][2], "s2", 0), (5, rows[6][1] + " und nicht mit", rows[5][2], None, None), (None, rows[7][1] + " das ist", "de", "s1", 0), (104, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     out = docs
@@ -123,6 +124,7 @@ def test_pipeline_stages(spark, tmp_path):
         seen.append(out)
         assert out.columns == docs.columns
     kept = {r.doc_id for r in seen[1].collect()}
-    assert 101 not in {r.doc_id for r in seen[0].collect()} and {100, 102}.isdisjoint(kept) and len(kept) == 60
+    assert 101 not in {r.doc_id for r in seen[0].collect()} and {100, 102}.isdisjoint(kept)
+    assert seen[1].count() == len(kept) and None not in kept and kept <= set(range(60)) and len(kept) >= 59  # 5 may tie itself to 6
     tokens = corpus_pipeline.run(spark, str(tmp_path))
     assert tokens.count() == seen[3].count() and {r.doc_id for r in tokens.collect()} == {r.doc_id for r in seen[3].collect()}
