@@ -7,6 +7,7 @@ Entries whose list position has changed since are skipped. Work is linear in mer
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -26,11 +27,17 @@ LONG = 128
 NONE = np.int32(2**31 - 1)
 
 
-def load_ranks(spark, path: str) -> dict[bytes, int]:
-    """The rank file as Spark reads it, so that it may be in any store: a base64 token and its rank a line."""
+def rank_file(spark, path: str) -> bytes:
+    """The rank file, a base64 token and its rank a line, as Spark reads it, so that it may be in any store."""
     if "://" not in path:
         path = f"file://{path}"
-    return {base64.b64decode(a): int(b) for a, b in (r.value.split() for r in spark.read.text(path).collect() if r.value.strip())}
+    return "\n".join(r.value for r in spark.read.text(path).collect() if r.value.strip()).encode()
+
+
+@functools.lru_cache(maxsize=1)
+def vocabulary_of(ranks: bytes) -> Vocabulary:
+    """This process's vocabulary of a rank file. Workers outlive tasks: with one held, what it remembers serves later tasks and is not held twice."""
+    return Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())})
 
 
 class Vocabulary:
@@ -266,11 +273,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     bytes costs no more a byte than a short one. Rows are handled alone: repeated rows give repeated results, null ids are kept, other
     columns ignored, and an empty table gives an empty result."""
     spark = docs.sparkSession
-    # a vocabulary: its size does not depend on the data. Workers keep their copy, and what it remembers, between tasks.
-    shared = spark.sparkContext.broadcast(Vocabulary(load_ranks(spark, ranks_path)))
+    shared = spark.sparkContext.broadcast(rank_file(spark, ranks_path))  # its size does not depend on the data
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = vocabulary_of(shared.value)
         split = regex.compile(pattern)
         for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
             counts, hashes, back, lists = [], [], [], []
@@ -300,10 +306,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 def bpe_decode(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: ``doc_id, bytes``, the bytes of the ids in order; null or empty lists give no bytes, an unknown id an error."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(Vocabulary(load_ranks(spark, ranks_path)))
+    shared = spark.sparkContext.broadcast(rank_file(spark, ranks_path))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = vocabulary_of(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
