@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.shared import WordHashes, connected_components, materialize, mix, shingle_set
+from weekloom.llm.shared import WordHashes, connected_components, materialize, mix, shingle_set, small_batches
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 12
@@ -54,7 +54,9 @@ def count_sketch(texts: DataFrame, k: int) -> np.ndarray:
 
     parts = texts.select("_text").mapInArrow(count, "chunk int, counts binary")
     out = np.zeros((BUCKETS // CHUNK, CHUNK), dtype=np.int64)
-    for row in parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():  # BUCKETS numbers at most
+    with small_batches(texts.sparkSession):
+        added = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # BUCKETS numbers at most
+    for row in added:
         out[row.chunk] = np.frombuffer(row.counts, "<i8")
     return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six; ``bytes.split()`` cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch under ``small_batches``.
+BATCH_ROWS = 1000
+
 _own_dirs: dict[str, str] = {}
 _kept: set[str] = set()
 
@@ -34,6 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send BATCH_ROWS rows to Python at a time at most: texts and sets may be long, and the JVM
+    and the worker each hold a batch more than once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -47,7 +66,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
