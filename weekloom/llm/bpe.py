@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens remembered in each of two generations by a worker.
-REMEMBERED = 150_000
+REMEMBERED = 40_000
 #: Rows of an Arrow batch that are encoded together.
 TOGETHER = 2500
 #: Pre-tokens of more bytes go through a queue of their own.

@@ -74,7 +74,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash of each word seen so far; forgets all when it holds ``most``."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
