@@ -99,6 +99,29 @@ def test_repeated_passages(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_lines_in_one_large_group(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    hub, link = fresh(60), fresh(60)
+    docs = [(0, " ".join(hub))]
+    for i in range(1, 1050):
+        w = list(hub)
+        w[rng.randrange(60)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    for i in range(2000, 2120):  # each a near copy of the one before, and of no common one
+        link[7 * i % 60] = f"y{i}"
+        docs.append((i, " ".join(link)))
+    want = brute(docs, 5, 80, 100)
+    got = {r.doc_id: r.components for r in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    groups = {}
+    for d, c in want.items():
+        groups.setdefault(c, set()).add(d)
+    found = {}
+    for d, names in got.items():
+        found.setdefault(tuple(names) or d, set()).add(d)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values())) and max(map(len, groups.values())) >= 1050
+
+
 def test_bands():
     bands, rows = tuned_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.jaccard_join import pairs_with_pivots, sets_by_id, verified
+from weekloom.llm.jaccard_join import SHORT, near, pairs_with_pivots, sets_by_id, verified
 from weekloom.llm.shared import WordHashes, connected_components, materialize, mix, ngram_hashes
 
 LEAST = 20
@@ -23,6 +23,8 @@ REACH = 4
 SHINGLE = 5
 NUM, DEN = 80, 100
 RECALL = 0.999
+#: A longer band is compared by so many of its lines with the whole of it in one task.
+BLOCK = 256
 
 
 def tuned_bands(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
@@ -131,6 +133,19 @@ def _line_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return sets_by_id(texts, ids, lines)
 
 
+def _apart(bands: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of lines of one band that are in different components, but those whose set sizes rule a link out."""
+    sizes = sets.select("id", F.expr("length(hashes) div 8").alias("n")).dropDuplicates(["id"])
+    of = bands.select("shingle", "id", "m").join(components.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    split = of.groupBy("shingle").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("shingle")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    of = of.join(split, "shingle").join(sizes, "id").withColumn("pos", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    of = materialize(of, "repeat-apart")
+    mate = of.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos", "c")])
+    pairs = of.join(mate, ["shingle", "block"]).where((F.col("p_c") < F.col("c")) & near(NUM, DEN))
+    return pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_repeats, repeated_words, removed_words, spans, removals, components``.
 
@@ -145,25 +160,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("bands").alias("bands"), F.max(F.col("end") - F.col("start")).alias("n"))
     classes = materialize(classes, "repeat-classes")
     banded = classes.select(F.col("hash").alias("id"), "n", F.explode("bands").alias("shingle"))
-    banded = banded.withColumn("pos", F.lit(0)).withColumn("common", F.lit(0.0))
+    banded = banded.withColumn("pos", F.lit(0))
     shared = banded.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     collide = materialize(banded.join(shared, "shingle"), "repeat-bands")
-    few, many = collide.where("m <= 16"), collide.where("m > 16")
+    few, many = collide.where(F.col("m") <= SHORT), collide.where(F.col("m") > SHORT)
+    many = many.join(many.groupBy("id").agg(F.sum("m").alias("common")), "id")  # the lines that collide most are the pivots
     mate = few.select("shingle", F.col("id").alias("p_id"))
     pairs = few.join(mate, "shingle").where("p_id < id").select(F.col("p_id").alias("a"), F.col("id").alias("b"))
     pairs = materialize(pairs.unionAll(pairs_with_pivots(many, 0, 1)).distinct(), "repeat-pairs")
     sets = materialize(_line_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).dropDuplicates(["id"]), "repeat-sets")
     links = materialize(verified(pairs, sets, NUM, DEN), "repeat-links")
-    near = materialize(connected_components(links, "repeat"), "repeat-near")
-    of_line = classes.join(near.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    found = materialize(connected_components(links, "repeat"), "repeat-near")
+    # second pass: what pivots have left apart; every line of a long band was paired with a pivot, so its set is there
+    rest = materialize(_apart(many, found, sets).join(pairs, ["a", "b"], "left_anti"), "repeat-rest")
+    if not rest.isEmpty():
+        more = materialize(verified(rest, sets, NUM, DEN), "repeat-more")
+        if not more.isEmpty():
+            found = materialize(connected_components(links.unionAll(more), "repeat-second"), "repeat-near")
+    of_line = classes.join(found.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     groups = of_line.groupBy("component").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last")
     repeated_lines = lines.select("hash", "id", "start", "end").join(of_line.join(groups, "component").select("hash", "component", "keeper"), "hash")
 
     twice = pieces.groupBy("hash").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "keeper")
     repeated_pieces = pieces.join(twice, "hash").select("hash", "id", "start", "end", F.lit(None).cast("long").alias("component"), "keeper")
 
-    found = repeated_lines.select("id", "start", "end", "component", "keeper").unionAll(repeated_pieces.select("id", "start", "end", "component", "keeper"))
-    runs = found.groupBy("id").agg(
+    both = repeated_lines.select("id", "start", "end", "component", "keeper").unionAll(repeated_pieces.select("id", "start", "end", "component", "keeper"))
+    runs = both.groupBy("id").agg(
         F.collect_list(F.struct("start", "end")).alias("all"), F.collect_list(F.when(F.col("keeper") < F.col("id"), F.struct("start", "end"))).alias("go"), F.array_sort(F.collect_set("component")).alias("components")
     )
 
