@@ -81,6 +81,23 @@ def test_layers_map_back_to_the_text():
     assert spans("A" * 4000) == [] and spans("") == []
 
 
+def test_layers_that_are_not_clean_text():
+    def kinds(text):
+        return {k for _, _, k in secrets.find_secrets(text)[1]}
+
+    code = lambda x: base64.b64encode(x).decode()
+    for data in (f"cle :\u00a0 {SECRET}".encode(), f"\ufeff{SECRET}".encode(), SECRET.encode() + b"\0\xff", SECRET.encode("utf-16"), b"\0" + SECRET.encode("utf-16-be")):
+        assert kinds(f"x {code(data)} y") >= {"assign", "hex"}
+    inner = code(SECRET.encode()).rstrip("=")
+    for prefix in ("https://h.example/data/", "x-", "id_", "ab/"):
+        at = len("é " + prefix)
+        assert (at, at + len(inner), "assign") in secrets.find_secrets(f"é {prefix}{inner} end")[1]
+    for packed in (gzip.compress(SECRET.encode()), gzip.compress(b"one") + gzip.compress(SECRET.encode()), gzip.compress(bytes(9 << 20) + SECRET.encode())):
+        lines = re.findall(".{1,20}", code(packed))
+        assert kinds("a\n" + "\n".join(lines) + "\nb") >= {"assign", "hex"} and kinds(f"id_{code(packed)}") >= {"assign", "hex"}
+    assert kinds("\n".join(re.findall(".{1,14}", code(SECRET.encode())))) >= {"assign", "hex"}
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, SECRET, 0), (2, None, 0), (3, "", 0), (None, "AKIA" + "B" * 16, 0)], "doc_id long, text string, n_hex int")
     rows = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}

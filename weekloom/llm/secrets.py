@@ -10,9 +10,11 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +29,19 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer of more bytes is not unpacked, against decompression bombs.
-MOST_UNPACKED = 1 << 26
+#: A maximal run, with the lines that go on with it; only those of SHORTEST characters and more are decoded.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++)={0,2}")
+SEGMENT = re.compile(r"[A-Za-z0-9+/_-]+")
+SHORTEST = 16
+#: What a byte that is not UTF-8 becomes.
+UNREADABLE = re.compile("[\udc80-\udcff]")
+URLSAFE = str.maketrans("-_", "+/")
+#: Where compressed data begin: gzip, zlib, bzip2, xz.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00", re.DOTALL)
+#: Six ASCII characters in UTF-16, of either byte order.
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){6}")
+#: Unpacked data are read in blocks of so many bytes, which overlap.
+BLOCK, OVERLAP = 1 << 22, 1 << 16
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -44,55 +56,67 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _from_url(s: str) -> str | None:
-    try:
-        return bytes.fromhex(s.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _from_url(s: str) -> str:
+    return bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace")
 
 
 def _from_unicode(s: str) -> str | None:
     if s.startswith("\\u") and not s.startswith("\\u{"):
-        try:
-            return bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be")
-        except UnicodeDecodeError:
-            return None
+        return bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be", "replace")
     digits = s.strip("\\uUx&#X{};")
     point = int(digits, 10 if s.startswith("&#") and s[2] not in "xX" else 16)
     return chr(point) if point < 0xD800 or 0xDFFF < point < 0x110000 else None
 
 
-def unpack(data: bytes) -> bytes | None:
-    """What compressed data hold; None if they are not compressed, broken or too large."""
+def unpacked(source: Iterator[bytes]) -> Iterator[bytes]:
+    """What the compressed data that begin ``source`` hold, member by member, in parts of at most BLOCK bytes; of broken data what stands before the break."""
+    data, d = b"", None
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            return None
-        out = d.decompress(data, MOST_UNPACKED)
-        return out if d.eof else None
+        while True:
+            if d is None:
+                while len(data) < 6 and (more := next(source, b"")):
+                    data += more
+                if not (m := PACKED.match(data)):
+                    return
+                d = bz2.BZ2Decompressor() if m[0][:1] == b"B" else lzma.LZMADecompressor() if m[0][:1] == b"\xfd" else zlib.decompressobj(47)
+            out = d.decompress(data, BLOCK)
+            data = getattr(d, "unconsumed_tail", b"")
+            if out:
+                yield out
+            if d.eof:
+                data, d = d.unused_data, None
+            elif not data and not out and getattr(d, "needs_input", True) and not (data := next(source, b"")):
+                return
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-
-
-def _from_base64(s: str) -> str | None:
-    bare = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(bare) % 4 == 1:
-        return None
-    data = base64.b64decode(bare + "=" * (-len(bare) % 4))
-    seen = set()
-    while (inner := unpack(data)) is not None and inner not in seen:  # compressed layers, one in another
-        seen.add(data)
-        data = inner
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text.replace("\n", "").replace("\t", "").replace("\r", "").isprintable() else None
+        return
+
+
+def layers_of(data: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
+    """Overlapping blocks of unpacked data, and of those packed inside them at their beginning."""
+    first = b""
+    while len(first) < BLOCK and (more := next(data, b"")):
+        first += more
+    rest = itertools.chain([first], data)
+    if PACKED.match(first) and depth < 100:  # data that unpack to themselves would not end
+        rest, twin = itertools.tee(rest)
+        yield from layers_of(unpacked(twin), depth + 1)
+    held = b""
+    for part in rest:
+        held += part
+        if len(held) >= BLOCK:
+            yield held
+            held = held[-OVERLAP:]
+    if held:
+        yield held
+
+
+def texts_of(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, number of its first byte, bytes a character or 0 if UTF-8); a byte that can't be read becomes one character."""
+    yield data.decode("utf-8", "surrogateescape"), 0, 0
+    if WIDE.search(data):
+        for odd in (0, 1):
+            size = (len(data) - odd) // 2 * 2
+            yield "".join(map(chr, memoryview(data[odd : odd + size]).cast("H"))), odd, 2
 
 
 class Layer:
@@ -137,16 +161,70 @@ class Layer:
         keep(at, len(self.text))
         return Layer("".join(parts), self.begin if flat else begin, self.end if flat else end, self.above | {self.own})
 
+    def from_base64(self, m: re.Match) -> Iterator[Layer]:
+        """A run can begin anywhere in what matches, so all four alignments are decoded."""
+        segments = [x.span() for x in SEGMENT.finditer(self.text, m.start(), m.end())]
+        bare = "".join(self.text[a:b] for a, b in segments).translate(URLSAFE)
+        if len(bare) < SHORTEST:
+            return
+        segments[-1] = (segments[-1][0], m.end())
+        above = self.above | {self.own}
+        for shift in range(4):
+            part = bare[shift : len(bare) - ((len(bare) - shift) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            for text, first, width in texts_of(data):
+                yield Decoded(text, self, segments, shift, first, width, above)
+            for packed in PACKED.finditer(data):
+                whole = Decoded(data.decode("latin-1"), self, segments, shift, 0, 1, above)
+                for block in layers_of(unpacked(iter([data[packed.start() :]]))):
+                    begin, end = whole.stretch(packed.start(), len(data))
+                    for text, _, _ in texts_of(block):
+                        yield Layer(text, begin, end, above)
+
     def inner(self) -> Iterator[Layer]:
         if "%" in self.text and (x := self.decoded_in_place(ESCAPES, _from_url)):
             yield x
         if ("\\" in self.text or "&#" in self.text) and (x := self.decoded_in_place(UNICODE, _from_unicode)):
             yield x
         for m in BASE64.finditer(self.text):
-            new = _from_base64(m[0])
-            if new:
-                a, b = self.stretch(m.start(), m.end())
-                yield Layer(new, a, b, self.above | {self.own})
+            yield from self.from_base64(m)
+
+
+class Decoded(Layer):
+    """What base64 holds; a find stems from the lines that hold it, from where their data can have begun."""
+
+    def __init__(self, text: str, parent: Layer, segments: list, shift: int, first: int, width: int, above: frozenset):
+        super().__init__(text, *parent.stretch(segments[0][0], segments[-1][1]), above)
+        self.parent, self.segments, self.shift, self.first, self.width = parent, segments, shift, first, width
+
+        self.plain, self.bad = text.isascii(), None
+
+    def _byte(self, at: int) -> int:
+        return self.first + (at * self.width if self.width else at if self.plain else len(self.text[:at].encode("utf-8", "surrogateescape")))
+
+    def _after_bad(self, at: int) -> int:
+        """The first character behind all unreadable ones before ``at``; data of one byte a character are not text, so ``at`` itself."""
+        if self.width or self.plain:
+            return at if self.width == 1 else 0
+        if self.bad is None:
+            self.bad = [0, *(m.end() for m in UNREADABLE.finditer(self.text))]
+        return self.bad[bisect_right(self.bad, at) - 1]
+
+    def stretch(self, start: int, end: int) -> tuple[int, int]:
+        one, two = self.shift + self._byte(start) // 3 * 4, self.shift + -(-self._byte(end) * 4 // 3)
+        bad = self._after_bad(start)
+        least = self.shift + self._byte(bad) // 3 * 4 if bad else 0
+        at, begin, stop = 0, None, self.segments[-1][1]
+        for a, b in self.segments:
+            size = b - a
+            if begin is None and one < at + size:
+                starts = (p for p in range(max(least, at), one + 1) if p % 4 == self.shift and (p == at or self.parent.text[a + p - at - 1] in "/-_"))
+                begin = a + next(starts, at) - at
+            if two <= at + size:
+                stop = b
+                break
+            at += size
+        return self.parent.stretch(self.segments[-1][0] if begin is None else begin, stop)
 
 
 def find_secrets(text: str) -> tuple[list, list]:
@@ -154,15 +232,17 @@ def find_secrets(text: str) -> tuple[list, list]:
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base = sorted(scan(text), key=order)
     found, done = set(base), set()
-    work = [*Layer(text, None, None, frozenset()).inner()]
+    work = [Layer(text, None, None, frozenset()).inner()]
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         at = (layer.own, layer.begin if isinstance(layer.begin, int) else None, layer.end if isinstance(layer.end, int) else None)
         if layer.own in layer.above or at in done:
             continue
         done.add(at)
         found.update((*layer.stretch(a, b), kind) for a, b, kind in scan(layer.text))
-        work.extend(layer.inner())
+        work.append(layer.inner())
     return base, sorted(found, key=order)
 
 
