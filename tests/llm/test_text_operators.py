@@ -132,6 +132,19 @@ def test_lcs_and_differencing(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_copies_and_ranges_of_one_host(spark):
+    page = lambda own: f"<div>Shared top</div><p>{own}</p><div>Shared end</div>"
+    own = ["alpha", "beta", "beta", "beta", "beta", "gamma", "gamma", "delta", *[f"own {i}" for i in range(30)]]
+    df = spark.createDataFrame([(i, f"http://h.x/a/{i:03}", page(t)) for i, t in enumerate(own)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.page_id: r.text for r in extract_main_text(df).collect()} == dict(enumerate(own))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_languages_on_held_out_rows(spark):
     rng = random.Random(5)
     words = {"en": "the and of with this from that".split(), "de": "der und nicht mit von ein für".split(), "fr": "les est dans pour une avec très".split()}
