@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from weekloom.llm import bpe, secrets
 from weekloom.llm.html_text import blocks, common, extract_main_text, main_text
 from weekloom.llm.language import identify_languages
-from weekloom.llm.toxicity import score_toxicity
+from weekloom.llm.toxicity import score_toxicity, slots_of
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -176,3 +176,11 @@ def test_toxicity_generalises_to_misspellings(spark):
     assert sum(got[i].predicted == (i % 4 == 0) for i in held) >= 0.9 * len(held)
     assert 0 <= got[9000].score == got[9001].score <= 1
     assert score_toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0 and score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_long_words_are_read_whole():
+    inside = set(slots_of(b"worthless")) - set(slots_of(b"w")) - set(slots_of(b"s"))
+    marks = {*slots_of(b"worthless")} - {*slots_of(b"aworthlessb")}  # of n-grams with a boundary mark
+    assert inside - marks and inside - marks <= set(slots_of(b"a" * 100 + b"worthless" + b"b" * 100))
+    text = "".join(chr(0x4E00 + i) for i in range(400)).encode()
+    assert len(slots_of(text)) > 1500

@@ -30,10 +30,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def slots_of(word: bytes) -> list[int]:
-    """Slots of a word and of its character n-grams, characters being bytes here; of at most 64 bytes of a longer word's n-grams from either end."""
+    """Slots of a word and of all its character n-grams, characters being bytes here."""
     marked = b"<" + word + b">"
-    runs = [marked] if len(marked) <= 66 else [marked[:33], marked[-33:]]
-    return sorted({xxhash.xxh3_64_intdigest(g) % SLOTS for m in runs for n in ORDERS for g in (m[i : i + n] for i in range(len(m) - n + 1))} | {xxhash.xxh3_64_intdigest(marked) % SLOTS})
+    return sorted({xxhash.xxh3_64_intdigest(marked[i : i + n]) % SLOTS for n in ORDERS for i in range(len(marked) - n + 1)} | {xxhash.xxh3_64_intdigest(marked) % SLOTS})
 
 
 def bag_of(text: str | None, slots: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
