@@ -122,6 +122,23 @@ def test_near_lines_in_one_large_group(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values())) and max(map(len, groups.values())) >= 1050
 
 
+def test_wrapped_passages(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    docs = []
+    for i in range(0, 40, 4):
+        passage, edited = fresh(60), fresh(60)
+        other = list(edited)
+        other[30] = "changed"
+        docs += [(i, " ".join(fresh(10) + passage + fresh(10))), (i + 1, wrapped(fresh(13) + passage + fresh(11), 11))]
+        docs += [(i + 2, wrapped(edited, 9 + i % 3) + "\n\n" + " ".join(fresh(30))), (i + 3, " ".join(fresh(30)) + "\n\n" + wrapped(other, 19 + i % 4))]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(0, 40, 4):
+        assert got[i].n_repeats and got[i + 1].removed_words >= 20
+        assert got[i + 2].components == got[i + 3].components != [] and got[i + 3].removals == "30:90"
+
+
 def test_bands():
     bands, rows = tuned_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)

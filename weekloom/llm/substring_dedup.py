@@ -1,6 +1,6 @@
 """Passages that repeat across documents, by paragraph MinHash banding.
 
-Paragraphs are the lines of a text of ``LEAST`` words or more. They are compared as sets of 5-word shingles: banded MinHash, exact
+Paragraphs are the lines of a text of ``LEAST`` words or more, and runs of shorter lines up to a blank one. They are compared as sets of 5-word shingles: banded MinHash, exact
 verification of colliding paragraphs, connected components of near copies. A passage may also stand inside different
 paragraphs, so words are further cut where a hash of two neighbouring words is the least within ``REACH`` words; such pieces depend on nearby
 words only, and equal pieces of different documents repeat. What touches is joined, and runs of ``LEAST`` words or more count.
@@ -23,6 +23,8 @@ REACH = 4
 SHINGLE = 5
 NUM, DEN = 80, 100
 RECALL = 0.999
+#: A line of wrapped text has fewer words.
+WRAP = 40
 #: A longer band is compared by so many of its lines with the whole of it in one task.
 BLOCK = 256
 
@@ -58,29 +60,47 @@ def _lines(text: bytes | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarra
     return np.fromiter((cache[w] for x in lines for w in x), dtype=np.uint64, count=int(edges[-1])), edges
 
 
+def _paragraphs(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the long lines, and of the runs of shorter lines up to a blank one that are long together: wrapped text."""
+    sizes = np.diff(edges)
+    long = sizes >= LEAST
+    starts, ends = [edges[:-1][long]], [edges[1:][long]]
+    for most in (LEAST, WRAP):
+        inside = np.concatenate([[0], (sizes > 0) & (sizes < most), [0]])
+        turns = np.flatnonzero(np.diff(inside))
+        first, last = turns[::2], turns[1::2]
+        run = (last - first > 1) & (edges[last] - edges[first] >= LEAST)
+        starts.append(edges[first[run]])
+        ends.append(edges[last[run]])
+    total = int(edges[-1]) + 1
+    both = np.unique(np.concatenate(starts) * total + np.concatenate(ends))
+    return both // total, both % total
+
+
 def line_words(text: bytes | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, starts, ends) of the lines that are long enough, in words."""
+    """(word hashes, starts, ends) of the paragraphs, in words."""
     words, edges = _lines(text, cache)
-    long = np.diff(edges) >= LEAST
-    return words, edges[:-1][long], edges[1:][long]
+    return words, *_paragraphs(edges)
 
 
 def paragraphs(text: bytes | None, cache: WordHashes) -> tuple:
-    """(word hashes, line starts, line ends, piece starts, piece ends), in words."""
+    """(word hashes, paragraph starts, paragraph ends, piece starts, piece ends), in words.
+
+    Pieces are cut by content and at line edges; those that lines cut are there whole as well."""
     words, edges = _lines(text, cache)
     total = len(words)
     if not total:
         none = np.zeros(0, np.int64)
         return words, none, none, none, none
-    long = np.diff(edges) >= LEAST
     pair = mix(words[:-1] * np.uint64(3) + words[1:]) if total > 1 else np.zeros(0, np.uint64)
     least = np.ones(len(pair), dtype=bool)
     for d in range(1, REACH + 1):
         least[d:] &= pair[d:] < pair[:-d]
         least[:-d] &= pair[:-d] <= pair[d:]
-    cuts = np.unique(np.concatenate([edges, np.flatnonzero(least) + 1]))
-    cuts = cuts[cuts <= total]
-    return words, edges[:-1][long], edges[1:][long], cuts[:-1], cuts[1:]
+    content = np.unique(np.concatenate([[0], np.flatnonzero(least) + 1, [total]]))
+    cuts = np.unique(np.concatenate([edges, content]))
+    whole = np.diff(np.searchsorted(cuts, content)) > 1
+    return words, *_paragraphs(edges), np.concatenate([cuts[:-1], content[:-1][whole]]), np.concatenate([cuts[1:], content[1:][whole]])
 
 
 def signatures(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
