@@ -7,7 +7,6 @@ Entries whose list position has changed since are skipped. Work is linear in mer
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -18,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm.shared import bound_batches, tidy
+
 #: Pre-tokens remembered in each of two generations by a worker.
 REMEMBERED = 40_000
 #: Rows of an Arrow batch that are encoded together.
@@ -34,9 +35,7 @@ def rank_file(spark, path: str) -> bytes:
     return "\n".join(r.value for r in spark.read.text(path).collect() if r.value.strip()).encode()
 
 
-@functools.lru_cache(maxsize=1)
 def vocabulary_of(ranks: bytes) -> Vocabulary:
-    """This process's vocabulary of a rank file. Workers outlive tasks: with one held, what it remembers serves later tasks and is not held twice."""
     return Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())})
 
 
@@ -273,6 +272,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     bytes costs no more a byte than a short one. Rows are handled alone: repeated rows give repeated results, null ids are kept, other
     columns ignored, and an empty table gives an empty result."""
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(rank_file(spark, ranks_path))  # its size does not depend on the data
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,12 +300,13 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidy(encode), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def bpe_decode(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: ``doc_id, bytes``, the bytes of the ids in order; null or empty lists give no bytes, an unknown id an error."""
     spark = rows.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(rank_file(spark, ranks_path))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,4 +314,4 @@ def bpe_decode(rows: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(back, "doc_id long, bytes binary")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(back), "doc_id long, bytes binary")

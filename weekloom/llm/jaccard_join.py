@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.shared import WordHashes, connected_components, materialize, mix, shingle_set, small_batches
+from weekloom.llm.shared import WordHashes, bound_batches, connected_components, materialize, mix, shingle_set, tidy
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 12
@@ -52,10 +52,10 @@ def count_sketch(texts: DataFrame, k: int) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in table.column("counts").to_pylist())
         return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = texts.select("_text").mapInArrow(count, "chunk int, counts binary")
+    parts = texts.select("_text").mapInArrow(tidy(count), "chunk int, counts binary")
     out = np.zeros((BUCKETS // CHUNK, CHUNK), dtype=np.int64)
-    with small_batches(texts.sparkSession):
-        added = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # BUCKETS numbers at most
+    bound_batches(texts.sparkSession)
+    added = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # BUCKETS numbers at most
     for row in added:
         out[row.chunk] = np.frombuffer(row.counts, "<i8")
     return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
@@ -83,7 +83,7 @@ def _prefixes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists, pa.array(common, pa.float64())], ["id", "n", "high", "low", "prefix", "common"])
 
-    return texts.select("id", "_text").mapInArrow(prefix, "id long, n long, high long, low long, prefix array<long>, common double")
+    return texts.select("id", "_text").mapInArrow(tidy(prefix), "id long, n long, high long, low long, prefix array<long>, common double")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -102,7 +102,7 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
             all_bits |= np.frombuffer(zlib.decompress(x), np.uint8)
         return pa.table({"k": pa.array([0], pa.int32()), "bits": pa.array([all_bits.tobytes()], pa.binary())})
 
-    found = ids.mapInArrow(mark, "k int, bits binary").groupBy("k").applyInArrow(either, "k int, bits binary").collect()
+    found = ids.mapInArrow(tidy(mark), "k int, bits binary").groupBy("k").applyInArrow(either, "k int, bits binary").collect()
     return np.unpackbits(np.frombuffer(found[0].bits, np.uint8)).astype(bool) if found else np.zeros(FILTER_BITS, dtype=bool)
 
 
@@ -128,7 +128,7 @@ def sets_by_id(texts: DataFrame, ids: DataFrame, parts: Callable) -> DataFrame:
                     hashes.append(to_set(i).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(hashes, pa.binary())], ["id", "hashes"])
 
-    return texts.where("id is not null").select("id", "_text").mapInArrow(to_sets, "id long, hashes binary")
+    return texts.where("id is not null").select("id", "_text").mapInArrow(tidy(to_sets), "id long, hashes binary")
 
 
 def _sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _passing(pairs: DataFrame, left: DataFrame, right: DataFrame, test: Callable
             keep = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def _sides(values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         both = len(x) + len(y) - len(np.union1d(x, y))
         return den * both >= num * (len(x) + len(y) - both)
 
-    left = materialize(_passing(pairs, *_sides(sets.mapInArrow(histograms, "id long, value binary")), may), "pairs-left")
+    left = materialize(_passing(pairs, *_sides(sets.mapInArrow(tidy(histograms), "id long, value binary")), may), "pairs-left")
     ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return _passing(left, *_sides(_let_through(sets, ids)), does)
 
@@ -194,7 +194,7 @@ def _let_through(sets: DataFrame, ids: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array(bits[one] & bits[two], pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns, ["id", "value"])
 
-    return sets.mapInArrow(keep, "id long, value binary")
+    return sets.mapInArrow(tidy(keep), "id long, value binary")
 
 
 def near(num: int, den: int, p: str = "p_", q: str = "") -> F.Column:

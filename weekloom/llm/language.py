@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekloom.llm.shared import bound_batches, tidy
+
 DIM = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: At most so many training texts of each language, those with the smallest hash of their id, and so many languages.
@@ -111,6 +113,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lang_pred is a learned language, ``und`` with score 0 for a null text, a text without a letter, or when nothing could be learned. The score is the
     softmax of the regression's values. Null ids are not held out and not learned from. Repeated rows
     give repeated results; other columns are ignored; an empty table gives an empty result."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, id_col, text_col, lang_col))  # DIM x languages, whatever the data
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +124,12 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     identity = F.col(id_col).cast("long")
     rows = docs.select(identity.alias("doc_id"), _held_out(identity).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is not ``und`` and has a score of ``least`` or more."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, id_col, text_col, lang_col))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,4 +138,4 @@ def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id",
             found = [predicted(t, *shared.value, scratch) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm.shared import bound_batches, tidy
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -264,8 +266,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             digests = pa.array([hashlib.sha256(_said(b).encode()).hexdigest() for b in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([_said(e) for e in every], pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -277,7 +280,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
             texts = [None if t is None else redacted(t, mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(hide, docs.schema)
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(tidy(hide), docs.schema)
 
 
 def redacted(text: str, mark: str) -> str:

@@ -3,12 +3,15 @@ word and shingle hashing, connected components, and pivot pairs."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six; ``bytes.split()`` cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch under ``small_batches``.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch under ``bound_batches``.
+BATCH_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 _kept: set[str] = set()
@@ -39,18 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs that run inside send BATCH_ROWS rows to Python at a time at most: texts and sets may be long, and the JVM
-    and the worker each hold a batch more than once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bound_batches(spark: SparkSession) -> None:
+    """Jobs of this session send at most BATCH_BYTES to Python at a time, unless the session asks for less: texts and sets may be long,
+    and the JVM and the worker each hold a batch more than once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)b?", spark.conf.get(key).strip().lower())
+    if not found or not 0 < int(found[1]) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task``, giving its memory back at its end: workers outlive tasks, and idle ones would keep what the last task took."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            _trim()
+
+    return run
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -66,8 +82,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    with small_batches(spark):
-        df.write.parquet(path)
+    bound_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.jaccard_join import SHORT, near, pairs_with_pivots, sets_by_id, verified
-from weekloom.llm.shared import WordHashes, connected_components, materialize, mix, ngram_hashes
+from weekloom.llm.shared import WordHashes, bound_batches, connected_components, materialize, mix, ngram_hashes, tidy
 
 LEAST = 20
 REACH = 4
@@ -138,7 +138,7 @@ def _units(texts: DataFrame) -> DataFrame:
             hashed = pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64())
             yield pa.RecordBatch.from_arrays([one(ids, pa.int64()), hashed, one(starts, pa.int32()), one(ends, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["id", "hash", "start", "end", "bands"])
 
-    return texts.where("id is not null").mapInArrow(cut, "id long, hash long, start int, end int, bands array<long>")
+    return texts.where("id is not null").mapInArrow(tidy(cut), "id long, hash long, start int, end int, bands array<long>")
 
 
 def _line_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 ["id", "n_repeats", "repeated_words", "removed_words", "spans", "removals", "components"],
             )
 
-    merged = runs.mapInArrow(merge, "id long, n_repeats long, repeated_words long, removed_words long, spans string, removals string, components array<long>")
+    merged = runs.mapInArrow(tidy(merge), "id long, n_repeats long, repeated_words long, removed_words long, spans string, removals string, components array<long>")
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = ids.join(merged, "id", "left")

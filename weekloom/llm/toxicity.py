@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm.shared import bound_batches, tidy
+
 SLOTS, WIDTH = 1 << 17, 4
 ORDERS = (3, 4, 5)
 #: At most so many texts with label 0 and with label 1 are learned from, those with the smallest hash of their id.
@@ -95,6 +97,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     classes the score is the only class's near-certainty, 0.5 without any. Repeated rows give repeated results; other columns are
     ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
+    bound_batches(spark)
     identity, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     held = F.coalesce(F.pmod(F.crc32(identity.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     marks = labels.select(identity.alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
@@ -127,4 +130,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 scores.append(float(1 / (1 + np.exp(-min(max(logit, -60.0), 60.0)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(identity.alias("doc_id"), held.alias("held_out"), text.alias("text")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(identity.alias("doc_id"), held.alias("held_out"), text.alias("text")).mapInArrow(tidy(score), "doc_id long, held_out boolean, score double, predicted int")
