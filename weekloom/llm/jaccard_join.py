@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.shared import WordHashes, bound_batches, connected_components, materialize, mix, shingle_set, tidy
+from weekloom.llm.shared import WordHashes, bound_batches, connected_components, materialize, mix, shingle_sets, tidy
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 12
@@ -32,19 +32,29 @@ FILTER_BITS = 1 << 24
 SHORT = 16
 
 
-def _hash_ids(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+def text_sets(k: int) -> Callable:
+    """Of a column of texts, their shingle sets; made anew in each task."""
 
+    def make() -> Callable:
+        cache = WordHashes()
+        return lambda column: shingle_sets(column.to_pylist(), k, cache)
 
-def count_sketch(texts: DataFrame, k: int) -> np.ndarray:
-    """How many (document, shingle) pairs fall into each bucket, over all rows of ``texts(_text binary)``."""
+    return make
+
+
+def stored_sets() -> Callable:
+    """Of a column of sets, the sets."""
+    return lambda column: [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def count_sketch(rows: DataFrame, make: Callable) -> np.ndarray:
+    """How many (row, shingle) pairs fall into each bucket, over all ``rows(id, binary)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = WordHashes(), np.zeros(BUCKETS, dtype=np.int64)
+        to_sets, total = make(), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            sets = [shingle_set(t, k, cache) for t in batch.column(0).to_pylist()]
-            if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            if batch.num_rows:
+                total += np.bincount((np.concatenate(to_sets(batch.column(0))) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         chunks = [(i, c) for i, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks], pa.int32()), pa.array([zlib.compress(c.astype("<i8").tobytes(), 1) for _, c in chunks], pa.binary())], ["chunk", "counts"])
 
@@ -52,25 +62,23 @@ def count_sketch(texts: DataFrame, k: int) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in table.column("counts").to_pylist())
         return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = texts.select("_text").mapInArrow(tidy(count), "chunk int, counts binary")
+    parts = rows.select(rows.columns[1]).mapInArrow(tidy(count), "chunk int, counts binary")
     out = np.zeros((BUCKETS // CHUNK, CHUNK), dtype=np.int64)
-    bound_batches(texts.sparkSession)
-    added = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # BUCKETS numbers at most
-    for row in added:
+    bound_batches(rows.sparkSession)
+    for row in parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():  # BUCKETS numbers at most
         out[row.chunk] = np.frombuffer(row.counts, "<i8")
     return np.minimum(out.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def _prefixes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row: size and key of its shingle set, prefix in the global order, and how common that prefix is."""
-    sketch = texts.sparkSession.sparkContext.broadcast(count_sketch(texts, k))
+def prefixes(rows: DataFrame, make: Callable, num: int, den: int) -> DataFrame:
+    """Per row of ``rows(id, binary)``: size and key of its shingle set, prefix in the global order, and how common that prefix is."""
+    sketch = rows.sparkSession.sparkContext.broadcast(count_sketch(rows, make))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = WordHashes(), sketch.value
+        to_sets, counts = make(), sketch.value
         for batch in batches:
             sizes, high, low, first, common = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, k, cache)
+            for s in to_sets(batch.column(1)):
                 n = len(s)
                 key = xxhash.xxh3_128_intdigest(s.tobytes())
                 c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
@@ -83,7 +91,7 @@ def _prefixes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists, pa.array(common, pa.float64())], ["id", "n", "high", "low", "prefix", "common"])
 
-    return texts.select("id", "_text").mapInArrow(tidy(prefix), "id long, n long, high long, low long, prefix array<long>, common double")
+    return rows.mapInArrow(tidy(prefix), "id long, n long, high long, low long, prefix array<long>, common double")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -133,7 +141,7 @@ def sets_by_id(texts: DataFrame, ids: DataFrame, parts: Callable) -> DataFrame:
 
 def _sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def whole(docs: pa.Array, texts: pa.Array, cache: WordHashes) -> Iterator[tuple[np.ndarray, Callable]]:
-        yield docs.to_numpy(zero_copy_only=False), lambda i: shingle_set(texts[i].as_py(), k, cache)
+        yield docs.to_numpy(zero_copy_only=False), lambda i: shingle_sets([texts[i].as_py()], k, cache)[0]
 
     return sets_by_id(texts, ids, whole)
 
@@ -212,87 +220,83 @@ def pairs_with_pivots(postings: DataFrame, num: int, den: int, pivots: int = 4)
     return pivot.where((F.col("id") != F.col("p_id")) & near(num, den)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Link rows whose sets of distinct k-word shingles have Jaccard similarity num/den or more.
+def linked_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, name: str, ties: DataFrame | None = None) -> DataFrame:
+    """``id, component`` of the sets that have a link, directly or through ``ties(a, b)``.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id`` (the smallest id reachable by links).
-    Words are lower-cased (A-Z) and cut at the six ASCII white-space characters; shingles are compared by
-    64-bit hashes. A text with fewer than k words has its whole sequence as its only shingle. Null, empty
-    and blank texts have 0 shingles and are linked with nothing. Rows that repeat an id are one node, linked
-    by any of their texts. A row whose id is null is returned with its n_shingles and a null component_id.
-    Other columns are ignored, whatever their names; an empty table gives an empty result."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_text"))
-    rows = materialize(_prefixes(texts, k, num, den), "join-rows")
-
-    classes = (
-        rows.where("n > 0 and id is not null")
-        .groupBy("high", "low")
-        .agg(F.min(F.struct("id", "n", "prefix", "common")).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .select("high", "low", "copies", "first.*")
-    )
+    ``classes(id, n, prefix, common)`` are distinct sets, ``sets_of(ids)`` gives ``id, hashes`` of those asked for. Counts by shingle are
+    aggregated where the postings are and joined to them, so a common shingle's postings need not meet in one task."""
     lists = classes.select("id", "n", "common", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
-    postings = materialize(lists.withColumn("shared", shared).where("shared > 1").drop("shared"), "join-postings")
-
-    groups = (
-        postings.groupBy("id", "n")
-        .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shingle"))), lambda x: x["shingle"].cast("string")), ","), 256).alias("prefix"), F.max("common").alias("common"))
-        .withColumn("leader", F.first("id").over(Window.partitionBy("n", "prefix").orderBy(F.desc("common"), "id")))
-        .select("id", "n", "leader")
+    shared = lists.groupBy("shingle").count().where("count > 1").select("shingle")
+    postings = materialize(lists.join(shared, "shingle"), f"{name}-postings")
+
+    own = postings.groupBy("id", "n").agg(  # the prefix of one set
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shingle"))), lambda x: x["shingle"].cast("string")), ","), 256).alias("prefix"), F.max("common").alias("common")
     )
-    groups = materialize(groups, "join-groups")
-    by_shingle = Window.partitionBy("shingle")
+    own = materialize(own, f"{name}-own")
+    leaders = own.groupBy("n", "prefix").agg(F.min(F.struct((-F.col("common")).alias("c"), "id")).alias("first")).select("n", "prefix", F.col("first.id").alias("leader"))
+    groups = materialize(own.join(leaders, ["n", "prefix"]).select("id", "n", "leader"), f"{name}-groups")
     leads = F.when(F.col("id") == F.col("leader"), 1)
-    postings = materialize(postings.join(groups, ["id", "n"]).withColumn("members", F.count(F.lit(1)).over(by_shingle)).withColumn("groups", F.count(leads).over(by_shingle)), "join-grouped")
+    postings = postings.join(groups, ["id", "n"])
+    counts = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.count(leads).alias("groups"))
+    postings = materialize(postings.join(counts, "shingle"), f"{name}-grouped")
     of_groups = postings.groupBy("shingle", "n", F.col("leader").alias("id"), "groups").agg(F.min("pos").alias("pos"), F.max("common").alias("common"))
     short, long = of_groups.where(F.col("groups") <= SHORT), of_groups.where(F.col("groups") > SHORT)
     mate = short.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos")])
     within = short.join(mate, "shingle").where((F.col("p_id") < F.col("id")) & near(num, den)).select(F.col("p_id").alias("a"), F.col("id").alias("b"))
-    of_pairs = materialize(within.unionAll(pairs_with_pivots(long, num, den)).distinct(), "join-group-pairs")
+    of_pairs = materialize(within.unionAll(pairs_with_pivots(long, num, den)).distinct(), f"{name}-group-pairs")
     member, other = groups.select(F.col("leader").alias("b"), F.col("id").alias("m")), groups.select(F.col("leader").alias("a"), F.col("id").alias("m"))
     # a pair of groups is expanded to the leader of one with the members of the other: linear in the members
     expanded = of_pairs.join(member, "b").select(F.col("a").alias("u"), "m").unionAll(of_pairs.join(other, "a").select(F.col("b").alias("u"), "m")).unionAll(groups.select(F.col("leader").alias("u"), F.col("id").alias("m")))
-    pairs = materialize(expanded.where("u <> m").select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct(), "join-pairs")
+    pairs = materialize(expanded.where("u <> m").select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct(), f"{name}-pairs")
 
     def ends(of: DataFrame) -> DataFrame:
         return of.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    sets = materialize(_sets(texts, ends(pairs), k), "join-sets")
-    links = materialize(verified(pairs, sets, num, den), "join-links")
-    # an id on several rows is one node: tie it to the classes of all its texts
-    twice = rows.where("n > 0 and id is not null").groupBy("id").count().where("count > 1").select("id")
-    ties = rows.join(twice, "id", "left_semi").join(classes.select("high", "low", F.col("id").alias("a")), ["high", "low"]).select("a", F.col("id").alias("b"))
-    found = materialize(connected_components(links.unionAll(ties), "join-first"), "join-found")
+    sets = materialize(sets_of(ends(pairs)), f"{name}-sets")
+    links = materialize(verified(pairs, sets, num, den), f"{name}-links")
+    found = materialize(connected_components(links if ties is None else links.unionAll(ties), f"{name}-first"), f"{name}-found")
 
     # second pass: what pivots and leaders have left apart
-    apart = (
-        postings.where((F.col("members") > F.col("groups")) | (F.col("groups") > SHORT))
-        .join(found.withColumnRenamed("component", "c"), "id", "left")
-        .withColumn("c", F.coalesce("c", "id"))
-        .withColumn("least", F.min("c").over(by_shingle))
-        .withColumn("most", F.max("c").over(by_shingle))
-        .where("least < most")
-        .select("shingle", "id", "n", "pos", "c")
-    )
-    apart = materialize(apart, "join-apart")
+    rest = postings.where((F.col("members") > F.col("groups")) | (F.col("groups") > SHORT)).join(found.withColumnRenamed("component", "c"), "id", "left")
+    rest = rest.select("shingle", "id", "n", "pos", F.coalesce("c", "id").alias("c"))
+    split = rest.groupBy("shingle").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("shingle")
+    apart = materialize(rest.join(split, "shingle"), f"{name}-apart")
     mate = apart.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos", "c")])
     rest = apart.join(mate, "shingle").where((F.col("p_c") < F.col("c")) & near(num, den)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "join-rest")
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), f"{name}-rest")
     if rest.isEmpty():
-        more = links.limit(0)
-    else:
-        unseen = ends(rest).join(sets.select("id"), "id", "left_anti")
-        further = sets if unseen.isEmpty() else sets.unionAll(materialize(_sets(texts, materialize(unseen, "join-unseen"), k), "join-sets"))
-        more = materialize(verified(rest, further, num, den), "join-more")
+        return found
+    unseen = ends(rest).join(sets.select("id"), "id", "left_anti")
+    further = sets if unseen.isEmpty() else sets.unionAll(materialize(sets_of(materialize(unseen, f"{name}-unseen")), f"{name}-sets"))
+    more = materialize(verified(rest, further, num, den), f"{name}-more")
     if more.isEmpty():
-        components = found
-    else:
-        far = more.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        over = connected_components(far.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "join-second")
-        over = materialize(over, "join-over")
-        raised = found.join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-        components = raised.unionAll(over.join(found, "id", "left_anti"))
-
-    named = classes.select("high", "low", F.col("id").alias("first")).join(components.withColumnRenamed("id", "first"), "first", "left").select("high", "low", F.coalesce("component", "first").alias("of_class"))
-    out = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "high", "low").join(named, ["high", "low"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("of_class")), "doc_id")).alias("component_id"))
+        return found
+    # the components found are one edge each by now
+    return connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more), f"{name}-second")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Link rows whose sets of distinct k-word shingles have Jaccard similarity num/den or more.
+
+    Returns one row per input row: ``doc_id, n_shingles, component_id`` (the smallest id reachable by links).
+    Words are lower-cased (A-Z) and cut at the six ASCII white-space characters; shingles are compared by
+    64-bit hashes. A text with fewer than k words has its whole sequence as its only shingle. Null, empty
+    and blank texts have 0 shingles and are linked with nothing. Rows that repeat an id are one node, linked
+    by any of their texts, and have one component_id. A row whose id is null is returned with its n_shingles and a null component_id.
+    Other columns are ignored, whatever their names; an empty table gives an empty result."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_text"))
+    rows = materialize(prefixes(texts, text_sets(k), num, den), "join-rows")
+    full = rows.where("n > 0 and id is not null")
+    classes = full.groupBy("high", "low").agg(F.min(F.struct("id", "n", "prefix", "common")).alias("first")).select("high", "low", "first.*")
+    classes = materialize(classes, "join-classes")
+    # an id on several rows is one node: tie it to the classes of all its texts
+    twice = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    ties = full.join(twice, "id", "left_semi").join(classes.select("high", "low", F.col("id").alias("a")), ["high", "low"]).select("a", F.col("id").alias("b")).distinct()
+    components = materialize(linked_components(classes.drop("high", "low"), lambda ids: _sets(texts, ids, k), num, den, "join", ties), "join-components")
+
+    named = classes.select("high", "low", F.col("id").alias("first")).join(components.withColumnRenamed("id", "first"), "first", "left").select("high", "low", F.coalesce("component", "first").alias("component_id"))
+    with_text = full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "high", "low").join(named, ["high", "low"]).drop("high", "low")
+    # the others go by their id alone: what has no words would else meet in one task
+    empty = rows.where("n = 0 and id is not null").join(components, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    nameless = rows.where("id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return with_text.unionAll(empty).unionAll(nameless)

@@ -7,8 +7,9 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -108,10 +109,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(text: bytes | None, cache: WordHashes) -> np.ndarray:
-    """The hash of every word of the lower-cased (A-Z) text, in order."""
-    words = text.lower().split() if text else ()
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+def hashes_of(words: Iterable[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, list after list, and where each list begins, with the end of the last."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
+    return np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(bounds[-1])), bounds
 
 
 def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -126,9 +127,11 @@ def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def shingle_set(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's k-word shingles."""
-    return np.unique(ngram_hashes(word_hashes(text, cache), k))
+def shingle_sets(texts: list[bytes | None], k: int, cache: WordHashes) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its k-word shingles, words lower-cased (A-Z)."""
+    words, bounds = hashes_of([t.lower().split() if t else [] for t in texts], cache)
+    grams = ngram_hashes(words, k)  # those that reach into the next text are not used
+    return [np.unique(grams[a : b - k + 1] if b - a >= k else ngram_hashes(words[a:b], k)) for a, b in pairwise(bounds.tolist())]
 
 
 def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:

@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.jaccard_join import SHORT, near, pairs_with_pivots, sets_by_id, verified
-from weekloom.llm.shared import WordHashes, bound_batches, connected_components, materialize, mix, ngram_hashes, tidy
+from weekloom.llm.jaccard_join import SHORT, linked_components, prefixes, sets_by_id, stored_sets, verified
+from weekloom.llm.shared import WordHashes, connected_components, hashes_of, materialize, mix, ngram_hashes, tidy
 
 LEAST = 20
 REACH = 4
@@ -25,8 +26,8 @@ NUM, DEN = 80, 100
 RECALL = 0.999
 #: A line of wrapped text has fewer words.
 WRAP = 40
-#: A longer band is compared by so many of its lines with the whole of it in one task.
-BLOCK = 256
+#: Places between two texts of a batch; more than content-defined cuts and shingles look ahead.
+GAP = 8
 
 
 def tuned_bands(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
@@ -44,67 +45,78 @@ SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _summed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order-dependent hashes of the word runs [start, end), which do not overlap and are in order."""
+    """Order-dependent hashes of the word runs [start, end), none of them empty."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
     sizes = ends - starts
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    at = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
-    inside = place + np.repeat(starts, sizes)
-    each = mix(values[inside] + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    each = mix(values[place + np.repeat(starts, sizes)] + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     return mix(np.add.reduceat(each, at) + sizes.astype(np.uint64))
 
 
-def _lines(text: bytes | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and the word numbers at which lines begin, with the end of the last."""
-    lines = [x.split() for x in text.lower().split(b"\n")] if text else []
-    edges = np.cumsum([0, *map(len, lines)])
-    return np.fromiter((cache[w] for x in lines for w in x), dtype=np.uint64, count=int(edges[-1])), edges
-
-
-def _paragraphs(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the long lines, and of the runs of shorter lines up to a blank one that are long together: wrapped text."""
-    sizes = np.diff(edges)
-    long = sizes >= LEAST
-    starts, ends = [edges[:-1][long]], [edges[1:][long]]
-    for most in (LEAST, WRAP):
-        inside = np.concatenate([[0], (sizes > 0) & (sizes < most), [0]])
-        turns = np.flatnonzero(np.diff(inside))
-        first, last = turns[::2], turns[1::2]
-        run = (last - first > 1) & (edges[last] - edges[first] >= LEAST)
-        starts.append(edges[first[run]])
-        ends.append(edges[last[run]])
-    total = int(edges[-1]) + 1
-    both = np.unique(np.concatenate(starts) * total + np.concatenate(ends))
-    return both // total, both % total
-
-
-def line_words(text: bytes | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, starts, ends) of the paragraphs, in words."""
-    words, edges = _lines(text, cache)
-    return words, *_paragraphs(edges)
-
-
-def paragraphs(text: bytes | None, cache: WordHashes) -> tuple:
-    """(word hashes, paragraph starts, paragraph ends, piece starts, piece ends), in words.
-
-    Pieces are cut by content and at line edges; those that lines cut are there whole as well."""
-    words, edges = _lines(text, cache)
-    total = len(words)
-    if not total:
-        none = np.zeros(0, np.int64)
-        return words, none, none, none, none
-    pair = mix(words[:-1] * np.uint64(3) + words[1:]) if total > 1 else np.zeros(0, np.uint64)
-    least = np.ones(len(pair), dtype=bool)
-    for d in range(1, REACH + 1):
-        least[d:] &= pair[d:] < pair[:-d]
-        least[:-d] &= pair[:-d] <= pair[d:]
-    content = np.unique(np.concatenate([[0], np.flatnonzero(least) + 1, [total]]))
-    cuts = np.unique(np.concatenate([edges, content]))
-    whole = np.diff(np.searchsorted(cuts, content)) > 1
-    return words, *_paragraphs(edges), np.concatenate([cuts[:-1], content[:-1][whole]]), np.concatenate([cuts[1:], content[1:][whole]])
+class Words:
+    """The words of a batch of texts in one array, with ``GAP`` places between texts, so that nothing near one text's end depends on the next text.
+
+    starts and ends are those of its lines; a blank line stands between texts."""
+
+    def __init__(self, texts: list[bytes | None], cache: WordHashes):
+        lines = [[x.split() for x in t.lower().split(b"\n")] if t else [] for t in texts]
+        flat, _ = hashes_of([w for x in lines for w in x], cache)
+        counts = np.array([sum(map(len, x)) for x in lines], dtype=np.int64)
+        self.first = np.cumsum(counts + GAP) - counts - GAP  # where each text begins
+        self.last = self.first + counts
+        self.values = np.zeros(int((counts + GAP).sum()), dtype=np.uint64)
+        self.inside = np.zeros(len(self.values), dtype=bool)
+        place = np.arange(len(flat)) + np.repeat(self.first - (np.cumsum(counts) - counts), counts)
+        self.values[place], self.inside[place] = flat, True
+        sizes = np.array([n for x in lines for n in (*map(len, x), 0)], dtype=np.int64)  # the 0 is the blank line
+        of = np.repeat(np.arange(len(lines)), [len(x) + 1 for x in lines])
+        before = np.cumsum(sizes) - sizes
+        self.starts = before + self.first[of] - (np.cumsum(counts) - counts)[of] if len(lines) else before
+        self.ends = self.starts + sizes
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        """Number of the text in which each place stands."""
+        return np.searchsorted(self.first, places, side="right") - 1
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the long lines, and of the runs of shorter lines up to a blank one that are long together: wrapped text."""
+        sizes = self.ends - self.starts
+        long = sizes >= LEAST
+        starts, ends = [self.starts[long]], [self.ends[long]]
+        for most in (LEAST, WRAP):
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], (sizes > 0) & (sizes < most), [0]])))
+            one, two = turns[::2], turns[1::2] - 1
+            run = (two > one) & (self.ends[two] - self.starts[one] >= LEAST)
+            starts.append(self.starts[one[run]])
+            ends.append(self.ends[two[run]])
+        total = len(self.values) + 1
+        both = np.unique(np.concatenate(starts) * total + np.concatenate(ends))
+        return both // total, both % total
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the pieces: cut by content and at line edges; those that lines cut are there whole as well."""
+        if not self.inside.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair = mix(self.values[:-1] * np.uint64(3) + self.values[1:])
+        pair[~(self.inside[:-1] & self.inside[1:])] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        least = self.inside[:-1] & self.inside[1:]
+        for d in range(1, REACH + 1):
+            least[d:] &= pair[d:] < pair[:-d]
+            least[:-d] &= pair[:-d] <= pair[d:]
+        full = self.last > self.first
+        content = np.unique(np.concatenate([self.first[full], np.flatnonzero(least) + 1, self.last[full]]))
+        kept = self.ends > self.starts
+        cuts = np.unique(np.concatenate([content, self.starts[kept], self.ends[kept]]))
+        small, whole = self.inside[cuts[:-1]], self.inside[content[:-1]] & (np.diff(np.searchsorted(cuts, content)) > 1)
+        return np.concatenate([cuts[:-1][small], content[:-1][whole]]), np.concatenate([cuts[1:][small], content[1:][whole]])
 
 
 def signatures(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Band keys of the lines [start, end), one row a line."""
+    if not len(starts):
+        return np.zeros((0, BANDS), dtype=np.uint64)
     grams = ngram_hashes(words, SHINGLE)
     ranges = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
     padded = np.append(grams, np.uint64(0xFFFFFFFFFFFFFFFF))  # so that a last range may end at the end
@@ -119,94 +131,78 @@ def signatures(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def _units(texts: DataFrame) -> DataFrame:
+    """Paragraphs (with bands) and pieces: ``id, text`` (a hash of it), ``hash, start, end, bands``."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            ids, hashes, starts, ends, bands = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, ls, le, ps, pe = paragraphs(text, cache)
-                if not len(words):
-                    continue
-                for s, e, line in ((ls, le, True), (ps, pe, False)):
-                    if len(s):
-                        ids.append(np.full(len(s), doc))
-                        hashes.append(_summed(words, s, e))
-                        starts.append(s)
-                        ends.append(e)
-                        bands += list(signatures(words, s, e).view(np.int64)) if line else [None] * len(s)
-            one = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-            hashed = pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([one(ids, pa.int64()), hashed, one(starts, pa.int32()), one(ends, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["id", "hash", "start", "end", "bands"])
-
-    return texts.where("id is not null").mapInArrow(tidy(cut), "id long, hash long, start int, end int, bands array<long>")
+            found = batch.column(1).to_pylist()
+            words = Words(found, cache)
+            ids, names = batch.column(0).to_numpy(zero_copy_only=False), np.array([xxhash.xxh3_64_intdigest(t or b"") for t in found], dtype=np.uint64).view(np.int64)
+            ls, le = words.paragraphs()
+            ps, pe = words.pieces()
+            keys = signatures(words.values, ls, le).view(np.int64)
+            hashes = np.concatenate([_summed(words.values, ls, le), _summed(words.values, ps, pe)])
+            starts, ends = np.concatenate([ls, ps]), np.concatenate([le, pe])
+            of = words.text_of(starts)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ls) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            bands = pa.concat_arrays([lists, pa.nulls(len(ps), lists.type)])
+            columns = [pa.array(ids[of], pa.int64()), pa.array(names[of], pa.int64()), pa.array(hashes.view(np.int64), pa.int64()), *[pa.array(x - words.first[of], pa.int32()) for x in (starts, ends)], bands]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text", "hash", "start", "end", "bands"])
+
+    return texts.where("id is not null").mapInArrow(tidy(cut), "id long, text long, hash long, start int, end int, bands array<long>")
 
 
 def _line_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, hashes``: the shingle sets of the lines whose hash is asked for (and a few others)."""
+    """``id, hashes``: the shingle sets of the paragraphs whose hash is asked for (and a few others)."""
 
     def lines(docs: pa.Array, texts: pa.Array, cache: WordHashes) -> Iterator[tuple[np.ndarray, Callable]]:
-        for text in texts.to_pylist():
-            words, starts, ends = line_words(text, cache)
-            if len(starts):
-                yield _summed(words, starts, ends).view(np.int64), lambda i: np.unique(ngram_hashes(words[starts[i] : ends[i]], SHINGLE))  # noqa: B023
+        words = Words(texts.to_pylist(), cache)
+        starts, ends = words.paragraphs()
+        grams = ngram_hashes(words.values, SHINGLE)
+        yield _summed(words.values, starts, ends).view(np.int64), lambda i: np.unique(grams[starts[i] : ends[i] - SHINGLE + 1])
 
     return sets_by_id(texts, ids, lines)
 
 
-def _apart(bands: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: the pairs of lines of one band that are in different components, but those whose set sizes rule a link out."""
-    sizes = sets.select("id", F.expr("length(hashes) div 8").alias("n")).dropDuplicates(["id"])
-    of = bands.select("shingle", "id", "m").join(components.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    split = of.groupBy("shingle").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("shingle")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    of = of.join(split, "shingle").join(sizes, "id").withColumn("pos", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    of = materialize(of, "repeat-apart")
-    mate = of.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos", "c")])
-    pairs = of.join(mate, ["shingle", "block"]).where((F.col("p_c") < F.col("c")) & near(NUM, DEN))
-    return pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_repeats, repeated_words, removed_words, spans, removals, components``.
 
     n_repeats counts runs of words that also stand in another document; spans and removals list runs as start:end in words (end exclusive),
     removals those that are not the copy to keep; components are the ids of the line components that the document has part in, each named by a line hash.
     Words are lower-cased (A-Z) and cut at ASCII white space. A null, empty or short text has no repeats. Repeats within one document alone do not
-    count; rows that repeat an id are one document, whose numbers add up. Rows with a null id are left out. Other columns are ignored; an empty table gives an empty result."""
+    count; rows that repeat an id are one document: the numbers of its different texts add up, their lists are joined by a semicolon, and a text that the id has twice counts once. Rows with a null id are left out. Other columns are ignored; an empty table gives an empty result."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_text"))
     units = materialize(_units(texts), "repeat-units")
     lines, pieces = units.where("bands is not null"), units.where("bands is null").drop("bands")
 
-    classes = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("bands").alias("bands"), F.max(F.col("end") - F.col("start")).alias("n"))
+    classes = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("bands").alias("bands"))
     classes = materialize(classes, "repeat-classes")
-    banded = classes.select(F.col("hash").alias("id"), "n", F.explode("bands").alias("shingle"))
-    banded = banded.withColumn("pos", F.lit(0))
+    banded = classes.select(F.col("hash").alias("id"), F.explode("bands").alias("shingle"))
     shared = banded.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     collide = materialize(banded.join(shared, "shingle"), "repeat-bands")
-    few, many = collide.where(F.col("m") <= SHORT), collide.where(F.col("m") > SHORT)
-    many = many.join(many.groupBy("id").agg(F.sum("m").alias("common")), "id")  # the lines that collide most are the pivots
+    few, many = collide.where(F.col("m") <= SHORT), collide.where(F.col("m") > SHORT).select("id").distinct()
     mate = few.select("shingle", F.col("id").alias("p_id"))
-    pairs = few.join(mate, "shingle").where("p_id < id").select(F.col("p_id").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(pairs.unionAll(pairs_with_pivots(many, 0, 1)).distinct(), "repeat-pairs")
-    sets = materialize(_line_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).dropDuplicates(["id"]), "repeat-sets")
+    pairs = materialize(few.join(mate, "shingle").where("p_id < id").select(F.col("p_id").alias("a"), F.col("id").alias("b")).distinct(), "repeat-pairs")
+    many = materialize(many, "repeat-many")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(many).distinct()
+    sets = materialize(_line_sets(texts, asked).dropDuplicates(["id"]), "repeat-sets")
     links = materialize(verified(pairs, sets, NUM, DEN), "repeat-links")
+    if not many.isEmpty():  # a long band by an exact prefix join of its lines: comparing all its pairs would grow with its square
+        hot = prefixes(sets.join(many, "id", "left_semi"), stored_sets, NUM, DEN).drop("high", "low")
+        hot = linked_components(materialize(hot, "repeat-hot"), lambda ids: sets.join(ids, "id", "left_semi"), NUM, DEN, "repeat-hot")
+        links = links.unionAll(hot.select(F.col("id").alias("a"), F.col("component").alias("b")))
     found = materialize(connected_components(links, "repeat"), "repeat-near")
-    # second pass: what pivots have left apart; every line of a long band was paired with a pivot, so its set is there
-    rest = materialize(_apart(many, found, sets).join(pairs, ["a", "b"], "left_anti"), "repeat-rest")
-    if not rest.isEmpty():
-        more = materialize(verified(rest, sets, NUM, DEN), "repeat-more")
-        if not more.isEmpty():
-            found = materialize(connected_components(links.unionAll(more), "repeat-second"), "repeat-near")
     of_line = classes.join(found.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     groups = of_line.groupBy("component").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last")
-    repeated_lines = lines.select("hash", "id", "start", "end").join(of_line.join(groups, "component").select("hash", "component", "keeper"), "hash")
+    runs_of = ["id", "text", "start", "end", "component", "keeper"]
+    repeated_lines = lines.select("hash", *runs_of[:4]).join(of_line.join(groups, "component").select("hash", "component", "keeper"), "hash").select(*runs_of)
 
     twice = pieces.groupBy("hash").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "keeper")
-    repeated_pieces = pieces.join(twice, "hash").select("hash", "id", "start", "end", F.lit(None).cast("long").alias("component"), "keeper")
+    repeated_pieces = pieces.join(twice, "hash").withColumn("component", F.lit(None).cast("long")).select(*runs_of)
 
-    both = repeated_lines.select("id", "start", "end", "component", "keeper").unionAll(repeated_pieces.select("id", "start", "end", "component", "keeper"))
-    runs = both.groupBy("id").agg(
-        F.collect_list(F.struct("start", "end")).alias("all"), F.collect_list(F.when(F.col("keeper") < F.col("id"), F.struct("start", "end"))).alias("go"), F.array_sort(F.collect_set("component")).alias("components")
+    runs = repeated_lines.unionAll(repeated_pieces).groupBy("id", "text").agg(  # of one text
+        F.collect_set(F.struct("start", "end")).alias("all"), F.collect_set(F.when(F.col("keeper") < F.col("id"), F.struct("start", "end"))).alias("go"), F.array_sort(F.collect_set("component")).alias("components")
     )
 
     def joined(parts: list, least: int) -> list[list[int]]:
@@ -221,16 +217,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = lambda spans: ",".join(f"{a}:{b}" for a, b in spans)
         for batch in batches:
-            every, go = ([joined(x, LEAST) for x in batch.column(i).to_pylist()] for i in (1, 2))
+            every, go = ([joined(x, LEAST) for x in batch.column(i).to_pylist()] for i in (2, 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in every], pa.int64())]
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in every], pa.int64())]
                 + [pa.array([sum(b - a for a, b in x) for x in of], pa.int64()) for of in (every, go)]
                 + [pa.array([said(x) for x in of], pa.string()) for of in (every, go)]
-                + [pa.array([c if x else [] for c, x in zip(batch.column(3).to_pylist(), every, strict=True)], pa.list_(pa.int64()))],
-                ["id", "n_repeats", "repeated_words", "removed_words", "spans", "removals", "components"],
+                + [pa.array([c if x else [] for c, x in zip(batch.column(4).to_pylist(), every, strict=True)], pa.list_(pa.int64()))],
+                ["id", "text", "n_repeats", "repeated_words", "removed_words", "spans", "removals", "components"],
             )
 
-    merged = runs.mapInArrow(tidy(merge), "id long, n_repeats long, repeated_words long, removed_words long, spans string, removals string, components array<long>")
+    merged = runs.mapInArrow(tidy(merge), "id long, text long, n_repeats long, repeated_words long, removed_words long, spans string, removals string, components array<long>")
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("text", c)))), lambda x: x[c]), ";").alias(c)
+    merged = merged.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_repeats", "repeated_words", "removed_words")], listed("spans"), listed("removals"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("components")))).alias("components"))
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = ids.join(merged, "id", "left")
