@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
@@ -13,7 +14,8 @@ from hypothesis import strategies as st
 from weekloom.llm import bpe, secrets
 from weekloom.llm.html_text import blocks, common, extract_main_text, main_text
 from weekloom.llm.language import identify_languages
-from weekloom.llm.toxicity import score_toxicity, slots_of
+from weekloom.llm import toxicity
+from weekloom.llm.toxicity import score_toxicity
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -178,9 +180,37 @@ def test_toxicity_generalises_to_misspellings(spark):
     assert score_toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0 and score_toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_long_words_are_read_whole():
-    inside = set(slots_of(b"worthless")) - set(slots_of(b"w")) - set(slots_of(b"s"))
-    marks = {*slots_of(b"worthless")} - {*slots_of(b"aworthlessb")}  # of n-grams with a boundary mark
-    assert inside - marks and inside - marks <= set(slots_of(b"a" * 100 + b"worthless" + b"b" * 100))
-    text = "".join(chr(0x4E00 + i) for i in range(400)).encode()
-    assert len(slots_of(text)) > 1500
+def plain_logit(text, worth, rest):
+    """Word by word and n-gram by n-gram; an n-gram's slot is looked up by the code under test."""
+    words = "".join(c if c.isascii() and c.isalpha() or ord(c) >= 128 else " " for c in text.lower()).split()
+    total = 0.0
+    for w in words:
+        marked = f" {w} "
+        grams = [marked[i : i + n] for n in toxicity.ORDERS for i in range(len(marked) - n + 1)]
+        slots = [int(s) for g in grams for s, at in zip(*toxicity.ngrams(np.array([ord(c) for c in g], dtype=np.uint32)), strict=True) if at == 0 and len(g) >= 3][: 10**6]
+        by_length = [toxicity.ngrams(np.array([ord(c) for c in g], dtype=np.uint32))[0][-1] for g in grams]
+        assert slots
+        total += np.mean(worth[by_length])
+    return rest + total / max(1, len(words))
+
+
+def test_toxicity_scores_equal_a_plain_scorer():
+    rng = np.random.default_rng(1)
+    worth = rng.normal(size=toxicity.SLOTS).astype(np.float32)
+    texts = ["one two", "", "a", "  x  ", "Ünïcode worthless, trash!", "word " * 50, "1 2 3", "q" * 3000, "中文字符没有空格", "a-b c'd"]
+    got = toxicity.logits(texts, worth, 0.5)
+    assert np.allclose(got, [plain_logit(t, worth, 0.5) for t in texts], atol=1e-4)
+    small, toxicity.TOGETHER = toxicity.TOGETHER, 10
+    try:
+        assert np.allclose(got, toxicity.logits(texts, worth, 0.5))
+    finally:
+        toxicity.TOGETHER = small
+
+
+def test_toxicity_of_repeated_ids_and_labels(spark):
+    texts = [(i, "vile nasty words here" if i % 2 else "calm gentle words here", None) for i in range(60)]
+    docs = spark.createDataFrame(texts + [(0, "zzz other", None), (None, "vile nasty", None)], "doc_id long, text string, held_out string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, 0), (None, 1), (1, 1)], "doc_id long, toxic int")
+    rows = score_toxicity(docs, labels).collect()
+    assert len(rows) == 62 and sum(r.doc_id == 0 for r in rows) == 2 and [r.held_out for r in rows if r.doc_id is None] == [False]
+    assert all(r.score > 0.5 for r in rows if r.doc_id and r.doc_id % 2) and all(0 <= r.score <= 1 for r in rows)
