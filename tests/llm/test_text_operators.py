@@ -100,6 +100,40 @@ def test_layers_that_are_not_clean_text():
     assert kinds("\n".join(re.findall(".{1,14}", code(SECRET.encode())))) >= {"assign", "hex"}
 
 
+def test_deeply_nested_escapes_are_linear():
+    import time
+
+    for levels in (1, 3, 17, 40, 60_000):
+        text = "x p%" + "25" * levels + "61ssword=abcdef123 y"
+        began = time.time()
+        assert (3, len(text) - 2, "assign") in secrets.find_secrets("x " + text[2:])[1] or any(k == "assign" and b == len(text) - 2 for a, b, k in secrets.find_secrets(text)[1])
+        assert time.time() - began < 3
+
+
+def naive_layers(text, depth=3):
+    """Every layer of a text whose whole is encoded."""
+    out = {text}
+    for _ in range(depth):
+        for t in list(out):
+            for decode in (lambda x: base64.b64decode(x, validate=True), lambda x: gzip.decompress(base64.b64decode(x, validate=True)), lambda x: re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), x).encode()):
+                try:
+                    out.add(decode(t).decode("utf-8"))
+                except Exception:  # noqa: BLE001
+                    continue
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["base64", "gzip", "url"]), min_size=1, max_size=3), st.integers(10**9, 10**12))
+def test_layers_equal_a_naive_decoder(steps, number):
+    text = f'config token = "{number}abcdef" end'
+    for step in steps:
+        raw = text.encode()
+        text = base64.b64encode(raw).decode() if step == "base64" else base64.b64encode(gzip.compress(raw, mtime=0)).decode() if step == "gzip" else "".join(f"%{b:02X}" for b in raw)
+    want = any(k == "assign" for t in naive_layers(text) for _, _, k in plain_scan(t))
+    assert want and any(k == "assign" for _, _, k in secrets.find_secrets(text)[1])
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, SECRET, 0), (2, None, 0), (3, "", 0), (None, "AKIA" + "B" * 16, 0)], "doc_id long, text string, n_hex int")
     rows = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}

@@ -1,7 +1,10 @@
+from fractions import Fraction
+
 import duckdb
 import numpy as np
 import pytest
 
+from weekloom.llm import vector_blocks
 from weekloom.llm.ann import nearest_neighbours
 from weekloom.llm.mixing import MIX_SQL, mix_sources
 from weekloom.llm.topk import threshold_search, topk_inner_product
@@ -35,15 +38,37 @@ def test_topk_matches_brute_force(spark):
 def test_threshold_stops_early_and_fewer_rows_than_k():
     x = np.zeros((5000, 2))
     x[:, 0] = np.arange(5000)
-    q, ids, s = threshold_search(np.array([-1]), np.array([[1.0, 0.0]]), np.arange(5000), x, 3)
+    q, ids, s = threshold_search(np.array([-1]), np.array([[1.0, 0.0]]), [float("nan")], np.arange(5000), x, 3)
     assert ids.tolist() == [4999, 4998, 4997]
-    q, ids, s = threshold_search(np.array([0]), np.array([[0.0, 0.0]]), np.arange(3), np.ones((3, 2)), 10)
+    q, ids, s = threshold_search(np.array([0]), np.array([[0.0, 0.0]]), [float("nan")], np.arange(3), np.ones((3, 2)), 10)
     assert ids.tolist() == [1, 2] and s.tolist() == [0, 0]
 
 
-def test_ann_scores_are_exact_and_recall_is_high(spark):
-    x = vectors(1500, 16).astype(np.float64)
-    rows = spark.createDataFrame([(i, [float(v) for v in r], 0, "x") for i, r in enumerate(x)] + [(9900, [0.0] * 16, 0, "x")], VEC)
+def test_topk_of_any_size_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "ROWS", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=6) * (1.0, 1e5, 1e12, 1e300)[i % 4 if i < 40 else 0]]) for i in range(300)]
+    rows += [(300 + i, [float(v) for v in rng.normal(size=3)]) for i in range(120)] + [(None, [1.0] * 6), (200, [1e308] * 6), (500, [20000.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, v string")
+    got = {}
+    for r in topk_inner_product(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    kept = {}
+    for i, v in rows:
+        if i is not None:
+            kept[i] = min(kept.get(i, v), v)
+    whole = {i: [Fraction(x) * 1024 // 1 for x in v] for i, v in kept.items()}
+    want = {}
+    for q in (i for i in whole if i % 100 == 0):
+        s = {i: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(whole[q], v, strict=True)))) for i, v in whole.items() if i != q and len(v) == len(whole[q])}
+        want[q] = [(i, s[i]) for i in sorted(s, key=lambda i: (-s[i], i))[:10]]
+    assert got == want
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+def test_ann_scores_are_exact_and_recall_is_high(spark, dim):
+    x = vectors(1500, dim).astype(np.float64)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], 0, "x") for i, r in enumerate(x)] + [(9900, [0.0] * dim, 0, "x"), (None, [1.0] * dim, 0, "x"), (9800, [1.0] * 3, 0, "x")], VEC)
     got = nearest_neighbours(rows).orderBy("query_id", "rank").collect()
     x = np.array([[float(np.float32(v)) for v in r] for r in x])
     hits = 0

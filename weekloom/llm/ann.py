@@ -15,15 +15,15 @@ from weekloom.llm.vector_blocks import best_in_blocks, finite_vectors
 
 #: Codebooks are fitted on at most so many rows (those with the smallest hash of their id); every row is coded.
 SAMPLE = 8192
-CODES = 16
-#: Rows of a block that are scored exactly for each query: this share of the block, at least FEWEST.
-RERANK_SHARE, FEWEST = 1 / 16, 64
+CODES, SUBSPACE = 16, 1
+#: Rows of a block that are scored exactly for each query, whatever its size.
+RERANKED = 64
 THRESHOLD = 0.2
 
 
 def _parts(dim: int) -> list[slice]:
-    """Subspaces of 2 dimensions; the last may have 1."""
-    return [slice(i, min(i + 2, dim)) for i in range(0, dim, 2)]
+    """Subspaces of SUBSPACE dimensions; the last may have fewer."""
+    return [slice(i, min(i + SUBSPACE, dim)) for i in range(0, dim, SUBSPACE)]
 
 
 def _weight(dim: int) -> float:
@@ -89,12 +89,12 @@ def scan(queries: np.ndarray, books: list[np.ndarray], packed: np.ndarray) -> np
     return total
 
 
-def approximate_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, books: dict[int, list[np.ndarray]]) -> tuple:
+def approximate_search(query_ids: np.ndarray, queries: np.ndarray, limits: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, books: dict[int, list[np.ndarray]]) -> tuple:
     """Code one block, scan it for each query, and score the best of the scan exactly."""
     own = books[vectors.shape[1]]
     norms = np.linalg.norm(vectors, axis=1)
     packed = pack(_assign(vectors, vectors / norms[:, None], own, sweeps=2))
-    most = min(len(ids), max(FEWEST, k + 1, round(len(ids) * RERANK_SHARE)))
+    most = min(len(ids), max(RERANKED, k + 1))
     out_q, out_id, out_s = [], [], []
     for at in range(0, len(queries), 64):
         closeness = scan(queries[at : at + 64], own, packed) - (norms**2 / 2).astype(np.float32)
@@ -122,4 +122,4 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
         sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()
         books[dim] = fit_codebooks(np.array([r.v for r in sample], dtype=np.float64))
     shared = rows.sparkSession.sparkContext.broadcast(books)
-    return best_in_blocks(rows, every, k, lambda a, b, c, d: approximate_search(a, b, c, d, k, shared.value), "double", ascending=True)
+    return best_in_blocks(rows, every, k, lambda *blocks: approximate_search(*blocks, k, shared.value), "double", ascending=True)

@@ -261,6 +261,8 @@ def linked_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFra
     rest = rest.select("shingle", "id", "n", "pos", F.coalesce("c", "id").alias("c"))
     split = rest.groupBy("shingle").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("shingle")
     apart = materialize(rest.join(split, "shingle"), f"{name}-apart")
+    if apart.isEmpty():
+        return found
     mate = apart.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "pos", "c")])
     rest = apart.join(mate, "shingle").where((F.col("p_c") < F.col("c")) & near(num, den)).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), f"{name}-rest")

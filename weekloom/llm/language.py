@@ -3,7 +3,7 @@
 A text is the set of its byte n-grams of 1 to 4, hashed into ``DIM`` slots; the kernel of two texts is the size of the
 intersection over the geometric mean of the sizes. Nyström features over ``LANDMARKS`` texts feed a one-versus-rest kernel ridge
 regression. As the kernel is linear in the (normalised) presence vectors, landmarks and regression multiply out to one DIM x
-languages matrix, and a batch is scored by one product of its sparse presence matrix with it."""
+languages matrix, and texts are scored by products of their presence matrix with it."""
 
 from __future__ import annotations
 
@@ -20,7 +20,11 @@ DIM = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: At most so many training texts of each language, those with the smallest hash of their id, and so many languages.
 PER_LANGUAGE, LANGUAGES = 400, 200
+#: Ids are picked in so many parts before they are picked in all.
+PARTS = 64
 LANDMARKS = 320
+#: Texts whose presence vectors are multiplied together.
+TOGETHER = 64
 RIDGE = 1e-3
 SHARPNESS = 6.0
 
@@ -87,23 +91,35 @@ def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple
     identity = F.col(id_col).cast("long")
     known = docs.select(identity.alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), _held_out(identity).alias("held"))
     known = known.where("id is not null and text is not null and lang is not null and not held")
-    # ids are picked first, so that no text is sorted or shuffled for the sample
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = known.select("lang", "id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= PER_LANGUAGE).orderBy("at", "lang", "id").limit(PER_LANGUAGE * LANGUAGES).select("id").collect()
-    wanted = sorted({r.id for r in picked})
-    sample = known.where(F.col("id").isin(wanted)).select("id", "text", "lang").collect() if wanted else []
-    sample = sorted({(r.id, r.lang, r.text) for r in sample})
+    # ids are picked first, so that no text is sorted or shuffled for the sample; in parts first, so that no task sees all rows of a language
+    order = (F.xxhash64("id"), "id")
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS))
+    some = known.select("lang", "id").withColumn("at", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("at") <= PER_LANGUAGE)
+    picked = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("at") <= PER_LANGUAGE)
+    picked = picked.orderBy("at", "lang", "id").limit(PER_LANGUAGE * LANGUAGES).select("lang", "id").distinct()
+    sample = known.join(F.broadcast(picked), ["lang", "id"]).groupBy("id", "lang").agg(F.min("text").alias("text")).collect()  # PER_LANGUAGE * LANGUAGES rows at most
+    sample = sorted((r.id, r.lang, r.text) for r in sample)
     return fit([t for _, _, t in sample], [x for _, x, _ in sample], np.zeros(DIM, dtype=bool))
 
 
-def predicted(text: str | None, names: list[str], matrix: np.ndarray, scratch: np.ndarray) -> tuple[str, float]:
-    """The language of one text and its score; ``und`` and 0 if it has no letter or nothing is learned."""
-    own = grams(text, scratch) if text and names else ()
-    if not len(own):
-        return "und", 0.0
-    value = matrix[own].sum(axis=0, dtype=np.float64) / np.sqrt(len(own))
-    e = np.exp(SHARPNESS * (value - value.max()))
-    return names[int(value.argmax())], float(e.max() / e.sum())
+def predicted(texts: list[str | None], names: list[str], matrix: np.ndarray) -> list[tuple[str, float]]:
+    """The language of each text and its score; ``und`` and 0 if it has no letter or nothing is learned. TOGETHER presence vectors make a matrix product."""
+    scratch, presence = np.zeros(DIM, dtype=bool), np.zeros((TOGETHER, DIM), dtype=np.float32)
+    out: list[tuple[str, float]] = []
+    for at in range(0, len(texts), TOGETHER):
+        sets = [grams(t, scratch) if t and names else grams("", scratch) for t in texts[at : at + TOGETHER]]
+        for row, own in zip(presence, sets, strict=False):
+            row[own] = 1
+        values = presence[: len(sets)].astype(np.float32, copy=False) @ matrix
+        for row, own, value in zip(presence, sets, values.astype(np.float64), strict=False):
+            row[own] = 0
+            if not len(own):
+                out.append(("und", 0.0))
+                continue
+            value = value / np.sqrt(len(own))
+            e = np.exp(SHARPNESS * (value - value.max()))
+            out.append((names[int(value.argmax())], float(e.max() / e.sum())))
+    return out
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -112,14 +128,13 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows whose crc32(id as text) mod 3 is 1 are held out; the others with a non-null language (and text) are what the model learns from.
     lang_pred is a learned language, ``und`` with score 0 for a null text, a text without a letter, or when nothing could be learned. The score is the
     softmax of the regression's values. Null ids are not held out and not learned from. Repeated rows
-    give repeated results; other columns are ignored; an empty table gives an empty result."""
+    give repeated results, and of texts that repeat an id and a language one is learned from; whole texts are read; other columns are ignored; an empty table gives an empty result."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, id_col, text_col, lang_col))  # DIM x languages, whatever the data
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scratch = np.zeros(DIM, dtype=bool)
         for batch in batches:
-            found = [predicted(t, *shared.value, scratch) for t in batch.column(2).to_pylist()]
+            found = predicted(batch.column(2).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     identity = F.col(id_col).cast("long")
@@ -128,14 +143,15 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is not ``und`` and has a score of ``least`` or more."""
+    """The rows of ``docs``, with all their columns, whose language is not ``und`` and has a score of ``least`` or more.
+
+    A null text and a text without a letter have no language and go. Repeated rows stay as often as they are; an empty table gives an empty result."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, id_col, text_col, lang_col))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scratch = np.zeros(DIM, dtype=bool)
         for batch in batches:
-            found = [predicted(t, *shared.value, scratch) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            found = predicted(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), *shared.value)
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(tidy(keep), docs.schema)

@@ -30,6 +30,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this keeps those of 2
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: A percent sign that was itself escaped again and again. Beyond NESTED times all its layers are unwrapped at once: they differ in the number of 25s only.
+NESTED = 16
+DEEP = re.compile(r"%(?:25){" + str(NESTED) + r",}")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 #: A maximal run, with the lines that go on with it; only those of SHORTEST characters and more are decoded.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++)={0,2}")
@@ -184,8 +187,11 @@ class Layer:
                         yield Layer(text, begin, end, above)
 
     def inner(self) -> Iterator[Layer]:
-        if "%" in self.text and (x := self.decoded_in_place(ESCAPES, _from_url)):
-            yield x
+        if "%" in self.text:
+            if "25" * NESTED in self.text and (x := self.decoded_in_place(DEEP, lambda _: "%25")):
+                yield x
+            elif x := self.decoded_in_place(ESCAPES, _from_url):
+                yield x
         if ("\\" in self.text or "&#" in self.text) and (x := self.decoded_in_place(UNICODE, _from_unicode)):
             yield x
         for m in BASE64.finditer(self.text):

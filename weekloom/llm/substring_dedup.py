@@ -188,11 +188,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(many).distinct()
     sets = materialize(_line_sets(texts, asked).dropDuplicates(["id"]), "repeat-sets")
     links = materialize(verified(pairs, sets, NUM, DEN), "repeat-links")
-    if not many.isEmpty():  # a long band by an exact prefix join of its lines: comparing all its pairs would grow with its square
+    if many.isEmpty():
+        found = connected_components(links, "repeat")
+    else:  # a long band by an exact prefix join of its lines: comparing all its pairs would grow with its square
         hot = prefixes(sets.join(many, "id", "left_semi"), stored_sets, NUM, DEN).drop("high", "low")
-        hot = linked_components(materialize(hot, "repeat-hot"), lambda ids: sets.join(ids, "id", "left_semi"), NUM, DEN, "repeat-hot")
-        links = links.unionAll(hot.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    found = materialize(connected_components(links, "repeat"), "repeat-near")
+        found = linked_components(materialize(hot, "repeat-hot"), lambda ids: sets.join(ids, "id", "left_semi"), NUM, DEN, "repeat-hot", links)
+    found = materialize(found, "repeat-near")
     of_line = classes.join(found.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     groups = of_line.groupBy("component").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last")
     runs_of = ["id", "text", "start", "end", "component", "keeper"]
