@@ -4,8 +4,10 @@ word and shingle hashing, connected components, and pivot pairs."""
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
@@ -23,6 +25,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch under ``bound_batches``.
 BATCH_BYTES = 2 << 20
 
+#: Seconds between two looks for shuffle files that nothing needs.
+RELEASE_S = 4.0
+
+_last: dict[str, float] = {}
+_paths: dict[int, tuple[DataFrame, str]] = {}
 _own_dirs: dict[str, str] = {}
 _kept: set[str] = set()
 
@@ -70,6 +77,16 @@ def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def _release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark removes them when the driver's JVM finds their plans unreachable, which
+    it may not look for in a long time."""
+    now = time.monotonic()
+    if now - _last.get("gc", 0.0) >= RELEASE_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _last["gc"] = time.monotonic()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -85,7 +102,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     bound_batches(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        _, path = _paths.pop(id(df))
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class WordHashes(dict):

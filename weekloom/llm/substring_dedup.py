@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.jaccard_join import SHORT, linked_components, prefixes, sets_by_id, stored_sets, verified
-from weekloom.llm.shared import WordHashes, connected_components, hashes_of, materialize, mix, ngram_hashes, tidy
+from weekloom.llm.shared import WordHashes, connected_components, discard, hashes_of, materialize, mix, ngram_hashes, tidy
 
 LEAST = 20
 REACH = 4
@@ -185,6 +185,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mate = few.select("shingle", F.col("id").alias("p_id"))
     pairs = materialize(few.join(mate, "shingle").where("p_id < id").select(F.col("p_id").alias("a"), F.col("id").alias("b")).distinct(), "repeat-pairs")
     many = materialize(many, "repeat-many")
+    discard(collide)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(many).distinct()
     sets = materialize(_line_sets(texts, asked).dropDuplicates(["id"]), "repeat-sets")
     links = materialize(verified(pairs, sets, NUM, DEN), "repeat-links")
@@ -194,6 +195,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         hot = prefixes(sets.join(many, "id", "left_semi"), stored_sets, NUM, DEN).drop("high", "low")
         found = linked_components(materialize(hot, "repeat-hot"), lambda ids: sets.join(ids, "id", "left_semi"), NUM, DEN, "repeat-hot", links)
     found = materialize(found, "repeat-near")
+    discard(pairs, sets)
     of_line = classes.join(found.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     groups = of_line.groupBy("component").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last")
     runs_of = ["id", "text", "start", "end", "component", "keeper"]

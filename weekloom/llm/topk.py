@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from weekloom.llm.vector_blocks import best_in_blocks, finite_vectors
 
