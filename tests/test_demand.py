@@ -53,6 +53,23 @@ def repaired(feeds):
 CFG = RunConfig(as_of=at(59), backtest_weeks=6)
 
 
+def point_path(y, steps):
+    """The statistical point forecast in numpy."""
+    n, s = len(y), pd.Series(y)
+    mid = s.rolling(9, min_periods=1).median()
+    off = (s - mid).abs().rolling(9, min_periods=1).median() * 1.4826 + 1e-9
+    capped = np.minimum(y, mid + 3 * off).to_numpy()
+    decay = (5 / 7) ** np.arange(n - 1, -1, -1.0)
+    level = capped @ decay / decay.sum()
+    trend = np.polyfit(np.arange(min(n, 10)), capped[-10:], 1)[0] if n >= 4 else 0.0
+    factors = np.ones(52)
+    if n >= 91:
+        around = pd.Series(capped).rolling(52, center=True, min_periods=26).median().to_numpy()
+        factors = np.array([np.median((capped / around)[p::52]) for p in range(52)]) / 2 + 0.5
+    h = np.arange(1, steps + 1)
+    return np.maximum(0.0, (0.75**h * y[-1] + (1 - 0.75**h) * (level + trend * np.cumsum(0.9**h))) * factors[(n - 1 + h) % 52])
+
+
 def test_repair_finds_the_stockout_and_splits_promotions(repaired):
     rows = repaired.toPandas()
     hit = rows[rows.is_censored]
@@ -78,12 +95,12 @@ def test_statistical_forecast_equals_numpy(spark, repaired):
     for (item, region, o), g in got.groupby(["item_id", "region", "as_of"]):
         y = rows[(rows.item_id == item) & (rows.region == region) & (rows.week <= o)].units_unconstrained.to_numpy()
         g = g.sort_values("lag")
-        assert np.allclose(g.p50, translate.point_path(y, 8))
+        assert np.allclose(g.p50, point_path(y, 8))
         assert (g.p10 <= g.p50).all() and (g.p50 <= g.p90).all() and (g.p10 >= 0).all()
     long = frame(spark, "units_unconstrained double", [("A", "E", i, 50 + 20 * np.sin(2 * np.pi * i / 52) + i % 5) for i in range(120)])
     y = [50 + 20 * np.sin(2 * np.pi * i / 52) + i % 5 for i in range(120)]
     got = forecast.statistical_forecast(long, spark.createDataFrame([(at(119),)], "as_of date"), 8).orderBy("lag").toPandas()
-    assert np.allclose(got.p50, translate.point_path(np.array(y), 8))
+    assert np.allclose(got.p50, point_path(np.array(y), 8))
 
 
 def test_short_series(spark):
@@ -119,7 +136,7 @@ def test_backtest_scores_and_guards(feeds, repaired):
     assert backtest.exit_criteria(backtest.fva_by_lag(tidy)).count() == 3
 
     def cheat(panel, origins, horizon, value, axis):
-        return panel.join(F.broadcast(origins), F.col("week") == F.col("as_of")).select("item_id", "region", "as_of", "week", F.col(value).alias("pred"))
+        return panel.where(F.col("week") == F.col("as_of")).select("item_id", "region", "as_of", "week", F.col(value).alias("pred"))
 
     with pytest.raises(backtest.LeakageError):
         backtest.backtest(cheat, repaired, CFG)
@@ -132,29 +149,87 @@ def test_projection_fold_equals_loop(spark):
     for k in range(40):
         path, cad, lag = rng.gamma(3, 20, 8), int(rng.integers(1, 5)), int(rng.integers(0, 10))
         oh, it, wos, r = (float(x) for x in rng.uniform(0, 5, 4) * (50, 20, 1, 0.3))
-        rows.append((k, [float(p) for p in path], oh, it, wos, cad, lag, r))
-        want.append(translate.projected(path, oh, it, wos, cad, lag, None, r))
-    df = spark.createDataFrame(rows, "k int, path array<double>, seed_on_hand double, seed_in_transit double, target_wos double, order_cadence_weeks int, reaction_lag_weeks int, replenish double")
+        fit = [float(x) for x in rng.normal(0, 1, 3)] if k % 2 else None
+        rows.append((k, [float(p) for p in path], oh, it, wos, cad, lag, r, fit))
+        held, orders = oh, []
+        for i, x in enumerate(path):
+            position = held + it * (i == lag) - x
+            need = (np.dot(fit, [1, x, position]) if fit else x + wos * x - position) + x * (cad - 1)
+            orders.append(max(0.0, need) if i % cad == 0 else 0.0)
+            held = max(0.0, position + r * x)
+        want.append(orders)
+    df = spark.createDataFrame(rows, "k int, path array<double>, seed_on_hand double, seed_in_transit double, target_wos double, order_cadence_weeks int, reaction_lag_weeks int, replenish double, response array<double>")
     for r in translate.projected_orders(df).collect():
         assert np.allclose([s.projected_order for s in r.steps], want[r.k]) and all(s.projected_on_hand >= 0 for s in r.steps)
-        assert all(s.projected_order == 0 for i, s in enumerate(r.steps) if i % rows[r.k][5])
 
 
 def test_calibration(spark, feeds, repaired):
     rows = translate.joined(repaired, feeds["channel_inventory"], feeds["shipments"]).persist()
-    for (item, region), g in rows.toPandas().groupby(["item_id", "region"]):
-        g = g.sort_values("week")
-        one = lambda df, c: df.where((F.col("item_id") == item) & (F.col("region") == region)).first()[c]  # noqa: B023, E731
+    fits = {(r.item_id, r.region): r for r in translate.calibrated(rows, CFG).collect()}
+    for key, g in rows.toPandas().groupby(["item_id", "region"]):
+        g, r = g.sort_values("week"), fits[key]
         sold, oh, shipped = (g[c].to_numpy(float) for c in ("units_unconstrained", "on_hand", "shipped"))
-        assert one(translate.inventory_usable(rows), "usable") == translate._usable(oh, sold)
-        assert abs(one(translate.target_wos(rows, 4.0), "target_wos") - translate._cover(oh, sold, g.is_censored.to_numpy(bool), 4.0)) < 1e-9
-        assert abs(one(translate.replenishment(rows), "replenish") - translate._recovery(oh, sold)) < 1e-9
-        assert one(translate.reaction_lag(rows, 1), "reaction_lag_weeks") == translate._reaction(sold, shipped, 1)
-        assert one(translate.order_cadence(rows, 1), "order_cadence_weeks") == translate._cadence(shipped, 1)
+        assert r.n == 60 and list(r.tail) == list(sold[-3:]) and r.seed.on_hand == r.end.on_hand == oh[-1]
+        lagged = np.column_stack([np.ones(57), *[sold[3 - k : 60 - k] for k in range(4)]])
+        assert np.allclose(r.transfer, np.linalg.lstsq(lagged, shipped[3:], rcond=None)[0], atol=1e-5)
+        position = oh[:-1] + g.in_transit.to_numpy(float)[1:] - sold[1:]
+        beta = np.linalg.lstsq(np.column_stack([np.ones(59), sold[1:], position]), shipped[1:], rcond=None)[0]
+        assert r.response is None if beta[1] <= 0 else np.allclose(r.response, beta, atol=1e-5)
+        clean = ~g.is_censored.to_numpy(bool) & (sold > 0)
+        assert abs(r.target_wos - np.clip(np.median(oh[clean] / sold.mean()), 1, 12)) < 1e-9
+        assert abs(r.replenish - np.clip(np.median((np.diff(oh) + sold[1:]) / sold[1:]), 0, 1.5)) < 1e-9
+        best = max((np.corrcoef(sold[: 60 - k], shipped[k:])[0, 1], -k) for k in range(5))
+        assert r.reaction_lag_weeks == -best[1] and r.order_cadence_weeks == 1
     flat = rows.withColumn("on_hand", F.lit(1500.0))
-    assert not any(r.usable for r in translate.inventory_usable(flat).collect())
-    y = np.array(range(40), dtype=float) + 50
-    assert np.allclose(translate.transferred(y, 0.5 * y, np.array([90.0, 91.0])), [45.0, 45.5])
+    assert not any(r.usable for r in translate.calibrated(flat, CFG).collect())
+    gaps = rows.withColumn("shipped", F.when(F.weekofyear("week") % 3 == 0, F.col("shipped")))
+    found = translate.calibrated(gaps, CFG).collect()
+    assert all(r.transfer is None and r.order_cadence_weeks in (1, 3) and 0.5 < r.ratio < 2 for r in found)
+    few = translate.calibrated(rows.where(F.col("week") < at(5)), CFG).collect()
+    assert all((r.target_wos, r.replenish, r.reaction_lag_weeks, r.order_cadence_weeks, r.transfer, r.response) == (4.0, 1.0, 1, 1, None, None) for r in few)
+
+
+def test_fits_of_an_origin_are_those_of_its_history(spark, feeds, repaired):
+    rows = translate.joined(repaired, feeds["channel_inventory"], feeds["shipments"]).persist()
+    origins = spark.createDataFrame([(at(20),), (at(45),)], "as_of date")
+    many = translate.calibrated(forecast.as_of_history(rows, origins), CFG, forecast.ORIGIN)
+    for o in (at(20), at(45)):
+        one = translate.calibrated(rows.where(F.col("week") <= o), CFG)
+        assert sorted(map(str, many.where(F.col("as_of") == o).drop("as_of").collect())) == sorted(map(str, one.collect()))
+
+
+def test_sell_in_takes_the_method_that_missed_by_less(spark, feeds, repaired):
+    rows = translate.joined(repaired, feeds["channel_inventory"], feeds["shipments"]).persist()
+    origins = spark.createDataFrame([(at(59),), (at(30),)], "as_of date")
+    got = translate.sell_in_orders(rows, origins, 8, CFG).toPandas()
+    assert len(got) == 3 * 2 * 8 and (got.pred >= 0).all() and set(got.chosen) <= {"projection", "transfer"}
+    future = translate.sell_in_orders(rows.withColumn("shipped", F.when(F.col("week") > at(30), 1e6).otherwise(F.col("shipped"))), origins.where(F.col("as_of") == at(30)), 8, CFG).toPandas()
+    order = ["item_id", "region", "lag"]
+    assert np.allclose(future.sort_values(order).pred, got[got.as_of == at(30)].sort_values(order).pred)
+    flat = rows.withColumn("on_hand", F.lit(1500.0))  # stock that tells nothing: transfer
+    found = translate.sell_in_orders(flat, origins.where(F.col("as_of") == at(59)), 4, CFG).toPandas()
+    fits = {(r.item_id, r.region): r for r in translate.calibrated(flat, CFG).collect()}
+    for key, g in found.groupby(["item_id", "region"]):
+        y = list(fits[key].tail) + list(point_path(repaired.where((F.col("item_id") == key[0]) & (F.col("region") == key[1])).orderBy("week").toPandas().units_unconstrained.to_numpy(), 4))
+        t = fits[key].transfer
+        want = [max(0.0, t[0] + sum(t[k + 1] * y[i + 3 - k] for k in range(4))) for i in range(4)]
+        assert set(g.chosen) == {"transfer"} and np.allclose(g.sort_values("lag").pred, want)
+
+
+def test_forecasters_see_no_future(spark, repaired):
+    def peek(panel, origins, horizon, value, axis):
+        after = panel.select("item_id", "region", F.col("week"), F.col(value).alias("pred"), "as_of").where("week > as_of")
+        assert after.isEmpty()  # nothing to peek at
+        last = panel.groupBy("item_id", "region", "as_of").agg(F.max_by(value, "week").alias("pred"))
+        return last.select("*", F.date_add("as_of", 7).alias("week"))
+
+    own = backtest.backtest(peek, repaired, CFG, lags=(1,))
+    naive = backtest.backtest(backtest.naive, repaired, CFG, lags=(1,))
+    assert sorted(map(str, own.drop("method").collect())) == sorted(map(str, naive.drop("method").collect()))
+    ask = lambda week: spark.createDataFrame([("A", "East", at(10), week)], "item_id string, region string, as_of date, week date")
+    assert backtest.value_at(repaired, ask(at(9))).first().units_unconstrained > 0 and backtest.value_at(repaired, ask(at(-9))).first().units_unconstrained is None
+    with pytest.raises(backtest.LeakageError):
+        backtest.value_at(repaired, ask(at(11)))
 
 
 def test_alerts_fire_and_stay_silent(spark):
@@ -227,6 +302,9 @@ def test_workspace_uploads_and_run(spark, feeds, tmp_path):
     projection = ws.read_run_output(result.run_id, "inventory_projection")
     assert projection.count() == 24 and projection.where("projected_order < 0 or projected_on_hand < 0").count() == 0
     assert pipeline.ranked_series(saved, ws.read_run_output(result.run_id, "alerts")).count() == 3
+    assert spark.read.option("header", True).csv(ws.write_template("promo")).columns == ["item_id", "region", "week", "promo_flag"]
+    kinds = alerts.by_view(ws.read_run_output(result.run_id, "alerts"), severity_is="high").collect()
+    assert all(r.severity == "high" for r in kinds)
     assert spark.read.option("header", True).csv(ws.export_csv(saved, "forecast")).count() == 24
     assert RunConfig.from_dict(CFG.to_dict()) == CFG
 
@@ -237,8 +315,13 @@ def test_messy_exports(spark, tmp_path):
     mapping = uploads.suggest_mapping(df, "pos")
     assert mapping == {"item_id": "Article Nbr", "region": "Dist Region", "week": "Sales Week", "units_sold": "POS Qty"} and uploads.missing_required("pos", mapping) == []
     out, warnings = uploads.apply_mapping(df, "pos", mapping, 12)
-    assert [tuple(r) for r in out.orderBy("item_id").collect()] == [("001", "East", dt.date(2025, 1, 6), 14400.0), ("002", "West", dt.date(2025, 1, 13), 7680.0)] and warnings == ["Dropped 1 rows missing required fields."]
+    assert [tuple(r) for r in out.orderBy("item_id").collect()] == [("001", "East", dt.date(2025, 1, 6), 14400.0), ("002", "West", dt.date(2025, 1, 13), 7680.0)] and warnings == ["1 rows lack a required field and were left out."]
     assert uploads.source_signature(["A b", "c"]) == uploads.source_signature(["C", "a-B"]) and uploads.clean_headers(["", "a", "a", "Unnamed: 3"]) == ["column_1", "a", "a_2", "column_4"]
+    assert uploads.apply_mapping(df, "pos", mapping | {"week": None})[1][0] == "No column is mapped to 'week', which is required."
+    blank = "".join("a,,2025-01-06,1\n" for _ in range(130))
+    (tmp_path / "y.csv").write_text(f'sku,x,week,qty\n{blank}"b ""c"" ,\nd",2025-02-03,2025-01-06,"1,0"\n')
+    odd = uploads.read_upload(spark, str(tmp_path / "y.csv"))
+    assert odd.count() == 131 and 'b "c" ,\nd' in {r.sku for r in odd.collect()} and uploads.role(uploads.column_facts(odd)["x"]) == "date"
     wide = ["item_id", "region", "2025-01-06", "2025-01-13", "2025-01-20", "WM Week 2504"]
     assert uploads.is_wide(wide) and uploads.wide_ids(wide) == ["item_id", "region"] and not uploads.is_wide(wide[:4])
     long = uploads.unpivot_wide(spark.createDataFrame([("a", "E", 1, 2, 3, 4)], wide), ["item_id", "region"], "units_sold")
@@ -258,6 +341,11 @@ def test_global_model(spark, feeds, repaired):
     base = forecast.statistical_forecast(repaired, origins, 8)
     new = ml.overridden(base, override).toPandas()
     assert len(new) == 24 and (new.p10 <= new.p50).all() and (new.p50 <= new.p90).all()
+    assert ml.champion_share(won, repaired).first().series == 3
+    few = RunConfig(as_of=at(59), backtest_weeks=1)
+    for champion in (True, False):
+        scores = backtest.backtest(ml.ml_forecaster(feeds["promo"], feeds["channel_inventory"], champion), repaired, few, lags=(1,), method="ml")
+        assert scores.count() == 3 * scores.select("as_of").distinct().count() > 0 and scores.where("pred < 0").isEmpty()
     assert (override is None) == won.isEmpty() and pd.notna(new.p50).all()
 
 

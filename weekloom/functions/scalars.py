@@ -40,11 +40,6 @@ def monday(day: Column) -> Column:
     return F.date_trunc("week", day).cast("date")
 
 
-def normal_header(col: Column) -> Column:
-    """Lower case, runs of anything but letters and digits to one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-
-
 def number(col: Column) -> Column:
     """Thousands commas go; what is no number is null."""
     return F.trim(F.replace(col.cast("string"), F.lit(","), F.lit(""))).try_cast("double")

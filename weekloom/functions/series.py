@@ -25,6 +25,13 @@ def median(col: Column | str) -> Column:
     return F.percentile(col, F.lit(0.5))
 
 
+def array_median(values: Column) -> Column:
+    """Median of an array without nulls; null of an empty one."""
+    n = F.size(values)
+    middle = lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, F.transform(F.array(F.array_sort(values)), middle)[0])
+
+
 def rolling_median(col: str, before: int, after: int, least: int = 1, keys: Sequence[str] = SERIES) -> Column:
     """Median of the rows from ``before`` rows back to ``after`` rows ahead; null where fewer than ``least`` have a value."""
     frame = by_series(keys).rowsBetween(-before, after)

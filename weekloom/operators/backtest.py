@@ -1,7 +1,8 @@
 """Rolling-origin backtest in one plan: origins and targets are rows of a joined week axis, not a loop of fits.
 
-A forecaster is any function (panel, origins, horizon) -> (item_id, region, as_of, week, pred). Three guards keep the future out: panels are cut
-at each origin, forecasts dated on or before their origin raise LeakageError, and plans are taken as they stood."""
+A forecaster is any function (panel, origins, horizon, value, axis) -> (item_id, region, as_of, week, pred). Three guards keep the future out: a forecaster
+gets each origin's history, cut at the origin, and nothing else; forecasts dated on or before their origin raise LeakageError; and plans are taken as
+they stood. The package's own forecasters share work between origins, so they take the whole panel and cut it themselves (``reads_panel``)."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.series import SERIES
-from weekloom.operators.forecast import naive_forecast, plan_as_of, statistical_forecast
+from weekloom.operators.forecast import as_of_history, naive_forecast, plan_as_of, statistical_forecast
 from weekloom.sources.schemas import RunConfig
 
 # Fixed values.
@@ -42,10 +43,26 @@ def on_axis(by_lag: DataFrame, axis: DataFrame, origins: DataFrame) -> DataFrame
     return by_lag.join(F.broadcast(targets), ["as_of", "lag"]).withColumnRenamed("target", "week")  # origins x weeks ahead of them
 
 
+def reads_panel(forecaster: Callable) -> Callable:
+    """Marks a forecaster that takes the whole panel and is known to look at no week after an origin."""
+    forecaster.reads_panel = True
+    return forecaster
+
+
+def value_at(panel: DataFrame, asked: DataFrame, value: str = "units_unconstrained") -> DataFrame:
+    """``asked(item_id, region, as_of, week)`` with the panel's value at that week, null where there is none; raises LeakageError for a week after its as_of."""
+    late = asked.where("week > as_of").limit(1).collect()
+    if late:
+        raise LeakageError(f"{late[0].week} was asked for as of {late[0].as_of}")
+    return asked.join(panel.select(*SERIES, "week", value), [*SERIES, "week"], "left").select(*SERIES, "as_of", "week", value)
+
+
+@reads_panel
 def naive(panel: DataFrame, origins: DataFrame, horizon: int, value: str, axis: DataFrame) -> DataFrame:
     return on_axis(naive_forecast(panel, origins, horizon, value), axis, origins).select(*SERIES, "as_of", "week", "pred")
 
 
+@reads_panel
 def statistical(panel: DataFrame, origins: DataFrame, horizon: int, value: str, axis: DataFrame) -> DataFrame:
     found = statistical_forecast(panel, origins, horizon, value).withColumnRenamed("p50", "pred")
     return on_axis(found, axis, origins).select(*SERIES, "as_of", "week", "pred")
@@ -54,6 +71,7 @@ def statistical(panel: DataFrame, origins: DataFrame, horizon: int, value: str,
 def plan(vintages: DataFrame) -> Callable:
     """Forecaster that gives the plan as it stood at each origin."""
 
+    @reads_panel
     def of(panel: DataFrame, origins: DataFrame, horizon: int, value: str, axis: DataFrame) -> DataFrame:
         return plan_as_of(vintages, origins).select(*SERIES, "as_of", "week", F.col("plan_units").alias("pred")).where("week > as_of")
 
@@ -63,12 +81,15 @@ def plan(vintages: DataFrame) -> Callable:
 def backtest(forecaster: Callable, data: DataFrame, cfg: RunConfig, *, value: str = "units_unconstrained", lags: Sequence[int] = LAGS, method: str = "model", least: int = 8, check: bool = True) -> DataFrame:
     """Tidy scores, columns TIDY: one row for each series, origin and lag with a forecast and an actual.
 
+    A forecaster that isn't marked ``reads_panel`` gets (item_id, region, as_of, week, value) with the weeks up to each as_of.
+
     ``check`` runs a job that raises LeakageError if any forecast is dated on or before its origin. The package's own forecasters take their
     dates from the axis after each origin and go without it; such rows have no lag to be scored at."""
     panel = data.select(*SERIES, "week", F.col(value).cast("double").alias(value))
     axis = week_axis(panel)
     origins = origin_weeks(axis, cfg.backtest_weeks, lags, least)
-    found = forecaster(panel, origins, max(lags), value, axis)
+    seen = panel if getattr(forecaster, "reads_panel", False) else as_of_history(panel, origins).select(*SERIES, "as_of", "week", value)
+    found = forecaster(seen, origins, max(lags), value, axis)
     if check and not found.where("week <= as_of").isEmpty():
         raise LeakageError(f"{method}: a forecast is dated on or before its origin")
     numbered = found.join(F.broadcast(axis), "week").join(F.broadcast(origins), "as_of").withColumn("lag", (F.col("idx") - F.col("origin")).cast("int"))  # axis and origins: one row a week

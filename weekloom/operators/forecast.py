@@ -2,19 +2,21 @@
 
 Everything here is window and aggregate expressions. A forecast is made for each (item_id, region, as_of): rolling origins are more
 as_of values, not more jobs. What looks back only (despiking, the exponential mean, its one-step residuals) is the same for every
-origin and computed once a series; the seasonal factor looks both ways and is computed within each origin's history."""
+origin and computed once a series. The seasonal factor looks both ways, half a season ahead: each row has its centred median in whole and for each of
+the nearer ends that a history can have, so an origin only picks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.scalars import sensed_weight
-from weekloom.functions.series import SERIES, by_series, centered_median, median, with_despiked, with_ewm, with_interpolated
+from weekloom.functions.series import SERIES, array_median, by_series, median, with_despiked, with_ewm
 
 # Fixed values.
 PHI, LEVEL_SPAN, DESPIKE_WIDTH, DESPIKE_K, TREND_ROWS, TREND_DAMP = 0.75, 6, 9, 3.0, 10, 0.9
 SEASON, SEASON_LEAST, SEASON_SHRINK = 52, 91, 0.5
+AHEAD = (SEASON - 1) // 2
 LOW, HIGH, Z90 = 0.10, 0.90, 1.2816
 
 ORIGIN = (*SERIES, "as_of")
@@ -34,23 +36,28 @@ def trailing_state(history: DataFrame, value: str) -> DataFrame:
     df = df.withColumn("at", F.row_number().over(w) - 1)
     tail = w.rowsBetween(-(TREND_ROWS - 1), 0)
     df = df.withColumn("trend", F.when(F.col("at") >= 3, F.regr_slope("capped", F.col("at").cast("double")).over(tail)).otherwise(0.0))
-    return df.withColumn("resid", F.col("y") - F.lag("level").over(w))
+    df = df.withColumn("around", F.collect_list("capped").over(w.rowsBetween(-(SEASON // 2), AHEAD)))
+    before = F.least(F.col("at"), F.lit(SEASON // 2)) + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(AHEAD)), lambda d: array_median(F.slice("around", F.lit(1), before + d)))
+    return df.withColumn("around", cut).withColumn("resid", F.col("y") - F.lag("level").over(w))
 
 
-def seasonal_factors(rows: DataFrame) -> DataFrame:
-    """(item_id, region, as_of, pos, factor) for origins with SEASON_LEAST rows or more; ``rows`` has capped and at."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*ORIGIN))
-    long = rows.withColumn("_n", n).where(F.col("_n") >= SEASON_LEAST)
-    long = with_interpolated(long.withColumn("_l", centered_median("capped", SEASON, SEASON // 2, ORIGIN)), "_l", "_level", ORIGIN)
-    ratio = F.when(F.col("_level") > 0, F.col("capped") / F.when(F.col("_level") > 0, F.col("_level"))).otherwise(1.0)
-    return long.groupBy(*ORIGIN, (F.col("at") % SEASON).alias("pos")).agg((SEASON_SHRINK * median(ratio) + (1.0 - SEASON_SHRINK)).alias("factor"))
+def seasonal_factors(states: DataFrame, ends: DataFrame) -> DataFrame:
+    """(item_id, region, as_of, pos, factor) for the origins of ``ends(item_id, region, as_of, end)`` with SEASON_LEAST rows or more.
+
+    A centred frame that a history of that length fills to half or more has no gap to fill. ``states`` is what ``trailing_state`` gives."""
+    rows = states.select(*SERIES, "at", "capped", "around").join(ends.where(F.col("end") >= SEASON_LEAST - 1), [*SERIES]).where(F.col("at") <= F.col("end"))
+    level = F.get("around", F.least(F.lit(AHEAD), F.col("end") - F.col("at")))
+    ratio = F.when(level > 0, F.col("capped") / F.when(level > 0, level)).otherwise(1.0)
+    return rows.groupBy(*ORIGIN, (F.col("at") % SEASON).alias("pos")).agg((SEASON_SHRINK * median(ratio) + (1.0 - SEASON_SHRINK)).alias("factor"))
 
 
 def statistical_forecast(history: DataFrame, origins: DataFrame, horizon: int, value: str = "units_unconstrained") -> DataFrame:
     """(item_id, region, as_of, last_week, lag, p10, p50, p90) for each series with history at an origin, lags 1 to ``horizon``.
 
     One observation is carried on as all three; with under five residuals the band is the normal one of the history's spread."""
-    rows = as_of_history(trailing_state(history, value).select(*SERIES, "week", "y", "capped", "level", "trend", "resid", "at"), origins)
+    states = trailing_state(history, value)
+    rows = as_of_history(states.select(*SERIES, "week", "y", "level", "trend", "resid", "at"), origins)
     last = F.max(F.struct("week", "y", "level", "trend", "at")).alias("last")
     spread = F.percentile("resid", F.array(F.lit(LOW), F.lit(HIGH))).alias("q")
     state = rows.groupBy(*ORIGIN).agg(last, spread, F.count("resid").alias("residuals"), F.stddev_pop("y").alias("sd")).select(*ORIGIN, "last.*", "q", "residuals", "sd")
@@ -60,7 +67,7 @@ def statistical_forecast(history: DataFrame, origins: DataFrame, horizon: int, v
     high = F.greatest(F.lit(0.0), F.when(few, Z90 * F.col("sd")).otherwise(F.col("q")[1]))
     out = state.withColumn("q_low", F.when(n < 2, 0.0).otherwise(low)).withColumn("q_high", F.when(n < 2, 0.0).otherwise(high))
     out = out.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("pos", (F.col("at") + F.col("lag")) % SEASON)
-    out = out.join(seasonal_factors(rows), [*ORIGIN, "pos"], "left")
+    out = out.join(seasonal_factors(states, state.select(*ORIGIN, F.col("at").alias("end"))), [*ORIGIN, "pos"], "left")
     p50 = F.greatest(F.lit(0.0), damped(F.col("y"), F.col("level"), F.col("trend"), F.col("lag")) * F.coalesce("factor", F.lit(1.0)))
     out = out.withColumn("p50", F.when(n < 2, F.greatest(F.lit(0.0), F.col("y"))).otherwise(p50))
     grow = F.sqrt(F.col("lag").cast("double"))

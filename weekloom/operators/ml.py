@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.series import SERIES, by_series, whole_series
+from weekloom.operators.backtest import reads_panel
 from weekloom.operators.forecast import statistical_forecast
 from weekloom.sources.schemas import RunConfig
 
@@ -147,6 +148,7 @@ def overridden(forecast: DataFrame, override: DataFrame | None) -> DataFrame:
 def ml_forecaster(promo: DataFrame | None, inventory: DataFrame | None, champion: bool):
     """Backtest forecaster: the model alone, or with ``champion`` where it wins and the statistical tier elsewhere. One fit for each origin."""
 
+    @reads_panel
     def of(panel: DataFrame, origins: DataFrame, horizon: int, value: str, axis: DataFrame) -> DataFrame:
         from functools import reduce
 

@@ -71,5 +71,9 @@ def joined_inputs(pos: DataFrame, inventory: DataFrame | None = None, promo: Dat
 
 def repair(pos: DataFrame, inventory: DataFrame | None = None, promo: DataFrame | None = None) -> DataFrame:
     """The repaired signal, columns COLUMNS, over all weeks of each series."""
-    df = with_imputed(with_censoring(with_level(joined_inputs(pos, inventory, promo))))
-    return with_promo_split(with_damped(df)).select(*COLUMNS)
+    return repaired(joined_inputs(pos, inventory, promo))
+
+
+def repaired(inputs: DataFrame) -> DataFrame:
+    """The same from rows that have sales, stock (null where unknown) and promo flag together."""
+    return with_promo_split(with_damped(with_imputed(with_censoring(with_level(inputs))))).select(*COLUMNS)

@@ -200,6 +200,36 @@ RECOVERY = """
 ra as (select *, case when s > 0 then (oh - lag(oh) over (partition by item_id, region order by week) + s) / s end as r from joined),
 recovery as (select item_id, region, case when count(*) >= 6 and quantile_cont(r, 0.5) is not null then greatest(0, least(1.5::double, quantile_cont(r, 0.5))) else 1 end as replenish from ra group by all)"""
 
+def _solved(src: str, size: int, name: str) -> str:
+    """Least squares from covariances a<i><j>, a<i>y, means m<i>, my of ``src`` by elimination, coefficients t0 (intercept) to t<size>."""
+    out, last = [f"{name}_v as (select *, {', '.join(f'a{i}{i} as v{i}' for i in range(size))} from {src})"], f"{name}_v"
+    rest = lambda k: range(k + 1, size)
+    for k in range(size - 1):
+        pivot = f"case when a{k}{k} > 1e-9::double * v{k} then a{k}{k} end"
+        new = ", ".join(f"a{i}{j} - coalesce(a{k}{i} * a{k}{j} / ({pivot}), 0) as a{i}{j}" for i in rest(k) for j in [*range(i, size), "y"])
+        out.append(f"{name}_{k} as (select * replace ({new}) from {last})")
+        last = f"{name}_{k}"
+    for k in reversed(range(size)):
+        known = "".join(f" - a{k}{j} * t{j + 1}" for j in rest(k))
+        out.append(f"{name}_b{k} as (select *, coalesce((a{k}y{known}) / case when a{k}{k} > 1e-9::double * v{k} then a{k}{k} end, 0) as t{k + 1} from {last})")
+        last = f"{name}_b{k}"
+    return ",\n".join([*out, f"{name}_c as (select *, my - {' - '.join(f't{k + 1} * m{k}' for k in range(size))} as t0 from {last})"])
+
+
+_LAGGED = ("s", "l1", "l2", "l3")
+TRANSFER = f"""
+ta as (select *, {", ".join(f"lag(s, {k}) over (partition by item_id, region order by week) as l{k}" for k in (1, 2, 3))} from joined),
+tb as (
+  select item_id, region, count(*) as n, count(h) as kn, count(s) as sn, stddev_pop(s) as sd, avg(h) / nullif(avg(s), 0) as r, avg(h) filter (l3 is not null) as my,
+    {", ".join(f"avg({x}) filter (l3 is not null and h is not null) as m{i}, covar_pop({x}, h) filter (l3 is not null) as a{i}y" for i, x in enumerate(_LAGGED))},
+    {", ".join(f"covar_pop({x}, {y}) filter (l3 is not null and h is not null) as a{i}{j}" for i, x in enumerate(_LAGGED) for j, y in enumerate(_LAGGED) if i <= j)}
+  from ta group by all
+),
+{_solved("tb", 4, "tc")},
+transfer as (
+  select item_id, region, n >= 10 and kn = n and sn = n and sd > 0 as fitted, {", ".join(f"case when n >= 10 and kn = n and sn = n and sd > 0 then t{k} end as t{k}" for k in range(5))}, case when r > 0 then r else 1 end as ratio from tc_c
+)"""
+
 PROJECTION = f"""
 paths as (select item_id, region, lag, week, p50 from forecast),
 seeds as (select item_id, region, max_by(on_hand_units, week) as oh, max_by(in_transit_units, week) as it from inv where week <= date '{AS_OF}' group by all),
@@ -218,6 +248,10 @@ projection as (select item_id, region, lag, week, held as projected_on_hand, tar
 
 FORECAST_CHAIN = ",".join([FEEDS_SQL, REPAIR, ONE_ORIGIN, STATE, FORECAST, PLAN_AS_OF, BLEND])
 BACKTEST_CHAIN = ",".join([FEEDS_SQL, REPAIR, AXIS])
+SHIPPED_CHAIN = ",".join([
+    FEEDS_SQL, REPAIR.replace("repaired as (", "mended as ("),
+    "repaired as (select item_id, region, week, units_shipped as units_unconstrained from ship where (item_id, region) in (select item_id, region from mended))", AXIS,
+])
 PROJECTION_CHAIN = ",".join([FORECAST_CHAIN, ROWS, USABLE, WOS, RECOVERY, PROJECTION])
 TIDY = " union all ".join([scored(NAIVE_PRED, "naive"), scored(STAT_PRED, "statistical"), scored(PLAN_PRED, "plan")])
 FVA = f"""{BACKTEST_CHAIN}, {NAIVE}, {STATE}, {FORECAST}, {PLAN_AS_OF},

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from weekloom.plans import pipeline as pipe
 from weekloom.sources import driver_tables as feeds
 from weekloom.sources import uploads, workspace
 from weekloom.sources.schemas import RunConfig
+from weekloom.sources.scratch import written
 
 AS_OF = dt.date.fromisoformat(o.AS_OF)
 CFG = RunConfig(as_of=AS_OF)
@@ -25,7 +27,7 @@ KEYS = ("item_id", "region", "week")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ROWS_ONLY = {"backtest_translated": "least squares and a choice of model at each origin", "ml_champion": "a boosted model"}
+ROWS_ONLY = {"backtest_translated": "replays of two models at each origin", "fva_all_methods": "the same", "ml_champion": "a boosted model"}
 
 
 def query(sql: str | None = None):
@@ -42,14 +44,56 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+class Inputs:
+    """What queries read in several places, each made once a query and written: rows by series and week."""
+
+    def __init__(self, spark: SparkSession, d: str, stock: float = 1.0):
+        self.spark, self.d, self.stock = spark, d, stock
+
+    @cached_property
+    def weekly(self) -> DataFrame:
+        return written(feeds.weekly(self.spark, self.d).withColumn("on_hand_units", F.col("on_hand_units") * self.stock), "weekly")
+
+    @cached_property
+    def together(self) -> DataFrame:
+        return self.weekly.select(*KEYS, "units_sold", "on_hand_units", "promo_flag")
+
+    @cached_property
+    def repaired(self) -> DataFrame:
+        return written(rep.repaired(self.together), "repaired")
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return self.weekly.select(*KEYS, "on_hand_units", "in_transit_units")
+
+    @cached_property
+    def promo(self) -> DataFrame:
+        return self.weekly.select(*KEYS, "promo_flag")
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        return feeds.demand_plan(self.spark, self.d, self.weekly)
+
+    @cached_property
+    def shipments(self) -> DataFrame:
+        return written(feeds.shipments(self.spark, self.d), "shipments")
+
+    @cached_property
+    def blended(self) -> DataFrame:
+        return written(pipe.blended_forecast(self.repaired, self.plan, CFG), "blended")
+
+    @cached_property
+    def projection(self) -> DataFrame:
+        return translate.inventory_projection(self.blended, self.repaired, self.inventory, CFG)
+
+
 def repaired(spark: SparkSession, d: str) -> DataFrame:
-    return rep.repair(feeds.pos(spark, d), feeds.channel_inventory(spark, d), feeds.promo(spark, d))
+    return Inputs(spark, d).repaired
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """The repair with its inner columns."""
-    df = rep.joined_inputs(feeds.pos(spark, d), feeds.channel_inventory(spark, d), feeds.promo(spark, d))
-    return rep.with_damped(rep.with_imputed(rep.with_censoring(rep.with_level(df))))
+    return rep.with_damped(rep.with_imputed(rep.with_censoring(rep.with_level(Inputs(spark, d).together))))
 
 
 def one_origin(spark: SparkSession) -> DataFrame:
@@ -57,16 +101,16 @@ def one_origin(spark: SparkSession) -> DataFrame:
 
 
 def blended(spark: SparkSession, d: str) -> DataFrame:
-    return pipe.blended_forecast(repaired(spark, d), feeds.demand_plan(spark, d), CFG)
+    return Inputs(spark, d).blended
 
 
-def known_rows(spark: SparkSession, d: str) -> DataFrame:
-    until = F.col("week") <= F.lit(AS_OF)
-    return translate.joined(repaired(spark, d).where(until), feeds.channel_inventory(spark, d), feeds.shipments(spark, d))
+def projection(spark: SparkSession, d: str, stock: float = 1.0) -> DataFrame:
+    return Inputs(spark, d, stock).projection
 
 
-def projection(spark: SparkSession, d: str) -> DataFrame:
-    return translate.inventory_projection(blended(spark, d), repaired(spark, d), feeds.channel_inventory(spark, d), CFG)
+def known_rows(spark: SparkSession, d: str) -> DataFrame:
+    own = Inputs(spark, d)
+    return translate.joined(own.repaired.where(F.col("week") <= F.lit(AS_OF)), own.inventory, own.shipments)
 
 
 F_SQL = f"with {feeds.FEEDS_SQL}"
@@ -199,12 +243,14 @@ def wm_week_parse(spark: SparkSession, d: str) -> DataFrame:
     return labels.select("label", scalars.label_week(F.col("label")).alias("week"))
 
 
-@query("""select c_custkey, case when c_custkey % 7 = 0 then null else 1000000 + c_custkey + 0.5::double end as amount, case when c_custkey % 3 = 0 then date '1997-03-03' when c_custkey % 3 = 1 then date '1997-04-14' end as week from customer""")
+@query("""select o_orderkey, case when o_orderkey % 7 <> 0 then round(o_totalprice, 2) end as amount, case when o_orderkey % 4 < 3 then cast(date_trunc('week', o_orderdate) as date) end as week from orders""")
 def coerce_numeric(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("c_custkey") % 7 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.format_number(F.col("c_custkey") + 1000000.5, 2), F.lit(" ")))
-    date = F.when(F.col("c_custkey") % 3 == 0, "1997-03-05").when(F.col("c_custkey") % 3 == 1, "4/20/1997").otherwise("soon")
-    df = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", text.alias("t"), date.alias("w"))
-    return df.select("c_custkey", scalars.number(F.col("t")).alias("amount"), scalars.week(F.col("w")).alias("week"))
+    """Every order's price and date, written as people write them, and read back."""
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.format_number(F.round("o_totalprice", 2), 2), F.lit(" ")))
+    forms = F.create_map(*[x for i, f in enumerate(("yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss")) for x in (F.lit(i), F.date_format("o_orderdate", f))])
+    date = F.coalesce(F.try_element_at(forms, (F.col("o_orderkey") % 4).cast("int")), F.lit("soon"))
+    df = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.alias("t"), date.alias("w"))
+    return df.select("o_orderkey", F.round(scalars.number(F.col("t")), 2).alias("amount"), scalars.week(F.col("w")).alias("week"))
 
 
 # ---- series functions -----------------------------------------------------------------------------------
@@ -305,19 +351,23 @@ def blend(spark: SparkSession, d: str) -> DataFrame:
 J_SQL = f"{R_SQL}, {o.ROWS}"
 
 
+def _fits(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    return rounded(translate.calibrated(known_rows(spark, d), CFG).select("item_id", "region", *names))
+
+
 @query(f"{J_SQL}, {o.USABLE} select * from usable")
 def inventory_usable(spark: SparkSession, d: str) -> DataFrame:
-    return translate.inventory_usable(known_rows(spark, d))
+    return _fits(spark, d, "usable")
 
 
 @query(f"{J_SQL}, {o.WOS} select item_id, region, round(target_wos, 6) as target_wos from wos")
 def target_wos_fit(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(translate.target_wos(known_rows(spark, d), CFG.target_wos))
+    return _fits(spark, d, "target_wos")
 
 
 @query(f"{J_SQL}, {o.RECOVERY} select item_id, region, round(replenish, 6) as replenish from recovery")
 def replenishment_fit(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(translate.replenishment(known_rows(spark, d)))
+    return _fits(spark, d, "replenish")
 
 
 @query(f"""{J_SQL}, n as (select *, count(*) over (partition by item_id, region) as n, count(h) over (partition by item_id, region) as kn from joined),
@@ -327,7 +377,7 @@ t as ({" union all ".join(f"select item_id, region, n, kn, {k} as k, c{k} as c f
 b as (select *, row_number() over (partition by item_id, region order by c desc, k) as r from t)
 select c.item_id, c.region, case when c.n >= 12 and c.kn >= 12 and b.c > 0 then b.k else 1 end::int as reaction_lag_weeks from c left join b on b.item_id = c.item_id and b.region = c.region and r = 1""")
 def reaction_lag_fit(spark: SparkSession, d: str) -> DataFrame:
-    return translate.reaction_lag(known_rows(spark, d), 1)
+    return _fits(spark, d, "reaction_lag_weeks")
 
 
 @query(f"""{J_SQL},
@@ -336,7 +386,14 @@ g as (select *, ix - lag(ix) over (partition by item_id, region order by week) a
 a as (select item_id, region, count(*) as orders, quantile_cont(gap::double, 0.5) as gap, max(kn) as kn from g group by all)
 select k.item_id, k.region, case when orders >= 3 and kn >= 12 then greatest(1, least(4, round_even(gap, 0)::int)) else 1 end::int as order_cadence_weeks from (select distinct item_id, region from joined) k left join a using (item_id, region)""")
 def order_cadence_fit(spark: SparkSession, d: str) -> DataFrame:
-    return translate.order_cadence(known_rows(spark, d), 1)
+    return _fits(spark, d, "order_cadence_weeks")
+
+
+@query(f"{J_SQL}, {o.TRANSFER} select item_id, region, fitted, round(t0, 4) as intercept, round(t1, 4) as same_week, round(t2, 4) as week_before, round(t3, 4) as two_before, round(t4, 4) as three_before, round(ratio, 6) as ratio from transfer")
+def transfer_function(spark: SparkSession, d: str) -> DataFrame:
+    out = translate.calibrated(known_rows(spark, d), CFG)
+    names = ("intercept", "same_week", "week_before", "two_before", "three_before")
+    return out.select("item_id", "region", F.col("transfer").isNotNull().alias("fitted"), *[F.round(F.col("transfer")[i], 4).alias(n) for i, n in enumerate(names)], F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"with recursive {o.PROJECTION_CHAIN} select item_id, region, week, round(projected_on_hand, 6) as projected_on_hand, round(target_position, 6) as target_position, round(projected_order, 6) as projected_order from projection")
@@ -344,6 +401,13 @@ def project_orders(spark: SparkSession, d: str) -> DataFrame:
     return rounded(projection(spark, d))
 
 
+@query(f"""with {o.FORECAST_CHAIN}, b as (select *, w * p50 + (1 - w) * coalesce(plan_units, p50) as x, first_value(p50) over (partition by item_id, region order by lag) as first from blended)
+select item_id, region, lag, round(greatest(0, 6 * p50 - 5 * first), 6) as pred from b""")
+def sell_in_by_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Orders where no stock is known."""
+    return rounded(translate.cover_only(blended(spark, d), CFG))
+
+
 # ---- alerts ---------------------------------------------------------------------------------------------
 
 
@@ -352,14 +416,20 @@ def alert_deviation(spark: SparkSession, d: str) -> DataFrame:
     return alerts.deviation(blended(spark, d), CFG)
 
 
+@query(f"select * from ({o.DEVIATION}) where severity = 'high'")
+def alerts_by_severity(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.by_view(alerts.deviation(blended(spark, d), CFG), severity_is="high")
+
+
 @query(o.STOCKOUT)
 def alert_stockout(spark: SparkSession, d: str) -> DataFrame:
     return alerts.stockout(projection(spark, d), CFG)
 
 
-@query(o.CLIFF)
+@query(o.CLIFF.replace("4.0::double * sum", "40.0::double * sum"))
 def alert_order_cliff(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.order_cliff(projection(spark, d))
+    """With ten times the stock, so that there are cliffs."""
+    return alerts.order_cliff(projection(spark, d, 10.0))
 
 
 @query(o.PROMO)
@@ -387,19 +457,35 @@ def backtest_statistical(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {o.BACKTEST_CHAIN}, {o.PLAN_AS_OF} {o.scored(o.PLAN_PRED, 'plan')}")
 def backtest_plan(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.backtest(backtest.plan(feeds.demand_plan(spark, d)), repaired(spark, d), CFG, method="plan", check=False))
+    own = Inputs(spark, d)
+    return rounded(backtest.backtest(backtest.plan(own.plan), own.repaired, CFG, method="plan", check=False))
 
 
 @query()
 def backtest_translated(spark: SparkSession, d: str) -> DataFrame:
-    known = repaired(spark, d)
-    ship = feeds.shipments(spark, d)
-    maker = translate.translated_forecaster(known, feeds.channel_inventory(spark, d), ship, CFG)
-    return rounded(backtest.backtest(maker, translate.shipped_panel(known, ship), CFG, value="units_shipped", method="translated", check=False))
+    own = Inputs(spark, d)
+    maker = translate.translated_forecaster(own.repaired, own.inventory, own.shipments, CFG)
+    return rounded(backtest.backtest(maker, translate.shipped_panel(own.repaired, own.shipments), CFG, value="units_shipped", method="translated", check=False))
+
+
+@query(f"with {o.SHIPPED_CHAIN}, {o.STATE}, {o.FORECAST} {o.scored(o.STAT_PRED, 'shipments_only')}")
+def backtest_shipments_only(spark: SparkSession, d: str) -> DataFrame:
+    own = Inputs(spark, d)
+    panel = written(translate.shipped_panel(own.repaired, own.shipments), "panel")
+    return rounded(backtest.backtest(backtest.statistical, panel, CFG, value="units_shipped", method="shipments_only", check=False))
 
 
 def _tidy(spark: SparkSession, d: str) -> DataFrame:
-    return pipe.tidy_scores(repaired(spark, d), None, None, feeds.demand_plan(spark, d), None, CFG)
+    own = Inputs(spark, d)
+    return pipe.tidy_scores(own.repaired, None, None, own.plan, None, CFG)
+
+
+@query()
+def fva_all_methods(spark: SparkSession, d: str) -> DataFrame:
+    """By lag with all four methods; sell-in is scored on shipments."""
+    own = Inputs(spark, d)
+    tidy = pipe.tidy_scores(own.repaired, own.inventory, own.shipments, own.plan, None, CFG)
+    return rounded(backtest.fva_by_lag(tidy))
 
 
 @query(f"with {o.FVA} select lag, method, round(wmape, 4) as wmape, round(bias, 4) as bias from by_lag")
@@ -435,14 +521,15 @@ select item_id, region, week, ix as n_rows, round(level, 6) as level, promo_t, r
   round(coalesce(lag(y, 51) over (partition by item_id, region order by week), level) / level, 6) as r_yoy, round(avg((y <= 1e-9)::int) over {_TAIL(8)}, 6) as zero_frac8
 from n""")
 def ml_features(spark: SparkSession, d: str) -> DataFrame:
-    out = rounded(ml.origin_features(repaired(spark, d), feeds.promo(spark, d), feeds.channel_inventory(spark, d)).drop("y"))
+    own = Inputs(spark, d)
+    out = rounded(ml.origin_features(own.repaired, own.promo, own.inventory).drop("y"))
     return out.withColumn("at", F.col("at").cast("long")).withColumnRenamed("at", "n_rows")
 
 
 @query()
 def ml_champion(spark: SparkSession, d: str) -> DataFrame:
-    history = repaired(spark, d).where(F.col("week") <= F.lit(AS_OF))
-    return ml.champions(history, feeds.promo(spark, d), feeds.channel_inventory(spark, d), CFG.horizon_weeks)
+    own = Inputs(spark, d)
+    return ml.champions(own.repaired.where(F.col("week") <= F.lit(AS_OF)), own.promo, own.inventory, CFG.horizon_weeks)
 
 
 # ---- views ----------------------------------------------------------------------------------------------
@@ -472,6 +559,7 @@ u as (select b.item_id, b.region, b.week, w * p50 + (1 - w) * coalesce(plan_unit
 select item_id, region, week, 'blended' as measure, round(blended, 6) as units from u union all select item_id, region, week, 'plan_units', round(plan_units, 6) from u where plan_units is not null
 union all select item_id, region, week, 'projected_order', round(projected_order, 6) from u where projected_order is not null""")
 def orders_against_plan(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pipe.orders_against_plan(blended(spark, d), projection(spark, d)))
+    own = Inputs(spark, d)
+    return rounded(pipe.orders_against_plan(own.blended, own.projection))
 
 

@@ -30,14 +30,22 @@ def _shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(part, lines.l_partkey == part.p_partkey).join(at, lines.l_suppkey == at.s_suppkey).withColumn("week", monday(F.col("l_shipdate")))
 
 
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales, stock and promo flag of each series and week, from one pass over the lines."""
+    held = F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0))
+    moving = F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0))
+    promoted = F.when(F.round(F.avg("l_discount"), 6) >= PROMO_FROM, 1.0).otherwise(0.0)
+    return _shipped_lines(spark, sf_dir).groupBy("item_id", "region", "week").agg(
+        F.sum("l_quantity").alias("units_sold"), (4.0 * held).alias("on_hand_units"), moving.alias("in_transit_units"), promoted.alias("promo_flag")
+    )
+
+
 def pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shipped_lines(spark, sf_dir).groupBy("item_id", "region", "week").agg(F.sum("l_quantity").alias("units_sold"))
+    return weekly(spark, sf_dir).select("item_id", "region", "week", "units_sold")
 
 
 def channel_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0))
-    moving = F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0))
-    return _shipped_lines(spark, sf_dir).groupBy("item_id", "region", "week").agg((4.0 * held).alias("on_hand_units"), moving.alias("in_transit_units"))
+    return weekly(spark, sf_dir).select("item_id", "region", "week", "on_hand_units", "in_transit_units")
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,18 +59,16 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(part, lines.l_partkey == part.p_partkey).join(sold, lines.l_orderkey == sold.o_orderkey).groupBy("item_id", "region", "week").agg(F.sum("l_quantity").alias("units_shipped"))
 
 
-def demand_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def demand_plan(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
     """Two vintages: a six-row mean cut by 4 %, six weeks ahead, and a three-row mean, two weeks ahead."""
-    sold = pos(spark, sf_dir)
     w = by_series()
-    early = sold.select("item_id", "region", "week", (F.avg("units_sold").over(w.rowsBetween(-5, 0)) * 0.96).alias("plan_units"), F.date_add("week", -42).alias("plan_version_date"))
-    late = sold.select("item_id", "region", "week", F.avg("units_sold").over(w.rowsBetween(-2, 0)).alias("plan_units"), F.date_add("week", -14).alias("plan_version_date"))
-    return early.unionByName(late)
+    of = lambda rows, share, days: F.struct((F.avg("units_sold").over(w.rowsBetween(1 - rows, 0)) * share).alias("plan_units"), F.date_sub("week", days).alias("plan_version_date"))
+    sold = (pos(spark, sf_dir) if sold is None else sold).select("item_id", "region", "week", F.array(of(6, 0.96, 42), of(3, 1.0, 14)).alias("both"))
+    return sold.select("item_id", "region", "week", F.inline("both"))
 
 
 def promo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = F.round(F.avg("l_discount"), 6)
-    return _shipped_lines(spark, sf_dir).groupBy("item_id", "region", "week").agg(F.when(mean >= PROMO_FROM, 1.0).otherwise(0.0).alias("promo_flag"))
+    return weekly(spark, sf_dir).select("item_id", "region", "week", "promo_flag")
 
 
 #: The same in DuckDB, as CTEs.
