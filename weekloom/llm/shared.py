@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
 from itertools import chain, pairwise
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ BATCH_BYTES = 2 << 20
 RELEASE_S = 4.0
 
 _last: dict[str, float] = {}
-_paths: dict[int, tuple[DataFrame, str]] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _own_dirs: dict[str, str] = {}
 _kept: set[str] = set()
 
@@ -104,14 +105,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _release(spark)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    _paths[out] = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in tables:
-        _, path = _paths.pop(id(df))
+        path = _paths.pop(df)
         spark = df.sparkSession
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
