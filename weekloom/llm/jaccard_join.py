@@ -191,6 +191,20 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return _passing(left, *_sides(_let_through(sets, ids)), does)
 
 
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose long ``key`` is in ``ids(id)``, and a few others, without a shuffle: what a join with ``ids`` need not move."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(ids)))
+    at = rows.columns.index(key)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            one, two = _bits(batch.column(at).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(bits[one] & bits[two], pa.bool_()))
+
+    return rows.mapInArrow(tidy(keep), rows.schema)
+
+
 def _let_through(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, value`` of the sets whose id is in ``ids`` (and a few others), without a shuffle."""
     shared = sets.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(ids)))
@@ -223,7 +237,7 @@ def pairs_with_pivots(postings: DataFrame, num: int, den: int, pivots: int = 4)
 def linked_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, name: str, ties: DataFrame | None = None) -> DataFrame:
     """``id, component`` of the sets that have a link, directly or through ``ties(a, b)``.
 
-    ``classes(id, n, prefix, common)`` are distinct sets, ``sets_of(ids)`` gives ``id, hashes`` of those asked for. Counts by shingle are
+    ``classes(id, n, prefix, common)`` are distinct sets, ``sets_of(ids)`` gives a table ``id, hashes`` of those asked for, or of more. Counts by shingle are
     aggregated where the postings are and joined to them, so a common shingle's postings need not meet in one task."""
     lists = classes.select("id", "n", "common", F.posexplode("prefix").alias("pos", "shingle"))
     shared = lists.groupBy("shingle").count().where("count > 1").select("shingle")
@@ -252,7 +266,7 @@ def linked_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFra
     def ends(of: DataFrame) -> DataFrame:
         return of.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    sets = materialize(sets_of(ends(pairs)), f"{name}-sets")
+    sets = sets_of(ends(pairs))
     links = materialize(verified(pairs, sets, num, den), f"{name}-links")
     found = materialize(connected_components(links if ties is None else links.unionAll(ties), f"{name}-first"), f"{name}-found")
 
@@ -269,7 +283,7 @@ def linked_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFra
     if rest.isEmpty():
         return found
     unseen = ends(rest).join(sets.select("id"), "id", "left_anti")
-    further = sets if unseen.isEmpty() else sets.unionAll(materialize(sets_of(materialize(unseen, f"{name}-unseen")), f"{name}-sets"))
+    further = sets if unseen.isEmpty() else sets.unionAll(sets_of(materialize(unseen, f"{name}-unseen")))
     more = materialize(verified(rest, further, num, den), f"{name}-more")
     if more.isEmpty():
         return found
@@ -294,7 +308,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # an id on several rows is one node: tie it to the classes of all its texts
     twice = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
     ties = full.join(twice, "id", "left_semi").join(classes.select("high", "low", F.col("id").alias("a")), ["high", "low"]).select("a", F.col("id").alias("b")).distinct()
-    components = materialize(linked_components(classes.drop("high", "low"), lambda ids: _sets(texts, ids, k), num, den, "join", ties), "join-components")
+    components = materialize(linked_components(classes.drop("high", "low"), lambda ids: materialize(_sets(texts, ids, k), "join-sets"), num, den, "join", ties), "join-components")
 
     named = classes.select("high", "low", F.col("id").alias("first")).join(components.withColumnRenamed("id", "first"), "first", "left").select("high", "low", F.coalesce("component", "first").alias("component_id"))
     with_text = full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "high", "low").join(named, ["high", "low"]).drop("high", "low")

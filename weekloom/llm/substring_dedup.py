@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.jaccard_join import SHORT, linked_components, prefixes, sets_by_id, stored_sets, verified
+from weekloom.llm.jaccard_join import SHORT, linked_components, maybe_among, prefixes, sets_by_id, stored_sets, verified
 from weekloom.llm.shared import WordHashes, connected_components, discard, hashes_of, materialize, mix, ngram_hashes, tidy
 
 LEAST = 20
@@ -192,8 +192,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if many.isEmpty():
         found = connected_components(links, "repeat")
     else:  # a long band by an exact prefix join of its lines: comparing all its pairs would grow with its square
-        hot = prefixes(sets.join(many, "id", "left_semi"), stored_sets, NUM, DEN).drop("high", "low")
-        found = linked_components(materialize(hot, "repeat-hot"), lambda ids: sets.join(ids, "id", "left_semi"), NUM, DEN, "repeat-hot", links)
+        hot = prefixes(sets, stored_sets, NUM, DEN).drop("high", "low")  # the few lines of short bands with them: leaving them out would move all sets
+        found = linked_components(materialize(hot, "repeat-hot"), lambda _: sets, NUM, DEN, "repeat-hot", links)
     found = materialize(found, "repeat-near")
     discard(pairs, sets)
     of_line = classes.join(found.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
@@ -202,7 +202,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated_lines = lines.select("hash", *runs_of[:4]).join(of_line.join(groups, "component").select("hash", "component", "keeper"), "hash").select(*runs_of)
 
     twice = pieces.groupBy("hash").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "keeper")
-    repeated_pieces = pieces.join(twice, "hash").withColumn("component", F.lit(None).cast("long")).select(*runs_of)
+    twice = materialize(twice, "repeat-twice")
+    repeated_pieces = maybe_among(pieces, "hash", twice.select("hash")).join(twice, "hash").withColumn("component", F.lit(None).cast("long")).select(*runs_of)
 
     runs = repeated_lines.unionAll(repeated_pieces).groupBy("id", "text").agg(  # of one text
         F.collect_set(F.struct("start", "end")).alias("all"), F.collect_set(F.when(F.col("keeper") < F.col("id"), F.struct("start", "end"))).alias("go"), F.array_sort(F.collect_set("component")).alias("components")
