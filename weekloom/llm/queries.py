@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weekloom.llm.ann import nearest_neighbours
 from weekloom.llm.bpe import bpe_encode
 from weekloom.llm.html_text import extract_main_text
+from weekloom.llm.infill import INFILL_SQL, fill_in_middle
 from weekloom.llm.jaccard_join import jaccard_join
 from weekloom.llm.language import identify_languages
+from weekloom.llm.lexical import LEXICAL_SQL, ranked_search
 from weekloom.llm.mixing import MIX_SQL, mix_sources
+from weekloom.llm.phrases import CONTAMINATION_SQL, contamination
 from weekloom.llm.secrets import scan_secrets
 from weekloom.llm.substring_dedup import repeated_passages
 from weekloom.llm.topk import topk_inner_product
@@ -64,6 +67,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents"), with_output=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +92,9 @@ QUERIES = {
         op8_mix_sources,
         op9_html_text,
         op10_secret_scan,
+        op11_ranked_search,
+        op12_decontamination,
+        op13_fill_in_middle,
     )
 }
 
@@ -98,4 +116,7 @@ ORACLES = {
 )
 select query_id, rank, vec_id, score from r where rank <= 10""",
     "op8_mix_sources": MIX_SQL.format(docs="documents"),
+    "op11_ranked_search": LEXICAL_SQL.format(docs="documents", items="benchmark"),
+    "op12_decontamination": CONTAMINATION_SQL.format(docs="documents", items="benchmark"),
+    "op13_fill_in_middle": INFILL_SQL.format(docs="documents"),
 }
