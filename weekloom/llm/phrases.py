@@ -178,11 +178,11 @@ def occurrences(lists: Lists, w: Windows, slop: int | None) -> tuple[np.ndarray,
     return window, start if slop is None else place
 
 
-def tightest(lists: Lists, terms_of: np.ndarray, place: int, most: int) -> tuple[int, int] | None:
-    """The earliest of the shortest spans [start, end) of at most ``most`` places that hold the place and all the terms."""
+def tightest(lists: Lists, terms_of: np.ndarray, place: int, most: int, begin: int, stop: int) -> tuple[int, int] | None:
+    """The earliest of the shortest spans [start, end) of at most ``most`` places inside [begin, stop), a document, that hold the place and all the terms."""
     near = []
     for t in set(terms_of.tolist()):
-        low, high = (int(np.searchsorted(lists.keys, t * lists.span + x)) for x in (max(0, place - most + 1), min(lists.span - 1, place + most)))
+        low, high = (int(np.searchsorted(lists.keys, t * lists.span + x)) for x in (max(begin, place - most + 1), min(stop, place + most)))
         near += [(int(p) - t * lists.span, t) for p in lists.keys[low:high]]
     near.sort()
     count, missing, first, best = {}, len(set(terms_of.tolist())), 0, None
@@ -190,9 +190,9 @@ def tightest(lists: Lists, terms_of: np.ndarray, place: int, most: int) -> tuple
         missing -= count.get(t, 0) == 0
         count[t] = count.get(t, 0) + 1
         while not missing:
-            begin, gone = near[first]
-            if begin <= place <= p and p + 1 - begin <= most and (best is None or p - begin < best[1] - 1 - best[0]):
-                best = (begin, p + 1)
+            at, gone = near[first]
+            if at <= place <= p and p + 1 - at <= most and (best is None or p - at < best[1] - 1 - best[0]):
+                best = (at, p + 1)
             count[gone] -= 1
             missing += count[gone] == 0
             first += 1
@@ -234,8 +234,8 @@ def _searcher(shared: Broadcast, slop: int | None) -> Callable[[pa.Table], pa.Ta
             if slop is not None:
                 spans = set()
                 for x, p in zip(*(y.tolist() for y in occurrences(postings, w, slop)), strict=True):
-                    own = w.terms[x, : w.sizes[x]]
-                    if (span := tightest(postings, own, p, len(own) + slop)) and np.searchsorted(first, span[0], "right") == np.searchsorted(first, span[1] - 1, "right"):
+                    own, doc = w.terms[x, : w.sizes[x]], int(np.searchsorted(first, p, "right")) - 1
+                    if span := tightest(postings, own, p, len(own) + slop, int(first[doc]), int(first[doc] + words[doc])):
                         spans.add((int(w.items[x]), *span))
                 near = [np.array(x, np.int64) for x in zip(*sorted(spans), strict=True)] or near
         kind = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
