@@ -2,8 +2,8 @@
 
 Everything here is window and aggregate expressions. A forecast is made for each (item_id, region, as_of): rolling origins are more
 as_of values, not more jobs. What looks back only (despiking, the exponential mean, its one-step residuals) is the same for every
-origin and computed once a series. The seasonal factor looks both ways, half a season ahead: each row has its centred median in whole and for each of
-the nearer ends that a history can have, so an origin only picks."""
+origin and computed once a series. So is a row's ratio to its centred median: a season before the weeks forecast that median ends before the
+origin, so an origin only picks. Only a horizon beyond half a season meets shorter frames, and takes their medians where it does."""
 
 from __future__ import annotations
 
@@ -36,20 +36,40 @@ def trailing_state(history: DataFrame, value: str) -> DataFrame:
     df = df.withColumn("at", F.row_number().over(w) - 1)
     tail = w.rowsBetween(-(TREND_ROWS - 1), 0)
     df = df.withColumn("trend", F.when(F.col("at") >= 3, F.regr_slope("capped", F.col("at").cast("double")).over(tail)).otherwise(0.0))
-    df = df.withColumn("around", F.collect_list("capped").over(w.rowsBetween(-(SEASON // 2), AHEAD)))
-    before = F.least(F.col("at"), F.lit(SEASON // 2)) + 1
-    cut = F.transform(F.sequence(F.lit(0), F.lit(AHEAD)), lambda d: array_median(F.slice("around", F.lit(1), before + d)))
-    return df.withColumn("around", cut).withColumn("resid", F.col("y") - F.lag("level").over(w))
+    return df.withColumn("resid", F.col("y") - F.lag("level").over(w))
 
 
-def seasonal_factors(states: DataFrame, ends: DataFrame) -> DataFrame:
-    """(item_id, region, as_of, pos, factor) for the origins of ``ends(item_id, region, as_of, end)`` with SEASON_LEAST rows or more.
+def seasons(states: DataFrame) -> DataFrame:
+    """(item_id, region, ratios, caps): each week's ratio to its centred median, and the capped values, as arrays by position."""
+    usual = median(F.col("capped")).over(by_series().rowsBetween(-(SEASON // 2), AHEAD))
+    ratio = F.when(usual > 0, F.col("capped") / F.when(usual > 0, usual)).otherwise(1.0)
+    rows = states.select(*SERIES, "at", "capped", ratio.alias("ratio")).groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("at", "ratio", "capped"))).alias("all"))  # the weeks of a series
+    return rows.select(*SERIES, F.transform("all", lambda x: x["ratio"]).alias("ratios"), F.transform("all", lambda x: x["capped"]).alias("caps"))
 
-    A centred frame that a history of that length fills to half or more has no gap to fill. ``states`` is what ``trailing_state`` gives."""
-    rows = states.select(*SERIES, "at", "capped", "around").join(ends.where(F.col("end") >= SEASON_LEAST - 1), [*SERIES]).where(F.col("at") <= F.col("end"))
-    level = F.get("around", F.least(F.lit(AHEAD), F.col("end") - F.col("at")))
-    ratio = F.when(level > 0, F.col("capped") / F.when(level > 0, level)).otherwise(1.0)
-    return rows.groupBy(*ORIGIN, (F.col("at") % SEASON).alias("pos")).agg((SEASON_SHRINK * median(ratio) + (1.0 - SEASON_SHRINK)).alias("factor"))
+
+def seasonal_factor(end: Column, lag: Column, horizon: int) -> Column:
+    """The factor of the ``lag``-th week after position ``end``, from ``ratios`` and ``caps``; 1 with under SEASON_LEAST rows.
+
+    It is the median of the ratios a whole number of seasons earlier. A centred frame that a history of that length fills to half or more has no gap to fill."""
+    first = (end + lag) % SEASON
+
+    def ratio_at(at: Column) -> Column:
+        whole = F.get("ratios", at)
+        if horizon <= SEASON - AHEAD - 1:
+            return whole
+        start = F.greatest(at - SEASON // 2, F.lit(0))
+        level = array_median(F.slice("caps", start + 1, end - start + 1))
+        return F.when(at + AHEAD <= end, whole).when(level > 0, F.get("caps", at) / F.when(level > 0, level)).otherwise(1.0)
+
+    found = array_median(F.transform(F.sequence(first, F.greatest(first, end), F.lit(SEASON)), ratio_at))
+    return F.when(end >= SEASON_LEAST - 1, SEASON_SHRINK * found + (1.0 - SEASON_SHRINK)).otherwise(1.0)
+
+
+def point_path(horizon: int) -> Column:
+    """The point forecasts of lags 1 to ``horizon`` as an array, from the state (y, level, trend, at) at the end of a history and the series' ``seasons``."""
+    start = F.greatest(F.lit(0.0), F.col("y"))
+    ahead = lambda h: F.greatest(F.lit(0.0), damped(F.col("y"), F.col("level"), F.col("trend"), h) * seasonal_factor(F.col("at"), h, horizon))
+    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.when(F.col("at") < 1, start).otherwise(ahead(h)))
 
 
 def statistical_forecast(history: DataFrame, origins: DataFrame, horizon: int, value: str = "units_unconstrained") -> DataFrame:
@@ -66,13 +86,21 @@ def statistical_forecast(history: DataFrame, origins: DataFrame, horizon: int, v
     low = F.least(F.lit(0.0), F.when(few, -Z90 * F.col("sd")).otherwise(F.col("q")[0]))
     high = F.greatest(F.lit(0.0), F.when(few, Z90 * F.col("sd")).otherwise(F.col("q")[1]))
     out = state.withColumn("q_low", F.when(n < 2, 0.0).otherwise(low)).withColumn("q_high", F.when(n < 2, 0.0).otherwise(high))
-    out = out.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("pos", (F.col("at") + F.col("lag")) % SEASON)
-    out = out.join(seasonal_factors(states, state.select(*ORIGIN, F.col("at").alias("end"))), [*ORIGIN, "pos"], "left")
-    p50 = F.greatest(F.lit(0.0), damped(F.col("y"), F.col("level"), F.col("trend"), F.col("lag")) * F.coalesce("factor", F.lit(1.0)))
-    out = out.withColumn("p50", F.when(n < 2, F.greatest(F.lit(0.0), F.col("y"))).otherwise(p50))
-    grow = F.sqrt(F.col("lag").cast("double"))
+    out = out.join(seasons(states), [*SERIES]).withColumn("path", point_path(horizon)).select(*ORIGIN, "week", "q_low", "q_high", F.posexplode("path").alias("i", "p50"))
+    lag = F.col("i") + 1
+    grow = F.sqrt(lag.cast("double"))
     p10 = F.greatest(F.lit(0.0), F.least(F.col("p50"), F.col("p50") + F.col("q_low") * grow))
-    return out.select(*ORIGIN, F.col("week").alias("last_week"), "lag", p10.alias("p10"), "p50", F.greatest(F.col("p50"), F.col("p50") + F.col("q_high") * grow).alias("p90"))
+    return out.select(*ORIGIN, F.col("week").alias("last_week"), lag.alias("lag"), p10.alias("p10"), "p50", F.greatest(F.col("p50"), F.col("p50") + F.col("q_high") * grow).alias("p90"))
+
+
+def point_paths(history: DataFrame, ends: DataFrame, horizon: int, value: str = "units_unconstrained") -> DataFrame:
+    """(item_id, region, week, path): the point forecasts on the history up to each of ``ends(item_id, region, week)``, without bands.
+
+    An end is one state, the last not after it, so no history is copied."""
+    states = trailing_state(history, value)
+    until = states.select(*SERIES, F.col("week").alias("_from"), F.lead("week").over(by_series()).alias("_next"), "y", "level", "trend", "at")
+    found = ends.select(*SERIES, "week").join(until, [*SERIES]).where((F.col("_from") <= F.col("week")) & (F.col("_next").isNull() | (F.col("week") < F.col("_next"))))
+    return found.join(seasons(states), [*SERIES]).select(*SERIES, "week", point_path(horizon).alias("path"))
 
 
 def damped(last: Column, level: Column, trend: Column, lag: Column) -> Column:
