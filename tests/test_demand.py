@@ -191,11 +191,14 @@ def test_calibration(spark, feeds, repaired):
 
 def test_fits_of_an_origin_are_those_of_its_history(spark, feeds, repaired):
     rows = translate.joined(repaired, feeds["channel_inventory"], feeds["shipments"]).persist()
-    origins = spark.createDataFrame([(at(20),), (at(45),)], "as_of date")
-    many = translate.calibrated(forecast.as_of_history(rows, origins), CFG, forecast.ORIGIN)
-    for o in (at(20), at(45)):
-        one = translate.calibrated(rows.where(F.col("week") <= o), CFG)
-        assert sorted(map(str, many.where(F.col("as_of") == o).drop("as_of").collect())) == sorted(map(str, one.collect()))
+    ends = (3, 9, 20, 45)
+    gaps = rows.withColumn("shipped", F.when(F.weekofyear("week") % 5 != 0, F.col("shipped"))).withColumn("on_hand", F.when(F.weekofyear("week") % 7 != 0, F.col("on_hand")))
+    for given in (rows, gaps):
+        asked = given.select("item_id", "region").distinct().crossJoin(spark.createDataFrame([(n + 1,) for n in ends], "at int"))
+        many = translate.fitted(given, asked, CFG).drop("at").collect()
+        for n in ends:
+            one = translate.calibrated(given.where(F.col("week") <= at(n)), CFG).collect()
+            assert sorted(str(r) for r in many if r.last_week == at(n)) == sorted(map(str, one)) and len(one) == 3
 
 
 def test_sell_in_takes_the_method_that_missed_by_less(spark, feeds, repaired):

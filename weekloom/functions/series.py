@@ -25,11 +25,15 @@ def median(col: Column | str) -> Column:
     return F.percentile(col, F.lit(0.5))
 
 
+def held(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: what a lambda captures from outside may otherwise be computed again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def array_median(values: Column) -> Column:
     """Median of an array without nulls; null of an empty one."""
-    n = F.size(values)
-    middle = lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n > 0, F.transform(F.array(F.array_sort(values)), middle)[0])
+    place = lambda s, n: F.get(s, F.floor(n / 2).cast("int"))
+    return held(F.sort_array(values), lambda s: (place(s, F.size(s) - 1) + place(s, F.size(s))) / 2)
 
 
 def rolling_median(col: str, before: int, after: int, least: int = 1, keys: Sequence[str] = SERIES) -> Column:

@@ -43,7 +43,7 @@ def seasons(states: DataFrame) -> DataFrame:
     """(item_id, region, ratios, caps): each week's ratio to its centred median, and the capped values, as arrays by position."""
     usual = median(F.col("capped")).over(by_series().rowsBetween(-(SEASON // 2), AHEAD))
     ratio = F.when(usual > 0, F.col("capped") / F.when(usual > 0, usual)).otherwise(1.0)
-    rows = states.select(*SERIES, "at", "capped", ratio.alias("ratio")).groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("at", "ratio", "capped"))).alias("all"))  # the weeks of a series
+    rows = states.select(*SERIES, "at", "capped", ratio.alias("ratio")).groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("at", "ratio", "capped"))).alias("all"))  # the weeks of a series
     return rows.select(*SERIES, F.transform("all", lambda x: x["ratio"]).alias("ratios"), F.transform("all", lambda x: x["capped"]).alias("caps"))
 
 

@@ -230,6 +230,109 @@ transfer as (
   select item_id, region, n >= 10 and kn = n and sn = n and sd > 0 as fitted, {", ".join(f"case when n >= 10 and kn = n and sn = n and sd > 0 then t{k} end as t{k}" for k in range(5))}, case when r > 0 then r else 1 end as ratio from tc_c
 )"""
 
+
+def _both(x: str, y: str) -> str:
+    """Correlation where both are known and vary."""
+    return f"case when stddev_pop(case when {y} is not null then {x} end) > 0 and stddev_pop(case when {x} is not null then {y} end) > 0 then corr({x}, {y}) end"
+
+
+_E = "item_id, region, e"
+_XS = ("s", "l1", "l2", "l3")
+
+
+def _orthogonal() -> str:
+    """Least squares of h on s and its three lags for each history, by making each regressor orthogonal to those before it."""
+    out, last = [f"o_ as (select {_E}, h, {', '.join(_XS)}, {', '.join(f'var_pop({x}) over (partition by {_E}) as v{i}' for i, x in enumerate(_XS))} from pre where l3 is not null and h is not null and s is not null)"], "o_"
+    slope = lambda y, k: f"case when w{k} > 1e-9::double * v{k} then regr_slope({y}, q{k}) over (partition by {_E}) else 0 end"
+    for k, x in enumerate(_XS):
+        out.append(f"o_r{k} as (select *, {x} - avg({x}) over (partition by {_E}){''.join(f' - r{k}{j} * q{j}' for j in range(k))} as q{k} from (select *{''.join(f', {slope(x, j)} as r{k}{j}' for j in range(k))} from {last}))")
+        out.append(f"o_q{k} as (select *, var_pop(q{k}) over (partition by {_E}) as w{k} from o_r{k})")
+        last = f"o_q{k}"
+    sums = ", ".join(f"any_value(r{k}{j}) as r{k}{j}" for k in range(4) for j in range(k))
+    out.append(f"o_g as (select {_E}, avg(h) as my, {', '.join(f'avg({x}) as m{i}' for i, x in enumerate(_XS))}, {sums}, {', '.join(f'case when any_value(w{k}) > 1e-9::double * any_value(v{k}) then regr_slope(h, q{k}) else 0 end as g{k}' for k in range(4))} from {last} group by {_E})")
+    last = "o_g"
+    for k in reversed(range(4)):
+        out.append(f"o_b{k} as (select *, g{k}{''.join(f' - b{j} * r{j}{k}' for j in range(k + 1, 4))} as b{k} from {last})")
+        last = f"o_b{k}"
+    return ",\n".join([*out, f"moves as (select {_E}, my{''.join(f' - b{k} * m{k}' for k in range(4))} as t0, {', '.join(f'b{k} as t{k + 1}' for k in range(4))} from {last})"])
+
+
+#: Sell-in at every origin, from copies of each history: what a fit on the history alone gives.
+TRANSLATED = f"""
+q0 as (
+  select r.item_id, r.region, r.week, r.units_unconstrained as s, r.is_censored, i.on_hand_units as oh, i.in_transit_units as it, h.units_shipped as h
+  from mended r left join inv i using (item_id, region, week) left join ship h using (item_id, region, week)
+),
+q1 as (select *, row_number() over wk as ix, lead(week) over wk as until, lag(oh) over wk as before, {", ".join(f"lag(s, {k}) over wk as l{k}" for k in range(5))} from q0 window wk as (partition by item_id, region order by week)),
+q as (select *, before - oh as fall, case when s > 0 then (oh - before + s) / s end as rec, before + coalesce(it, 0) - s as pos, oh is not null and not is_censored and s > 0 as clean from q1),
+own as (select item_id, region, as_of as origin, ix from q join origins on week <= as_of and (until is null or as_of < until)),
+asked as (select distinct item_id, region, unnest(range(greatest(1, ix - 7), ix + 1)) as e from own),
+pre as (select q.*, a.e from asked a join q on q.item_id = a.item_id and q.region = a.region and q.ix <= a.e),
+fit as (
+  select {_E}, count(*) as n, count(h) as kn, count(s) as sn, avg(s) as mean, stddev_pop(s) as spread, avg(h) / nullif(avg(s), 0) as r,
+    avg((oh is not null)::int) as share, count(oh) as held, avg(oh) as lev, stddev_pop(oh) as sd, count(case when fall is not null and s is not null then 1 end) as fn, {_both("s", "fall")} as cf,
+    {", ".join(f"{_both(f'l{k}', 'h')} as c{k}" for k in range(5))}, count(case when clean then 1 end) as nc, quantile_cont(case when clean and oh > 0 then oh end, 0.5) as mc,
+    quantile_cont(rec, 0.5) as mr, quantile_cont(oh, 0.5) as moh, quantile_cont(case when h > 0 then h end, 0.5) as usual, max_by(oh, case when oh is not null then week end) as last_oh, max_by(coalesce(it, 0), case when oh is not null then week end) as last_it,
+    max_by(coalesce(oh, -1), week) as end_oh, max_by(coalesce(it, 0), week) as end_it, max(week) as week
+  from pre group by {_E}
+),
+gaps as (select {_E}, count(*) as orders, quantile_cont(gap::double, 0.5) as gap from (
+  select p.item_id, p.region, p.e, ix - lag(ix) over (partition by p.item_id, p.region, p.e order by ix) as gap from pre p join fit f using (item_id, region, e) where h > coalesce(0.05::double * usual, 0)) group by {_E}),
+tries as ({" union all ".join(f"select {_E}, {k} as k, c{k} as c from fit where c{k} is not null and n - {k} >= 8" for k in range(5))}),
+react as (select {_E}, arg_max(k, c - 1e-15::double * k) as k, max(c) as c from tries group by {_E}),
+ra as (
+  select {_E}, count(h) as rn, avg(h) as my, avg(s) as m1, avg(pos) as m2, covar_pop(s, s) as a11, covar_pop(pos, pos) as a22, covar_pop(s, pos) as a12, covar_pop(s, h) as y1, covar_pop(pos, h) as y2
+  from pre where s is not null and pos is not null and h is not null group by {_E}
+),
+rb as (select *, (y1 * a22 - y2 * a12) / (a11 * a22 - a12 * a12) as b1, (y2 * a11 - y1 * a12) / (a11 * a22 - a12 * a12) as b2 from ra where rn >= 12 and a11 > 0 and a22 - a12 * a12 / a11 > 1e-9::double * a22),
+response as (select {_E}, my - b1 * m1 - b2 * m2 as b0, b1, b2 from rb where b1 > 0),
+{_orthogonal()},
+fits as (
+  select f.item_id, f.region, f.e, f.n, f.week, share >= 0.6 and held >= 4 and coalesce(lev > 0 and sd / nullif(lev, 0) >= 0.02, false) and case when fn >= 6 and cf is not null then cf > 0 else true end as usable,
+    case when nc >= 12 and mean > 0 and mc is not null then greatest(1, least(12, mc / mean)) else 4.0::double end as wos, case when n >= 6 and mr is not null then greatest(0, least(1.5::double, mr)) else 1 end as rep,
+    case when kn >= 12 and n >= 12 and t.c > 0 then t.k else 1 end as lagw, case when kn >= 12 and orders >= 3 then greatest(1, least(4, round_even(gap, 0)::int)) else 1 end as cad,
+    b0, b1, b2, case when n >= 10 and kn = n and sn = n and spread > 0 then t0 end as t0, t1, t2, t3, t4, case when r > 0 then r else 1 end as ratio, moh, last_oh, last_it, case when end_oh >= 0 then end_oh end as end_oh, end_it
+  from fit f left join gaps using (item_id, region, e) left join react t using (item_id, region, e) left join response using (item_id, region, e) left join moves using (item_id, region, e)
+),
+dates as (select distinct week as as_of from fits),
+{STATE.replace("from repaired", "from mended").strip()},
+{FORECAST.replace("join origins o", "join dates o").strip()},
+ahead as (select f.item_id, f.region, f.e, p.lag, greatest(0, p.p50) as fc from fits f join forecast p on p.item_id = f.item_id and p.region = f.region and p.as_of = f.week),
+means as (select {_E}, avg(fc) as fc from ahead group by {_E}),
+around as (select {_E}, lag as j, fc as v from ahead union all select f.item_id, f.region, f.e, (q.ix - f.e)::int as j, q.s as v from fits f join q on q.item_id = f.item_id and q.region = f.region and q.ix between f.e - 2 and f.e),
+other as (
+  select a.item_id, a.region, a.e, a.lag, case when any_value(f.t0) is null then any_value(a.fc) * any_value(f.ratio) else greatest(0, any_value(f.t0) + sum(v.v * case a.lag - v.j when 0 then f.t1 when 1 then f.t2 when 2 then f.t3 else f.t4 end)) end as pred
+  from ahead a join fits f using (item_id, region, e) left join around v on v.item_id = a.item_id and v.region = a.region and v.e = a.e and v.j between a.lag - 3 and a.lag group by a.item_id, a.region, a.e, a.lag
+),
+runs as (
+  select o.item_id, o.region, o.origin, o.ix, f.e, f.e = o.ix as final, m.wos, m.cad, m.lagw, f.rep, f.b0, f.b1, f.b2, case when f.e = o.ix then 8 else least(4, o.ix - f.e) end as most,
+    case when f.e = o.ix then coalesce(f.last_oh, m.wos * a.fc) else coalesce(f.end_oh, f.moh) end as oh0, case when f.e = o.ix then coalesce(f.last_it, 0) else f.end_it end as it0
+  from own o join fits m on m.item_id = o.item_id and m.region = o.region and m.e = o.ix join fits f on f.item_id = o.item_id and f.region = o.region and f.e between o.ix - 7 and o.ix
+  join means a on a.item_id = f.item_id and a.region = f.region and a.e = f.e
+),
+walk as (
+  select *, 0 as lag, greatest(0, oh0)::double as held, 0::double as ord from runs
+  union all
+  select x.* exclude (lag, held, ord, fc, pos), lag + 1, greatest(0, pos + rep * fc), case when lag % cad = 0 then greatest(0, coalesce(b0 + b1 * fc + b2 * pos, fc + wos * fc - pos) + fc * (cad - 1)) else 0 end
+  from (select w.*, a.fc, held + case when w.lag = lagw then greatest(0, it0) else 0 end - a.fc as pos from walk w join ahead a on a.item_id = w.item_id and a.region = w.region and a.e = w.e and a.lag = w.lag + 1 where w.lag < most) x
+),
+replayed as (select w.*, o.pred as ord_other, q.h as actual from walk w join other o on o.item_id = w.item_id and o.region = w.region and o.e = w.e and o.lag = w.lag left join q on q.item_id = w.item_id and q.region = w.region and q.ix = w.e + w.lag where w.lag > 0),
+missed as (
+  select item_id, region, origin, e, case when count(actual) = count(*) then case when sum(abs(actual)) > 0 then sum(abs(actual - ord)) / sum(abs(actual)) else 'infinity'::double end end as by_projection,
+    case when count(actual) = count(*) then case when sum(abs(actual)) > 0 then sum(abs(actual - ord_other)) / sum(abs(actual)) else 'infinity'::double end end as by_transfer
+  from replayed where not final group by item_id, region, origin, e
+),
+method as (
+  select o.item_id, o.region, o.origin, case when not any_value(f.usable) or coalesce(any_value(f.n) >= 20 and avg(by_projection) > avg(by_transfer), false) then 'transfer' else 'projection' end as chosen
+  from own o join fits f on f.item_id = o.item_id and f.region = o.region and f.e = o.ix left join missed m on m.item_id = o.item_id and m.region = o.region and m.origin = o.origin group by o.item_id, o.region, o.origin
+),
+translated as (
+  select item_id, region, origin as as_of, lag, case chosen when 'transfer' then ord_other else ord end as pred from replayed join method using (item_id, region, origin) where final
+)"""
+
+TRANSLATED_PRED = "select f.item_id, f.region, f.as_of, t.target as week, f.pred from translated f join targets t on t.as_of = f.as_of and t.lag = f.lag"
+
+
 PROJECTION = f"""
 paths as (select item_id, region, lag, week, p50 from forecast),
 seeds as (select item_id, region, max_by(on_hand_units, week) as oh, max_by(in_transit_units, week) as it from inv where week <= date '{AS_OF}' group by all),
@@ -319,3 +422,17 @@ s as (select item_id, region, count(*) as n, max(week) as week from e where is_c
 select case when n >= 3 then 'high' else 'medium' end as severity, 'Signal repair / censoring' as alert_type, item_id, region, week,
   n::varchar || ' recent week(s) de-censored before forecasting: verify availability.' as message
 from s"""
+
+
+def by_lag_of(*parts: str) -> str:
+    """Accuracy by lag and method over queries of tidy scores, each with tables of its own, scores unrounded."""
+    tidy = " union all ".join(f"select * from ({p.replace('round(p.pred, 6)', 'p.pred').replace('round(r.units_unconstrained, 6)', 'r.units_unconstrained')})" for p in parts)
+    return f"""
+with tidy as ({tidy})
+select lag, method, round(sum(abs(actual - pred)) / nullif(sum(abs(actual)), 0), 6) as wmape, round(sum(pred - actual) / nullif(sum(abs(actual)), 0), 6) as bias from tidy group by all"""
+
+
+FVA_ALL = by_lag_of(
+    f"with {BACKTEST_CHAIN}, {NAIVE}, {STATE}, {FORECAST}, {PLAN_AS_OF} {TIDY}",
+    f"with recursive {SHIPPED_CHAIN}, {TRANSLATED} {scored(TRANSLATED_PRED, 'translated')}",
+)
