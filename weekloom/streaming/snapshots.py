@@ -1,4 +1,4 @@
-"""Feeds that arrive as files: each micro-batch becomes a snapshot of its stream, and the canonical tables are rebuilt."""
+"""Feeds that arrive as files: each micro-batch becomes a snapshot of its stream, and the weeks that it touches are merged into the canonical table."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ def ingest(spark: SparkSession, folder: str, stream: str, workspace: Workspace,
     def take(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
             workspace.add_snapshot(stream, batch, f"{folder}#{epoch}")
-            workspace.rebuild_canonical()
+            workspace.rebuild_canonical([stream])
 
     writer = spark.readStream.schema(struct_of(stream)).parquet(folder).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
