@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -316,10 +317,11 @@ def test_messy_exports(spark, tmp_path):
     (tmp_path / "x.csv").write_text('Article Nbr,Dist Region,Sales Week,POS Qty\n001,East,2025-01-08,"1,200"\n002,West,01/15/2025,640\n003,,01/15/2025,bad\n')
     df = uploads.read_upload(spark, str(tmp_path / "x.csv"))
     mapping = uploads.suggest_mapping(df, "pos")
-    assert mapping == {"item_id": "Article Nbr", "region": "Dist Region", "week": "Sales Week", "units_sold": "POS Qty"} and uploads.missing_required("pos", mapping) == []
+    assert mapping == {"item_id": "Article Nbr", "region": "Dist Region", "week": "Sales Week", "units_sold": "POS Qty"} and mapping.missing == []
     out, warnings = uploads.apply_mapping(df, "pos", mapping, 12)
     assert [tuple(r) for r in out.orderBy("item_id").collect()] == [("001", "East", dt.date(2025, 1, 6), 14400.0), ("002", "West", dt.date(2025, 1, 13), 7680.0)] and warnings == ["1 rows lack a required field and were left out."]
-    assert uploads.source_signature(["A b", "c"]) == uploads.source_signature(["C", "a-B"]) and uploads.clean_headers(["", "a", "a", "Unnamed: 3"]) == ["column_1", "a", "a_2", "column_4"]
+    headed = lambda *names: spark.createDataFrame([("x",) * len(names)], list(names))
+    assert uploads.source_signature(headed("A b", "c")) == uploads.source_signature(headed("C", "a-B")) == "hdr:" + hashlib.sha1(b"a_b|c").hexdigest()[:12] and uploads.clean_headers(["", "a", "a", "Unnamed: 3"]) == ["column_1", "a", "a_2", "column_4"]
     assert uploads.apply_mapping(df, "pos", mapping | {"week": None})[1][0] == "No column is mapped to 'week', which is required."
     blank = "".join("a,,2025-01-06,1\n" for _ in range(130))
     (tmp_path / "y.csv").write_text(f'sku,x,week,qty\n{blank}"b ""c"" ,\nd",2025-02-03,2025-01-06,"1,0"\n')
