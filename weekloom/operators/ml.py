@@ -1,21 +1,24 @@
 """Optional global model tier: one boosted-stump model over all series, used where it beats the statistical tier on held-out weeks.
 
-Features and training rows are window columns; the model is Spark's gradient-boosted trees at depth 1, so the pooled rows of all series stay
-distributed. Targets are ratios to the series' level, which lets series of any volume share a model."""
+Features and training rows are window columns. Models are boosted stumps on summaries of the pooled rows (``stumps``): the rows stay distributed, and the models
+of all origins of a backtest come from one pass over them. Targets are ratios to the series' level, which lets series of any volume share a model."""
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.functions.series import SERIES, by_series, whole_series
-from weekloom.operators.backtest import reads_panel
-from weekloom.operators.forecast import statistical_forecast
+from weekloom.functions.series import SERIES, by_series
+from weekloom.operators import stumps
+from weekloom.operators.backtest import on_axis, reads_panel
+from weekloom.operators.forecast import ORIGIN, point_paths
 from weekloom.sources.schemas import RunConfig
+from weekloom.sources.scratch import written
 
 # Fixed values.
 LEAST_HISTORY, LEVEL_ROWS, VALIDATION_WEEKS, CHAMPION_LAGS, MARGIN = 16, 13, 6, 4, 0.02
@@ -23,6 +26,12 @@ ROUNDS, RATE, LEAF = 60, 0.12, 8
 LOW, HIGH = 0.10, 0.90
 FEATURES = ("r_last", "r_mean2", "r_mean4", "r_mean8", "r_std8", "r_slope4", "r_yoy", "zero_frac8", "woy_sin", "woy_cos", "h", "promo_t", "promo_tgt", "inv_ratio")
 
+_RATIO, _SPREAD, _SLOPE, _WAVE = np.geomspace(0.2, 5.0, 31), np.geomspace(0.01, 2.0, 31), np.linspace(-0.5, 0.5, 31), np.linspace(-1.0, 1.0, 33)[1:-1]
+#: What values of a feature count as the same: ratios by a ninth, shares and steps as they come.
+BINS = stumps.Bins(dict.fromkeys(FEATURES, _RATIO) | {
+    "r_std8": _SPREAD, "r_slope4": _SLOPE, "zero_frac8": (np.arange(8) + 0.5) / 8, "woy_sin": _WAVE, "woy_cos": _WAVE, "h": np.arange(1, 32) + 0.5, "promo_t": np.array([0.5]), "promo_tgt": np.array([0.5]),
+})
+
 
 def origin_features(history: DataFrame, promo: DataFrame | None = None, inventory: DataFrame | None = None, value: str = "units_unconstrained") -> DataFrame:
     """Each row's features as an origin, from the rows up to it: item_id, region, week, y, at (1-based), level and the r_* columns, promo_t, inv_ratio."""
@@ -72,68 +81,90 @@ def training_rows(features: DataFrame, promo: DataFrame | None, horizon: int) ->
     return _with_target(rows, promo)
 
 
-def future_rows(features: DataFrame, promo: DataFrame | None, horizon: int) -> DataFrame:
-    """The last origin of each series with each of the next ``horizon`` weeks."""
-    last = features.withColumn("_n", F.max("at").over(whole_series())).where(F.col("at") == F.col("_n")).drop("_n")
-    rows = last.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("week_tgt", F.expr("date_add(week, 7 * h)")).withColumn("h", F.col("h").cast("double"))
+def rows_ahead(features: DataFrame, promo: DataFrame | None, dates: Sequence[dt.date], horizon: int) -> DataFrame:
+    """For each of ``dates`` (as_of) and each series the features of its last week not after it, with each of the ``horizon`` weeks that follow."""
+    spark = features.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(d,) for d in dates], "as_of date"))  # one row an origin week
+    ends = features.withColumn("_next", F.lead("week").over(by_series())).join(asked, (F.col("week") <= F.col("as_of")) & (F.col("_next").isNull() | (F.col("as_of") < F.col("_next")))).drop("_next")
+    rows = ends.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("week_tgt", F.expr("date_add(week, 7 * h)")).withColumn("h", F.col("h").cast("double"))
     return _with_target(rows, promo)
 
 
-def fit(rows: DataFrame):
-    """(model, low, high): boosted stumps, and the 10 % and 90 % quantiles of their residuals, not above and not below 0."""
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    data = vector.transform(rows.select(*FEATURES, "ratio"))
-    model = GBTRegressor(featuresCol="features", labelCol="ratio", maxDepth=1, maxIter=ROUNDS, stepSize=RATE, minInstancesPerNode=LEAF, maxBins=64, seed=7, cacheNodeIds=True).fit(data)
-    low, high = model.transform(data).select(F.percentile(F.col("ratio") - F.col("prediction"), F.array(F.lit(LOW), F.lit(HIGH)))).first()[0] or (0.0, 0.0)
-    return model, min(low, 0.0), max(high, 0.0)
+def models_at(rows: DataFrame, cuts: Sequence[dt.date]) -> dict[dt.date, stumps.Model]:
+    """The model of each cut, on the ``training_rows`` whose target week is not after it."""
+    return stumps.fitted(rows, BINS, F.col("week_tgt"), "ratio", cuts, ROUNDS, RATE, LEAF)
 
 
-def predicted(fitted, rows: DataFrame) -> DataFrame:
-    """(item_id, region, week, lag, p10, p50, p90) in units."""
-    model, low, high = fitted
-    out = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
-    grow = F.sqrt(F.greatest("h", F.lit(1.0)))
-    units = lambda c: F.greatest(F.lit(0.0), c * F.col("level"))
-    return out.select(
-        *SERIES, F.col("week_tgt").alias("week"), F.col("h").cast("int").alias("lag"), units(F.least(F.col("prediction"), F.col("prediction") + low * grow)).alias("p10"),
-        units(F.col("prediction")).alias("p50"), units(F.greatest(F.col("prediction"), F.col("prediction") + high * grow)).alias("p90"),
-    )
+class Tier:
+    """The model beside the statistical tier at several origins of one panel.
+
+    ``weeks`` is every week of the axis, ``origins`` some of them. An origin's inner cut is VALIDATION_WEEKS weeks of the axis before it; it has one only if
+    LEAST_HISTORY weeks and one more stand before that."""
+
+    def __init__(self, panel: DataFrame, promo: DataFrame | None, inventory: DataFrame | None, weeks: Sequence[dt.date], origins: Sequence[dt.date], horizon: int, value: str):
+        self.panel, self.promo, self.value, self.horizon, self.weeks = panel, promo, value, horizon, sorted(weeks)
+        place = {w: i for i, w in enumerate(self.weeks)}
+        self.cuts = {o: self.weeks[place[o] - VALIDATION_WEEKS] for o in origins if place[o] + 1 >= LEAST_HISTORY + VALIDATION_WEEKS + 1}
+        self.held = {c: self.weeks[place[c] + 1 :][:CHAMPION_LAGS] for c in self.cuts.values()}
+        self.dates = sorted({*origins, *self.held})
+        self.features = written(origin_features(panel, promo, inventory, value), "ml-features")
+        self.rows = training_rows(self.features, promo, horizon)
+        self.models = models_at(self.rows, self.dates)
+
+    def scored(self) -> DataFrame:
+        """(item_id, region, as_of, lag, week, level, ratio, ml, stat): both tiers' points for the weeks after every date, ml null where there was nothing to learn from."""
+        ahead = stumps.predictions(rows_ahead(self.features, self.promo, self.dates, self.horizon), BINS, "as_of", self.models, "ratio")
+        ml = ahead.select(*ORIGIN, F.col("h").cast("int").alias("lag"), F.col("week_tgt").alias("week"), "level", "ratio", F.when(F.col("ratio").isNotNull(), F.greatest(F.lit(0.0), F.col("ratio") * F.col("level"))).alias("ml"))
+        ends = ahead.select(*SERIES, F.col("as_of").alias("week")).distinct()
+        paths = point_paths(self.panel, ends, self.horizon, self.value).select(*SERIES, F.col("week").alias("as_of"), F.posexplode("path").alias("i", "stat"))
+        return ml.join(paths.select(*ORIGIN, (F.col("i") + 1).alias("lag"), "stat"), [*ORIGIN, "lag"])
+
+    def won(self, scored: DataFrame) -> DataFrame:
+        """(item_id, region, as_of): the series that the model leads at each origin: fitted up to the inner cut, it beat the statistical tier on the first
+        weeks held out by over MARGIN. Series of no held-out actuals, or all zero, stay with the statistical tier."""
+        spark = self.panel.sparkSession
+        axis = spark.createDataFrame([(c, i + 1, w) for c, held in self.held.items() for i, w in enumerate(held)], "as_of date, lag int, held date")
+        actual = self.panel.where(F.col(self.value).isNotNull()).select(*SERIES, F.col("week").alias("held"), F.col(self.value).alias("actual"))
+        both = scored.join(F.broadcast(axis), ["as_of", "lag"]).where("ml is not null").join(actual, [*SERIES, "held"])  # four rows a cut
+        error = lambda c: F.try_divide(F.sum(F.abs(F.col("actual") - F.col(c))), F.sum(F.abs("actual")))
+        wins = both.groupBy(*ORIGIN).agg(error("ml").alias("ml"), error("stat").alias("stat")).where(F.col("ml") < F.col("stat") * (1.0 - MARGIN)).select(*SERIES, F.col("as_of").alias("cut"))
+        cuts = spark.createDataFrame([*self.cuts.items()], "as_of date, cut date")
+        return wins.join(F.broadcast(cuts), "cut").select(*ORIGIN)  # one row an origin
+
+
+def _weeks(df: DataFrame) -> list[dt.date]:
+    return [r.week for r in df.select("week").where("week is not null").distinct().orderBy("week").collect()]  # one row a week
 
 
 def champions(history: DataFrame, promo: DataFrame | None, inventory: DataFrame | None, horizon: int, value: str = "units_unconstrained") -> DataFrame:
-    """(item_id, region) of the series where the model, fitted without the last six weeks, beats the statistical tier on the first four of
-    them by over 2 %. Series of no held-out actuals, or all zero, stay with the statistical tier."""
-    weeks = [r.week for r in history.select("week").distinct().orderBy(F.desc("week")).limit(VALIDATION_WEEKS + 1).collect()]
-    if len(weeks) <= VALIDATION_WEEKS or history.select("week").distinct().count() < LEAST_HISTORY + VALIDATION_WEEKS + 1:
+    """(item_id, region) of the series that the model leads at the last week of ``history``."""
+    weeks = _weeks(history)
+    tier = Tier(history, promo, inventory, weeks, weeks[-1:], horizon, value) if weeks else None
+    if tier is None or not tier.cuts:
         return history.select(*SERIES).limit(0)
-    cut, held = weeks[-1], sorted(weeks[:-1])[:CHAMPION_LAGS]
-    train = history.where(F.col("week") <= F.lit(cut))
-    stock = inventory.where(F.col("week") <= F.lit(cut)) if inventory is not None else None
-    features = origin_features(train, promo, stock, value)
-    rows = training_rows(features, promo, horizon)
-    if rows.isEmpty():
-        return history.select(*SERIES).limit(0)
-    axis = history.sparkSession.createDataFrame([(i + 1, w) for i, w in enumerate(held)], "lag int, week date")
-    model = predicted(fit(rows), future_rows(features, promo, len(held))).select(*SERIES, "lag", F.col("p50").alias("ml"))
-    origins = history.sparkSession.createDataFrame([(cut,)], "as_of date")
-    own = statistical_forecast(train, origins, len(held), value).select(*SERIES, "lag", F.col("p50").alias("stat"))
-    actual = history.join(F.broadcast(axis), "week").select(*SERIES, "lag", F.col(value).alias("actual"))  # at most four rows
-    both = actual.join(model, [*SERIES, "lag"]).join(own, [*SERIES, "lag"])
-    size = F.sum(F.abs("actual"))
-    error = lambda c: F.try_divide(F.sum(F.abs(F.col("actual") - F.col(c))), size)
-    return both.groupBy(*SERIES).agg(error("ml").alias("ml"), error("stat").alias("stat")).where(F.col("ml") < F.col("stat") * (1.0 - MARGIN)).select(*SERIES)
+    return tier.won(tier.scored()).select(*SERIES)
 
 
 def sellout_override(history: DataFrame, promo: DataFrame | None, inventory: DataFrame | None, cfg: RunConfig) -> tuple[DataFrame | None, DataFrame]:
-    """(p10, p50, p90 by lag of the champion series, or None when there are none; the champion series)."""
+    """(p10, p50, p90 by lag of the champion series, or None when there are none; the champion series).
+
+    The band is that of the residuals, from their 10 % and 90 % quantiles, not above and not below 0, and widens with the root of the lag."""
     known = history.where(F.col("week") <= F.lit(cfg.as_of))
-    stock = inventory.where(F.col("week") <= F.lit(cfg.as_of)) if inventory is not None else None
-    won = champions(known, promo, stock, cfg.horizon_weeks).persist()
+    weeks = _weeks(known)
+    tier = Tier(known, promo, inventory, weeks, weeks[-1:], cfg.horizon_weeks, "units_unconstrained") if weeks else None
+    if tier is None or not tier.cuts:
+        return None, history.select(*SERIES).limit(0)
+    scored = written(tier.scored(), "ml-scored")
+    won = written(tier.won(scored).select(*SERIES), "ml-champions")
     if won.isEmpty():
         return None, won
-    features = origin_features(known, promo, stock)
-    fitted = fit(training_rows(features, promo, cfg.horizon_weeks))
-    return predicted(fitted, future_rows(features, promo, cfg.horizon_weeks)).join(won, [*SERIES], "left_semi"), won
+    last = F.lit(weeks[-1])
+    own = stumps.predictions(tier.rows.select(*FEATURES, F.col("ratio").alias("target"), last.alias("as_of")), BINS, "as_of", tier.models, "ratio")
+    low, high = own.select(F.percentile(F.col("target") - F.col("ratio"), F.array(F.lit(LOW), F.lit(HIGH)))).first()[0]
+    ahead = scored.where(F.col("as_of") == last).join(won, [*SERIES], "left_semi")
+    grow = F.sqrt(F.col("lag").cast("double"))
+    units = lambda c: F.greatest(F.lit(0.0), c * F.col("level"))
+    return ahead.select(*SERIES, "week", "lag", units(F.col("ratio") + min(low, 0.0) * grow).alias("p10"), F.col("ml").alias("p50"), units(F.col("ratio") + max(high, 0.0) * grow).alias("p90")), won
 
 
 def overridden(forecast: DataFrame, override: DataFrame | None) -> DataFrame:
@@ -146,30 +177,20 @@ def overridden(forecast: DataFrame, override: DataFrame | None) -> DataFrame:
 
 
 def ml_forecaster(promo: DataFrame | None, inventory: DataFrame | None, champion: bool):
-    """Backtest forecaster: the model alone, or with ``champion`` where it wins and the statistical tier elsewhere. One fit for each origin."""
+    """Backtest forecaster: the model alone, or with ``champion`` where it wins and the statistical tier elsewhere. The models of all origins, and of
+    the inner cuts at which they are judged, come from one pass over the training rows."""
 
     @reads_panel
     def of(panel: DataFrame, origins: DataFrame, horizon: int, value: str, axis: DataFrame) -> DataFrame:
-        from functools import reduce
-
-        parts = []
-        weeks = [r.week for r in axis.orderBy("week").collect()]  # one row a week
-        for o in [r.as_of for r in origins.orderBy("as_of").collect()]:
-            known = panel.where(F.col("week") <= F.lit(o))
-            stock = inventory.where(F.col("week") <= F.lit(o)) if inventory is not None else None
-            features = origin_features(known, promo, stock, value)
-            rows = training_rows(features, promo, horizon)
-            spark = panel.sparkSession
-            after = spark.createDataFrame([(i + 1, w) for i, w in enumerate(weeks[weeks.index(o) + 1 :][:horizon])], "lag int, week date")
-            own = statistical_forecast(known, spark.createDataFrame([(o,)], "as_of date"), horizon, value).select(*SERIES, "lag", F.col("p50").alias("pred"))
-            won = champions(known, promo, stock, horizon, value) if champion else None
-            if rows.isEmpty() or champion and won.isEmpty():
-                out = own
-            else:
-                model = predicted(fit(rows), future_rows(features, promo, horizon)).select(*SERIES, "lag", F.col("p50").alias("pred"))
-                out = model if won is None else model.join(won, [*SERIES], "left_semi").unionByName(own.join(won, [*SERIES], "left_anti"))
-            parts.append(out.join(F.broadcast(after), "lag").select(*SERIES, F.lit(o).alias("as_of"), "week", "pred"))  # a row for each step
-        return reduce(DataFrame.unionByName, parts)
+        dates = [r.as_of for r in origins.select("as_of").orderBy("as_of").collect()]  # one row an origin
+        tier = Tier(panel, promo, inventory, _weeks(axis), dates, horizon, value)
+        scored = written(tier.scored(), "ml-scored")
+        own = scored.join(F.broadcast(origins.select("as_of")), "as_of")
+        if champion and tier.cuts:
+            own = own.join(tier.won(scored).withColumn("_won", F.lit(True)), [*ORIGIN], "left").withColumn("pred", F.when(F.col("_won"), F.col("ml")).otherwise(F.col("stat")))
+        else:
+            own = own.withColumn("pred", F.col("stat" if champion else "ml"))
+        return on_axis(own.where("pred is not null").select(*ORIGIN, "lag", "pred"), axis, origins).select(*SERIES, "as_of", "week", "pred")
 
     return of
 

@@ -71,7 +71,7 @@ def run_pipeline(workspace: Workspace, as_of: dt.date, config: RunConfig) -> Run
     rows = {s: workspace.read_canonical(s).count() for s in ("pos", "channel_inventory", "shipments", "demand_plan", "promo")}
     manifest = {
         "run_id": run_id, "as_of": as_of.isoformat(), "config": config.to_dict(), "inputs": rows, "snapshots": [r.asDict() for r in workspace.list_snapshots().collect()], "ml_enabled": config.ml_enabled,
-        "ml_backend": "gbt" if config.ml_enabled else None, "ml_champion_series": ["|".join((r.item_id, r.region)) for r in won.orderBy(*SERIES).collect()] if won is not None else [],
+        "ml_backend": "stumps" if config.ml_enabled else None, "ml_champion_series": ["|".join((r.item_id, r.region)) for r in won.orderBy(*SERIES).collect()] if won is not None else [],
     }
     result = RunResult(
         run_id, as_of, config, repaired, ahead, projection, alerts.all_alerts(ahead, projection, repaired, config), backtest.fva_waterfall(tidy), backtest.ordered_by_lag(backtest.fva_by_lag(tidy)), manifest

@@ -27,7 +27,7 @@ KEYS = ("item_id", "region", "week")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ROWS_ONLY = {"ml_champion": "a boosted model"}
+ROWS_ONLY = {"ml_champion": "a boosted model", "backtest_champion": "the same at every origin"}
 
 
 def query(sql: str | None = None):
@@ -512,10 +512,15 @@ def exit_criteria(spark: SparkSession, d: str) -> DataFrame:
 _TAIL = lambda k: f"(partition by item_id, region order by week rows between {k - 1} preceding and current row)"
 
 
-@query(f"""{R_SQL},
+ML_SQL = f"""{R_SQL},
 iv as (select item_id, region, week, on_hand_units / case when avg(on_hand_units) over {_TAIL(8)} > 1e-9 then avg(on_hand_units) over {_TAIL(8)} else 1 end as inv_ratio from inv),
 b as (select r.item_id, r.region, r.week, units_unconstrained as y, coalesce(m.promo_flag, 0) as promo_t, coalesce(iv.inv_ratio, 1) as inv_ratio from repaired r left join promo m using (item_id, region, week) left join iv using (item_id, region, week)),
-n as (select *, row_number() over (partition by item_id, region order by week) as ix, case when avg(y) over {_TAIL(13)} > 1e-9 then avg(y) over {_TAIL(13)} else 1 end as level from b)
+n as (select *, row_number() over (partition by item_id, region order by week) as ix, case when avg(y) over {_TAIL(13)} > 1e-9 then avg(y) over {_TAIL(13)} else 1 end as level from b)"""
+_PER_LEVEL = f"""y / level as r_last, {", ".join(f"avg(y) over {_TAIL(k)} / level as r_mean{k}" for k in (2, 4, 8))}, case when ix >= 2 then stddev_pop(y) over {_TAIL(8)} / level else 0 end as r_std8,
+  case when ix >= 4 then regr_slope(y, ix::double) over {_TAIL(4)} else 0 end / level as r_slope4, coalesce(lag(y, 51) over (partition by item_id, region order by week), level) / level as r_yoy, avg((y <= 1e-9)::int) over {_TAIL(8)} as zero_frac8"""
+
+
+@query(f"""{ML_SQL}
 select item_id, region, week, ix as n_rows, round(level, 6) as level, promo_t, round(inv_ratio, 6) as inv_ratio, round(y / level, 6) as r_last, {", ".join(f"round(avg(y) over {_TAIL(k)} / level, 6) as r_mean{k}" for k in (2, 4, 8))},
   round(case when ix >= 2 then stddev_pop(y) over {_TAIL(8)} / level else 0 end, 6) as r_std8, round(case when ix >= 4 then regr_slope(y, ix::double) over {_TAIL(4)} else 0 end / level, 6) as r_slope4,
   round(coalesce(lag(y, 51) over (partition by item_id, region order by week), level) / level, 6) as r_yoy, round(avg((y <= 1e-9)::int) over {_TAIL(8)}, 6) as zero_frac8
@@ -526,6 +531,25 @@ def ml_features(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("at", F.col("at").cast("long")).withColumnRenamed("at", "n_rows")
 
 
+@query(f"""{ML_SQL},
+f as (select item_id, region, week, ix, level, promo_t, inv_ratio, {_PER_LEVEL}, {", ".join(f"lead(y, {h}) over wk as y{h}, lead(week, {h}) over wk as w{h}" for h in range(1, 9))} from n window wk as (partition by item_id, region order by week)),
+t as ({" union all ".join(f"select *, {h} as h, y{h} as y_tgt, w{h} as week_tgt from f where ix >= 16 and y{h} is not null" for h in range(1, 9))})
+select t.item_id, t.region, t.week, h::double as h, week_tgt, round(y_tgt / level, 6) as ratio, coalesce(m.promo_flag, 0)::double as promo_tgt, round(sin(2 * pi() * (week(week_tgt) % 52) / 52), 6) as woy_sin, round(cos(2 * pi() * (week(week_tgt) % 52) / 52), 6) as woy_cos,
+  promo_t::double as promo_t, round(inv_ratio, 6) as inv_ratio, {", ".join(f"round({c}, 6) as {c}" for c in ("r_last", "r_mean2", "r_mean4", "r_mean8", "r_std8", "r_slope4", "r_yoy", "zero_frac8"))}
+from t left join promo m on m.item_id = t.item_id and m.region = t.region and m.week = t.week_tgt""")
+def ml_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    own = Inputs(spark, d)
+    rows = ml.training_rows(ml.origin_features(own.repaired, own.promo, own.inventory), own.promo, 8)
+    return rounded(rows.select(*KEYS, "week_tgt", "ratio", *ml.FEATURES))
+
+
+@query()
+def backtest_champion(spark: SparkSession, d: str) -> DataFrame:
+    """The statistical method's row with the model where it leads; the models of all origins from one pass."""
+    own = Inputs(spark, d)
+    return rounded(backtest.backtest(ml.ml_forecaster(own.promo, own.inventory, champion=True), own.repaired, CFG, method="statistical", check=False))
+
+
 @query()
 def ml_champion(spark: SparkSession, d: str) -> DataFrame:
     own = Inputs(spark, d)
