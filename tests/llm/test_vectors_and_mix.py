@@ -53,16 +53,12 @@ def test_topk_of_any_size_over_several_blocks(spark, monkeypatch):
     got = {}
     for r in topk_inner_product(df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    kept = {}
-    for i, v in rows:
-        if i is not None:
-            kept[i] = min(kept.get(i, v), v)
-    whole = {i: [Fraction(x) * 1024 // 1 for x in v] for i, v in kept.items()}
+    whole = [(i, [Fraction(x) * 1024 // 1 for x in v]) for i, v in rows if i is not None]
     want = {}
-    for q in (i for i in whole if i % 100 == 0):
-        s = {i: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(whole[q], v, strict=True)))) for i, v in whole.items() if i != q and len(v) == len(whole[q])}
-        want[q] = [(i, s[i]) for i in sorted(s, key=lambda i: (-s[i], i))[:10]]
-    assert got == want
+    for q, a in whole:
+        if q % 100 == 0:
+            want.setdefault(q, []).extend((max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, v, strict=True)))), i) for i, v in whole if i != q and len(v) == len(a))
+    assert got == {q: [(i, x) for x, i in sorted(s, key=lambda t: (-t[0], t[1]))[:10]] for q, s in want.items()}
 
 
 @pytest.mark.parametrize("dim", [16, 64])
@@ -82,6 +78,32 @@ def test_ann_scores_are_exact_and_recall_is_high(spark, dim):
     assert hits / 150 >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["centred", "offset 10", "offset 100", "heavy tails", "clusters", "one point"])
+def test_ann_finds_all_however_the_codes_fit(spark, monkeypatch, kind):
+    monkeypatch.setattr(vector_blocks, "ROWS", 300)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 12))
+    x = {"centred": x, "offset 10": x + 10, "offset 100": x + 100, "heavy tails": rng.standard_cauchy(size=x.shape), "clusters": x * 0.01 + 50 * rng.integers(-2, 3, size=(900, 1)), "one point": np.ones_like(x)}[kind]
+    x[5] = x[400] = x[401]
+    rows = [(i, r) for i, r in enumerate(x)] + [(5, x[7]), (17, x[200] + 1e-3), (300, x[3]), (300, x[3])]
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0, "x") for i, r in rows], "vec_id long, embedding array<double>, score int, v string")
+    got = {}
+    for r in nearest_neighbours(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    want = {}
+    for q, a in rows:
+        if q % 100 == 0:
+            want.setdefault(q, []).extend((float(np.sqrt(((a - v) ** 2).sum())), i) for i, v in rows if i != q)
+    assert got.keys() == want.keys()
+    for q, found in got.items():
+        best = sorted(want[q])[:10]
+        assert np.allclose([s for s, _ in found], [s for s, _ in best], rtol=1e-9, atol=1e-12)
+        if kind != "one point":
+            assert sorted(i for _, i in found) == sorted(i for _, i in best)
+        else:
+            assert [i for _, i in found] == [i for _, i in best]
+
+
 @pytest.mark.parametrize("operator", [topk_inner_product, nearest_neighbours])
 def test_empty_vectors(spark, operator):
     assert operator(spark.createDataFrame([], VEC)).count() == 0

@@ -3,7 +3,10 @@
 Euclidean search is maximum inner product search in disguise: |q - x|^2 = |q|^2 - 2 q.x + |x|^2, so the nearest
 row is the one with the largest q.x - |x|^2 / 2. The norm is kept exactly and q.x is estimated from 4-bit codes.
 Codes and codebooks minimise h |parallel residual|^2 + |orthogonal residual|^2, parallel to the vector coded,
-because only the parallel part moves the large inner products."""
+because only the parallel part moves the large inner products. Distances don't change when everything is moved, so vectors are coded less the sample's mean.
+
+The best of the scan are scored exactly and give a kth distance. A row is at least |q - code| - |x - code| away, so every other row for which that is not
+above the kth distance is scored exactly as well: however well or badly the codes fit, no nearer row of a block is left out."""
 
 from __future__ import annotations
 
@@ -16,8 +19,10 @@ from weekloom.llm.vector_blocks import best_in_blocks, finite_vectors
 #: Codebooks are fitted on at most so many rows (those with the smallest hash of their id); every row is coded.
 SAMPLE = 8192
 CODES, SUBSPACE = 16, 1
-#: Rows of a block that are scored exactly for each query, whatever its size.
+#: Rows of a block that are scored exactly first, for each query; how many follow depends on what they show.
 RERANKED = 64
+#: Share of the squared lengths by which single-precision sums may err.
+SLACK = 1e-5
 THRESHOLD = 0.2
 
 
@@ -89,20 +94,38 @@ def scan(queries: np.ndarray, books: list[np.ndarray], packed: np.ndarray) -> np
     return total
 
 
-def approximate_search(query_ids: np.ndarray, queries: np.ndarray, limits: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, books: dict[int, list[np.ndarray]]) -> tuple:
-    """Code one block, scan it for each query, and score the best of the scan exactly."""
-    own = books[vectors.shape[1]]
-    norms = np.linalg.norm(vectors, axis=1)
-    packed = pack(_assign(vectors, vectors / norms[:, None], own, sweeps=2))
+def decoded(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([b[codes[:, m]] for m, b in enumerate(books)], axis=1)
+
+
+def approximate_search(query_ids: np.ndarray, queries: np.ndarray, limits: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, fits: dict[int, tuple]) -> tuple:
+    """Code one block, scan it for each query, score the best of the scan exactly, then every row that their distances don't rule out."""
+    mean, own = fits[vectors.shape[1]]
+    moved, asked = vectors - mean, queries - mean
+    norms = np.linalg.norm(moved, axis=1)
+    codes = _assign(moved, moved / np.maximum(norms, 1e-300)[:, None], own, sweeps=2)
+    packed, near_by = pack(codes), decoded(codes, own)
+    left = np.linalg.norm(moved - near_by, axis=1)
+    lengths = (near_by**2).sum(axis=1)
+    del near_by
     most = min(len(ids), max(RERANKED, k + 1))
     out_q, out_id, out_s = [], [], []
     for at in range(0, len(queries), 64):
-        closeness = scan(queries[at : at + 64], own, packed) - (norms**2 / 2).astype(np.float32)
-        for qid, q, c in zip(query_ids[at : at + 64], queries[at : at + 64], closeness, strict=True):
-            c[ids == qid] = -np.inf
-            near = np.argpartition(-c, most - 1)[:most]
-            near = near[ids[near] != qid]
-            d = np.sqrt(((vectors[near] - q) ** 2).sum(axis=1))
+        for qid, q, centred, limit, inner in zip(query_ids[at : at + 64], queries[at : at + 64], asked[at : at + 64], limits[at : at + 64], scan(asked[at : at + 64], own, packed), strict=True):
+            size = float(centred @ centred)
+            closeness = inner - (norms**2 / 2)
+            closeness[ids == qid] = -np.inf
+            first = np.argpartition(-closeness, most - 1)[:most]
+            first = first[ids[first] != qid]
+            d = np.sqrt(((vectors[first] - q) ** 2).sum(axis=1))
+            worst = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
+            worst = worst if limit is None or limit != limit else min(worst, limit)
+            away = np.sqrt(np.maximum(0.0, size - 2.0 * inner + lengths - SLACK * (size + lengths))) - left
+            may = away <= worst * (1 + 1e-9)
+            may[first] = False
+            may[ids == qid] = False
+            rest = np.flatnonzero(may)
+            near, d = np.concatenate([first, rest]), np.concatenate([d, np.sqrt(((vectors[rest] - q) ** 2).sum(axis=1))])
             best = np.lexsort((ids[near], d))[:k]
             out_q.append(np.full(len(best), qid))
             out_id.append(ids[near][best])
@@ -115,11 +138,12 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
 
     The score is the Euclidean distance of the original vectors in double precision; nearest first, ties to the smaller id.
     Vectors (or ids) that are null, empty, zero, or hold null or non-finite components take no part; vectors of different length are not
-    compared; of rows that repeat an id the smallest vector counts. Other columns are ignored; an empty table gives an empty result."""
+    compared; rows that repeat an id all take part, but not for a query of that id; queries that repeat an id share one list. Other columns are ignored; an empty table gives an empty result."""
     rows = finite_vectors(table, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
-    books: dict[int, list[np.ndarray]] = {}
+    fits: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
     for dim in [r.dim for r in rows.select("dim").distinct().collect()]:
         sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()
-        books[dim] = fit_codebooks(np.array([r.v for r in sample], dtype=np.float64))
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+        x = np.array([r.v for r in sample], dtype=np.float64)
+        fits[dim] = x.mean(axis=0), fit_codebooks(x - x.mean(axis=0))
+    shared = rows.sparkSession.sparkContext.broadcast(fits)
     return best_in_blocks(rows, every, k, lambda *blocks: approximate_search(*blocks, k, shared.value), "double", ascending=True)

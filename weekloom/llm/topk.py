@@ -85,8 +85,8 @@ def topk_inner_product(table: DataFrame, id_col: str = "vec_id", vec_col: str =
 
     A component x counts as floor(scale * x); the score is the integer inner product, ties go to the smaller id.
     Vectors (or ids) that are null, empty, or hold null or non-finite components take no part. Components of any size are exact; a score
-    beyond a long counts as the nearest long. Vectors of different length are not compared. Of
-    rows that repeat an id the smallest vector counts. Other columns are ignored; an empty table gives an empty result."""
+    beyond a long counts as the nearest long. Vectors of different length are not compared. Rows
+    that repeat an id all take part, but not for a query of that id; queries that repeat an id share one list. Other columns are ignored; an empty table gives an empty result."""
     rows = finite_vectors(table, id_col, vec_col)
 
     def search(query_ids: np.ndarray, queries: np.ndarray, limits: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple:

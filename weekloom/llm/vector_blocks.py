@@ -33,8 +33,8 @@ def best_in_blocks(rows: DataFrame, every: int, k: int, search: Callable[[np.nda
     """``search(query_ids, queries, limits, ids, vectors)`` gives arrays (query_id, vec_id, score) for one pair of blocks; scores
     worse than a query's limit, if that isn't NaN, are of no use.
 
-    Vectors are only compared with vectors of their own length. Of rows that repeat a vec_id, the one with
-    the smallest vector stands for all."""
+    Vectors are only compared with vectors of their own length. Rows that repeat a vec_id all take part, but never for a query of that id;
+    queries that repeat an id have one list of k between them."""
     sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).collect()  # a row for each vector length
     n, q = max((r.n for r in sizes), default=0), max((r.q for r in sizes), default=0)
     blocks, sets = max(1, math.ceil(n / ROWS)), max(1, math.ceil(q / QUERIES))
@@ -47,8 +47,7 @@ def best_in_blocks(rows: DataFrame, every: int, k: int, search: Callable[[np.nda
     w = Window.partitionBy("query_id").orderBy(order, "vec_id")
 
     def one(pdf: pd.DataFrame) -> tuple:
-        first = pdf.assign(t=pdf["v"].map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
-        return first["vec_id"].to_numpy(np.int64), np.array(first["t"].tolist(), dtype=np.float64).reshape(len(first), -1), first["limit"].to_numpy() if "limit" in first else None
+        return pdf["vec_id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1), pdf["limit"].to_numpy() if "limit" in pdf else None
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
