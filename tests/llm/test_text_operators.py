@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -64,13 +66,18 @@ def test_base_scan_equals_plain(text):
     assert sorted(base) == plain_scan(text) and set(base) <= set(every)
 
 
+def held_in(n):
+    """How many base64 characters hold the first n bytes."""
+    return -(-n * 4 // 3)
+
+
 def test_layers_map_back_to_the_text():
     def spans(text):
         return secrets.find_secrets(text)[1]
 
     inner = base64.b64encode(SECRET.encode()).decode()
     text = f"é {inner} end"
-    assert (2, 2 + len(inner.rstrip("=")) + inner.count("="), "assign") in spans(text)
+    assert (2, 2 + held_in(SECRET.index('"', 9)), "assign") in spans(text)  # the characters that hold the find, up to the closing quote
     zipped = base64.b64encode(gzip.compress(zlib.compress(SECRET.encode()))).decode()
     assert any(k == "hex" for _, _, k in spans(f"x {zipped} y"))
     twice = base64.b64encode(base64.b64encode(SECRET.encode())).decode()
@@ -93,13 +100,50 @@ def test_layers_that_are_not_clean_text():
     inner = code(SECRET.encode()).rstrip("=")
     for prefix in ("https://h.example/data/", "x-", "id_", "ab/"):
         at = len("é " + prefix)
-        assert (at, at + len(inner), "assign") in secrets.find_secrets(f"é {prefix}{inner} end")[1]
+        assert (at, at + held_in(len(SECRET) - 1), "assign") in secrets.find_secrets(f"é {prefix}{inner} end")[1]
     for packed in (gzip.compress(SECRET.encode()), gzip.compress(b"one") + gzip.compress(SECRET.encode()), gzip.compress(bytes(9 << 20) + SECRET.encode())):
         lines = re.findall(".{1,20}", code(packed))
         assert kinds("a\n" + "\n".join(lines) + "\nb") >= {"assign", "hex"} and kinds(f"id_{code(packed)}") >= {"assign", "hex"}
     assert kinds("\n".join(re.findall(".{1,14}", code(SECRET.encode())))) >= {"assign", "hex"}
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["abc", "é ", "😀", "\n", " ", SECRET, "api_key=abcdef99", "AKIA" + "Z9" * 9]), min_size=1, max_size=9), st.sampled_from([0, 20, 61]), st.sampled_from(["", "q", "id_", "ab"]))
+def test_spans_of_finds_in_base64_equal_a_naive_map(parts, width, prefix):
+    hidden = " ".join(parts)
+    run = prefix + base64.b64encode(hidden.encode()).decode().rstrip("=")
+    text = "é " + ("\n".join(run[i : i + width] for i in range(0, len(run), width)) if width else run) + " ."
+    place = [i for i, c in enumerate(text) if c not in "é .\n"]  # of each character of the run
+    if len(place) < 16:
+        return
+    offset = lambda i: len(hidden[:i].encode())
+    want = {(place[len(prefix) + offset(a) * 4 // 3], place[len(prefix) - (-offset(b) * 4 // 3) - 1] + 1, kind) for a, b, kind in plain_scan(hidden)}
+    assert want <= set(secrets.find_secrets(text)[1])
+    assert len({x for x in want if x[2] == "assign"}) == sum(k == "assign" for *_, k in plain_scan(hidden))  # a span for each
+
+
+def test_long_runs_and_edges_of_blocks(monkeypatch):
+    import time
+
+    lines = "\n".join(f"line {i:06d} of a log" for i in range(190_000))  # 5 MB
+    run = "q" + base64.b64encode((lines[:3_700_000] + SECRET).encode()).decode()
+    began = time.time()
+    assert any(k == "assign" for _, _, k in secrets.find_secrets(f"x {run} y")[1]) and time.time() - began < 20
+    many = base64.b64encode("\n".join(f"key {i:040x}" for i in range(2000)).encode()).decode()
+    assert len([1 for *_, k in secrets.find_secrets(f"x q{many}")[1] if k == "hex"]) == 2000
+    monkeypatch.setattr(secrets, "BLOCK", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ,.") for _ in range(n))
+    code = lambda x: base64.b64encode(x).decode()
+    for before in (0, 3000, 4090, 9000):
+        nested = code((noise(20_000).replace(",", "/") + SECRET + noise(9000)).encode())  # a run over many blocks
+        assert any(k == "assign" for *_, k in secrets.find_secrets("x " + code(gzip.compress((noise(before) + " , " + nested + " , " + noise(5000)).encode())))[1])
+        for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+            inner = noise(before).encode() + b"\x00\x01hd" + pack((noise(6000) + SECRET).encode()) + noise(6000).encode()
+            assert any(k == "assign" for *_, k in secrets.find_secrets("x " + code(gzip.compress(inner)))[1]), (before, pack)
+
+
 def test_deeply_nested_escapes_are_linear():
     import time
 

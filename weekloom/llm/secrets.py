@@ -14,9 +14,10 @@ import itertools
 import lzma
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +39,16 @@ UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-F
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++)={0,2}")
 SEGMENT = re.compile(r"[A-Za-z0-9+/_-]+")
 SHORTEST = 16
-#: What a byte that is not UTF-8 becomes.
-UNREADABLE = re.compile("[\udc80-\udcff]")
 URLSAFE = str.maketrans("-_", "+/")
 #: Where compressed data begin: gzip, zlib, bzip2, xz.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00", re.DOTALL)
 #: Six ASCII characters in UTF-16, of either byte order.
 WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){6}")
-#: Unpacked data are read in blocks of so many bytes, which overlap.
+#: Unpacked data are read in blocks of about so many bytes, which overlap; a run of what encoded text is made of is never cut, however long.
 BLOCK, OVERLAP = 1 << 22, 1 << 16
+RUNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;{} \t\r\n"
+#: Packed data inside packed data, so deep: some unpack to themselves.
+DEEPEST = 100
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -96,25 +98,49 @@ def unpacked(source: Iterator[bytes]) -> Iterator[bytes]:
         return
 
 
-def layers_of(data: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
-    """Overlapping blocks of unpacked data, and of those packed inside them at their beginning."""
-    first = b""
-    while len(first) < BLOCK and (more := next(data, b"")):
-        first += more
-    rest = itertools.chain([first], data)
-    if PACKED.match(first) and depth < 100:  # data that unpack to themselves would not end
-        rest, twin = itertools.tee(rest)
-        yield from layers_of(unpacked(twin), depth + 1)
-    held = b""
-    for part in rest:
+def may_unpack(start: bytes) -> bool:
+    """Whether these bytes, which look like the beginning of packed data, are one: those of bzip2 and xz by their marks, the others by what they give."""
+    if start[:3] == b"BZh":
+        return start[4:10] in (b"1AY&SY", b"\x17rE8P\x90")
+    return start[:1] == b"\xfd" or bool(next(unpacked(iter([start])), b""))
+
+
+def in_blocks(data: Iterator[bytes]) -> Iterator[bytes]:
+    """The data in overlapping blocks; a block ends before a run that goes on in the next."""
+    held, seen = b"", 0  # the first ``seen`` bytes of what is held were in a block before
+    for part in data:
         held += part
-        if len(held) >= BLOCK:
-            yield held
-            held = held[-OVERLAP:]
-    if held:
+        if len(held) - seen >= BLOCK:
+            end = len(held.rstrip(RUNS))
+            if end > seen:
+                yield held[:end]
+                at = max(0, end - OVERLAP)
+                held, seen = held[at:], end - at
+    if len(held) > seen or not seen:
         yield held
 
 
+def layers_of(data: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
+    """Blocks of unpacked data, and of those packed inside them, wherever they begin."""
+    data, rest = itertools.tee(data)
+    offset, tried, read = 0, -1, 0  # of the block, of the last beginning tried, of what the second reader has passed
+    waiting = b""
+    for block in in_blocks(data):
+        yield block
+        for m in PACKED.finditer(block) if depth < DEEPEST else ():
+            at = offset + m.start()
+            if at <= tried or not may_unpack(block[m.start() : m.start() + OVERLAP]):
+                continue
+            tried = at
+            while read + len(waiting) <= at:  # go on to where the packed data begin
+                read, waiting = read + len(waiting), next(rest)
+            rest, twin = itertools.tee(rest)
+            yield from layers_of(unpacked(itertools.chain([waiting[at - read :]], twin)), depth + 1)
+        offset += max(0, len(block) - OVERLAP)
+        while read + len(waiting) <= offset and (more := next(rest, b"")):  # what is behind needs no memory
+            read, waiting = read + len(waiting), more
+
+
 def texts_of(data: bytes) -> Iterator[tuple[str, int, int]]:
     """(text, number of its first byte, bytes a character or 0 if UTF-8); a byte that can't be read becomes one character."""
     yield data.decode("utf-8", "surrogateescape"), 0, 0
@@ -179,8 +205,11 @@ class Layer:
             data = base64.b64decode(part + "=" * (-len(part) % 4))
             for text, first, width in texts_of(data):
                 yield Decoded(text, self, segments, shift, first, width, above)
+            whole = None
             for packed in PACKED.finditer(data):
-                whole = Decoded(data.decode("latin-1"), self, segments, shift, 0, 1, above)
+                if not may_unpack(data[packed.start() : packed.start() + OVERLAP]):
+                    continue
+                whole = whole or Decoded(data.decode("latin-1"), self, segments, shift, 0, 1, above)
                 for block in layers_of(unpacked(iter([data[packed.start() :]]))):
                     begin, end = whole.stretch(packed.start(), len(data))
                     for text, _, _ in texts_of(block):
@@ -199,40 +228,31 @@ class Layer:
 
 
 class Decoded(Layer):
-    """What base64 holds; a find stems from the lines that hold it, from where their data can have begun."""
+    """What base64 holds; a find stems from the characters that hold its bytes."""
 
     def __init__(self, text: str, parent: Layer, segments: list, shift: int, first: int, width: int, above: frozenset):
         super().__init__(text, *parent.stretch(segments[0][0], segments[-1][1]), above)
         self.parent, self.segments, self.shift, self.first, self.width = parent, segments, shift, first, width
-
-        self.plain, self.bad = text.isascii(), None
+        self.edges = list(itertools.accumulate((b - a for a, b in segments), initial=0))
+        self.bytes_before = None
 
     def _byte(self, at: int) -> int:
-        return self.first + (at * self.width if self.width else at if self.plain else len(self.text[:at].encode("utf-8", "surrogateescape")))
-
-    def _after_bad(self, at: int) -> int:
-        """The first character behind all unreadable ones before ``at``; data of one byte a character are not text, so ``at`` itself."""
-        if self.width or self.plain:
-            return at if self.width == 1 else 0
-        if self.bad is None:
-            self.bad = [0, *(m.end() for m in UNREADABLE.finditer(self.text))]
-        return self.bad[bisect_right(self.bad, at) - 1]
+        """The number of the byte with which a character begins."""
+        if self.width or self.text.isascii():
+            return self.first + at * (self.width or 1)
+        if self.bytes_before is None:
+            points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+            sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            sizes[(points >= 0xDC80) & (points <= 0xDCFF)] = 1  # a byte that can't be read
+            self.bytes_before = np.concatenate([[0], np.cumsum(sizes)])
+        return self.first + int(self.bytes_before[at])
 
     def stretch(self, start: int, end: int) -> tuple[int, int]:
-        one, two = self.shift + self._byte(start) // 3 * 4, self.shift + -(-self._byte(end) * 4 // 3)
-        bad = self._after_bad(start)
-        least = self.shift + self._byte(bad) // 3 * 4 if bad else 0
-        at, begin, stop = 0, None, self.segments[-1][1]
-        for a, b in self.segments:
-            size = b - a
-            if begin is None and one < at + size:
-                starts = (p for p in range(max(least, at), one + 1) if p % 4 == self.shift and (p == at or self.parent.text[a + p - at - 1] in "/-_"))
-                begin = a + next(starts, at) - at
-            if two <= at + size:
-                stop = b
-                break
-            at += size
-        return self.parent.stretch(self.segments[-1][0] if begin is None else begin, stop)
+        one, two = self.shift + self._byte(start) * 4 // 3, self.shift - (-self._byte(end) * 4 // 3)
+        i, j = bisect_right(self.edges, one) - 1, bisect_left(self.edges, two) - 1
+        i, j = min(i, len(self.segments) - 1), min(j, len(self.segments) - 1)
+        begin, stop = self.segments[i][0] + one - self.edges[i], self.segments[j][0] + two - self.edges[j]
+        return self.parent.stretch(begin, min(stop, self.segments[j][1]))
 
 
 def find_secrets(text: str) -> tuple[list, list]:
