@@ -10,15 +10,19 @@ On the binned features the result is that of boosting on the rows: every split b
 from __future__ import annotations
 
 import datetime as dt
+import sys
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow, but no copy of this module
+
 
 @dataclass(frozen=True)
 class Bins:

@@ -102,3 +102,25 @@ def censored_bands(repaired: DataFrame) -> DataFrame:
     """A band of 3.5 days on either side of each censored week."""
     at = F.col("week").cast("timestamp")
     return repaired.where("is_censored").select(*SERIES, (at - F.expr("interval 84 hours")).alias("band_start"), (at + F.expr("interval 84 hours")).alias("band_end"))
+
+
+# What charts call their measures.
+COMPONENTS = {"base_units": "Base demand", "promo_uplift": "Promo uplift"}
+POSITIONS = {"projected_on_hand": "Projected on-hand", "target_position": "Target position"}
+
+
+def _long(rows: DataFrame, names: dict[str, str], label: str) -> DataFrame:
+    """A row for each of the named measures that a week has."""
+    shown = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return rows.unpivot([*SERIES, "week"], [*names], label, "units").where("units is not null").withColumn(label, shown[F.col(label)])
+
+
+def decomposition(repaired: DataFrame) -> DataFrame:
+    """(item_id, region, week, component, units): base and promotional demand of the series that had any uplift."""
+    lifted = repaired.groupBy(*SERIES).agg(F.sum("promo_uplift").alias("_up")).where(F.col("_up") > 0).select(*SERIES)
+    return _long(repaired.join(lifted, [*SERIES], "left_semi"), COMPONENTS, "component")
+
+
+def inventory_against_target(projection: DataFrame) -> DataFrame:
+    """(item_id, region, week, series, units): projected stock and what cover asks for."""
+    return _long(projection, POSITIONS, "series")

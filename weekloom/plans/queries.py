@@ -587,3 +587,13 @@ def orders_against_plan(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pipe.orders_against_plan(own.blended, own.projection))
 
 
+@query(f"""{R_SQL}, u as (select item_id, region from repaired group by all having sum(promo_uplift) > 0), l as (select r.* from repaired r semi join u using (item_id, region))
+select item_id, region, week, 'Base demand' as component, round(base_units, 6) as units from l where base_units is not null union all select item_id, region, week, 'Promo uplift', round(promo_uplift, 6) from l where promo_uplift is not null""")
+def demand_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pipe.decomposition(repaired(spark, d)))
+
+
+@query(f"""with recursive {o.PROJECTION_CHAIN}
+select item_id, region, week, 'Projected on-hand' as series, round(projected_on_hand, 6) as units from projection union all select item_id, region, week, 'Target position', round(target_position, 6) from projection""")
+def inventory_against_target(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pipe.inventory_against_target(projection(spark, d)))
