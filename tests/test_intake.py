@@ -49,3 +49,15 @@ def test_other_queries_live_without_what_the_operators_need(monkeypatch):
         left, sql = entry.queries(), entry.oracle_sql()
     assert "blend" in left and "pipeline" not in left and not any(n.startswith("op") and n[2].isdigit() for n in left) and "blend" in sql
     assert any("weekloom.llm.queries" in str(w.message) for w in said)
+
+
+def test_days_before_months_by_what_a_column_shows(spark):
+    df = spark.createDataFrame([("A", "E", "03/02/2025", "02/03/2025", "1"), ("A", "E", "17/02/2025", "02/17/2025", "2"), ("A", "E", None, " 2025-02-24 ", "3"), ("A", "E", "x", "17 Feb", "4")], "i string, r string, a string, b string, q string")
+    found = {r.source: r.day_first for r in uploads.date_formats(df, ["a", "b", "q"]).collect()}
+    assert found == {"a": True, "b": False, "q": False}
+    cells = {(r.source, r.format): r.cells for r in uploads.date_formats(df, ["a", "b"]).collect()}
+    assert cells["a", "d/M/yyyy"] == 2 and cells["a", "M/d/yyyy"] == 1 and cells["b", "M/d/yyyy"] == 2 and cells["b", "yyyy-MM-dd"] == 1
+    for source, weeks in (("a", ["2025-02-03", "2025-02-17"]), ("b", ["2025-02-03", "2025-02-17", "2025-02-24"])):
+        rows, warned = uploads.apply_mapping(df, "pos", {"item_id": "i", "region": "r", "week": source, "units_sold": "q"})
+        assert sorted(str(r.week) for r in rows.collect()) == weeks and len(warned) == 1
+    assert uploads.date_formats(df.limit(0), ["a"]).where("cells > 0 or day_first").isEmpty()

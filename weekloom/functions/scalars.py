@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Accepted date formats, in the order tried.
 DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss")
+#: In place of month before day, where a column shows that its days come first.
+DAY_FIRST = {"M/d/yyyy": "d/M/yyyy"}
 WEEK_LABEL = r"(?i)w(?:m|k)?\s*(?:week\s*)?(\d{2})(\d{2})"
 
 
@@ -45,10 +47,10 @@ def number(col: Column) -> Column:
     return F.trim(F.replace(col.cast("string"), F.lit(","), F.lit(""))).try_cast("double")
 
 
-def day(col: Column) -> Column:
-    """The first of DATE_FORMATS that fits, else null."""
+def day(col: Column, day_first: bool = False) -> Column:
+    """The first of DATE_FORMATS that fits, else null; days before months where both are numbers, if ``day_first``."""
     text = F.trim(col.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(DAY_FIRST.get(f, f) if day_first else f)) for f in DATE_FORMATS]).cast("date")
 
 
 def label_week(col: Column, calendar: WeekCalendar = WeekCalendar()) -> Column:
@@ -60,9 +62,9 @@ def label_week(col: Column, calendar: WeekCalendar = WeekCalendar()) -> Column:
     return F.date_add(start, (7 * F.greatest(F.lit(0), week - 1)).cast("int"))
 
 
-def week(col: Column, calendar: WeekCalendar = WeekCalendar()) -> Column:
+def week(col: Column, calendar: WeekCalendar = WeekCalendar(), day_first: bool = False) -> Column:
     """Monday of a label or date, mixed formats in one column."""
-    return F.when(F.regexp_extract(F.trim(col.cast("string")), WEEK_LABEL, 1) != "", label_week(col, calendar)).otherwise(monday(day(col)))
+    return F.when(F.regexp_extract(F.trim(col.cast("string")), WEEK_LABEL, 1) != "", label_week(col, calendar)).otherwise(monday(day(col, day_first)))
 
 
 def severity(ratio: Column) -> Column:

@@ -597,3 +597,32 @@ def demand_decomposition(spark: SparkSession, d: str) -> DataFrame:
 select item_id, region, week, 'Projected on-hand' as series, round(projected_on_hand, 6) as units from projection union all select item_id, region, week, 'Target position', round(target_position, 6) from projection""")
 def inventory_against_target(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pipe.inventory_against_target(projection(spark, d)))
+
+
+# ---- formats of text columns ----------------------------------------------------------------------------
+
+_SAID = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "MMM dd, yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss")
+_SAID_SQL = ("%Y-%m-%d", "%m/%d/%Y", "%Y/%m/%d", "%d-%b-%Y", "%b %d, %Y", "%Y%m%d", "%Y-%m-%d %H:%M:%S")
+_READ_SQL = dict(zip((*scalars.DATE_FORMATS, *scalars.DAY_FIRST.values()), (*_SAID_SQL, "%d/%m/%Y"), strict=True))
+_TEXTS_SQL = f"""t as (select o_orderkey as k, case o_orderkey % 7 {" ".join(f"when {i} then strftime(o_orderdate, '{f}')" for i, f in enumerate(_SAID_SQL))} end as mixed,
+  strftime(o_orderdate, '%d/%m/%Y') as day_month, case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%d/%m/%Y') else strftime(o_orderdate, '%m/%d/%Y') end as both_ways from orders)"""
+_COLUMNS = ("mixed", "day_month", "both_ways")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    said = lambda f: F.date_format("o_orderdate", f)
+    mixed = F.element_at(F.array(*[said(f) for f in _SAID]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return orders.select(F.col("o_orderkey").alias("k"), mixed.alias("mixed"), said("dd/MM/yyyy").alias("day_month"), F.when(F.col("o_orderkey") % 2 == 0, said("dd/MM/yyyy")).otherwise(said("MM/dd/yyyy")).alias("both_ways"))
+
+
+@query(f"""with {_TEXTS_SQL}, s as (select source, v, regexp_extract(v, '^([0-9]+)/([0-9]+)/[0-9]+$', ['a', 'b']) as p from ({" union all ".join(f"select '{c}' as source, {c} as v from t" for c in _COLUMNS)})),
+w as (select source, v, try_cast(p.a as int) as a, try_cast(p.b as int) as b from s), e as (select source, count(case when a > 12 and b <= 12 then 1 end) > 0 and count(case when b > 12 and a <= 12 then 1 end) = 0 as day_first from w group by source)
+{" union all ".join(f"select source, '{f}' as format, count(try_strptime(v, '{q}')) as cells, any_value(day_first) as day_first from w join e using (source) group by source" for f, q in _READ_SQL.items())}""")
+def date_formats(spark: SparkSession, d: str) -> DataFrame:
+    return uploads.date_formats(_texts(spark, d), list(_COLUMNS))
+
+
+@query(f"""with {_TEXTS_SQL} select k, coalesce({", ".join(f"try_strptime(mixed, '{_READ_SQL[f]}')" for f in scalars.DATE_FORMATS)})::date as mixed, strptime(day_month, '%d/%m/%Y')::date as day_month from t""")
+def dates_of_any_format(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("k", scalars.day(F.col("mixed")).alias("mixed"), scalars.day(F.col("day_month"), day_first=True).alias("day_month"))
