@@ -72,10 +72,11 @@ def point_path(horizon: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.when(F.col("at") < 1, start).otherwise(ahead(h)))
 
 
-def statistical_forecast(history: DataFrame, origins: DataFrame, horizon: int, value: str = "units_unconstrained") -> DataFrame:
+def statistical_forecast(history: DataFrame, origins: DataFrame, horizon: int, value: str = "units_unconstrained", paths: DataFrame | None = None) -> DataFrame:
     """(item_id, region, as_of, last_week, lag, p10, p50, p90) for each series with history at an origin, lags 1 to ``horizon``.
 
-    One observation is carried on as all three; with under five residuals the band is the normal one of the history's spread."""
+    One observation is carried on as all three; with under five residuals the band is the normal one of the history's spread. Where
+    ``paths(item_id, region, as_of, path)`` has points, they stand in place of the method's own, inside the same band."""
     states = trailing_state(history, value)
     rows = as_of_history(states.select(*SERIES, "week", "y", "level", "trend", "resid", "at"), origins)
     last = F.max(F.struct("week", "y", "level", "trend", "at")).alias("last")
@@ -86,7 +87,9 @@ def statistical_forecast(history: DataFrame, origins: DataFrame, horizon: int, v
     low = F.least(F.lit(0.0), F.when(few, -Z90 * F.col("sd")).otherwise(F.col("q")[0]))
     high = F.greatest(F.lit(0.0), F.when(few, Z90 * F.col("sd")).otherwise(F.col("q")[1]))
     out = state.withColumn("q_low", F.when(n < 2, 0.0).otherwise(low)).withColumn("q_high", F.when(n < 2, 0.0).otherwise(high))
-    out = out.join(seasons(states), [*SERIES]).withColumn("path", point_path(horizon)).select(*ORIGIN, "week", "q_low", "q_high", F.posexplode("path").alias("i", "p50"))
+    out = out.join(seasons(states), [*SERIES]).withColumn("own", point_path(horizon))
+    out = out.withColumn("path", F.col("own")) if paths is None else out.join(paths, [*ORIGIN], "left").withColumn("path", F.coalesce("path", "own"))
+    out = out.select(*ORIGIN, "week", "q_low", "q_high", F.posexplode("path").alias("i", "p50"))
     lag = F.col("i") + 1
     grow = F.sqrt(lag.cast("double"))
     p10 = F.greatest(F.lit(0.0), F.least(F.col("p50"), F.col("p50") + F.col("q_low") * grow))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weekloom.operators.smoothing import CANDIDATES
 from weekloom.sources.driver_tables import FEEDS_SQL
 
 AS_OF = "1998-06-01"
@@ -141,6 +142,43 @@ forecast as (
 )"""
 )
 
+
+def smoothed(best_only: bool = False) -> str:
+    """The best smoothing model of each series and origin by a recursion over weeks, a row for each candidate; needs ``with recursive``."""
+    grid = ", ".join(f"({i}, '{c.trend}', {str(c.seasonal).lower()}, {c.alpha!r}::double, {c.beta!r}::double, {c.phi!r}::double, {c.gamma!r}::double, {c.terms})" for i, c in enumerate(CANDIDATES))
+    return f"""
+cand(id, trend, seasonal, alpha, beta, phi, gamma, terms) as (values {grid}),
+obs as (select item_id, region, week, units_unconstrained as y, (row_number() over (partition by item_id, region order by week))::int as n from repaired where units_unconstrained is not null),
+begun as (
+  select item_id, region, max(n) as size, avg(y) filter (n <= 10) as m, regr_slope(y, n) filter (n <= 10) as slope, avg(y) filter (n <= 52) as y1, avg(y) filter (n between 53 and 104) as y2, list(y order by n) filter (n <= 52) as ys from obs group by all
+),
+folds(item_id, region, id, n, l, b, s, sse) as (
+  select item_id, region, id, 0::int, case when seasonal then y1 when trend = 'none' then m else m - 5.5::double * slope end, case when trend = 'none' then 0::double when seasonal then (y2 - y1) / 52 else slope end,
+    case when seasonal then list_transform(ys, lambda x: x - y1) else []::double[] end, 0::double
+  from begun, cand where size >= 10 and (size >= 104 or not seasonal)
+  union all
+  select item_id, region, id, n, mu + alpha * e, phi * b + beta * e, case when seasonal then list_append(s[2:], s[1] + gamma * e) else s end, sse + e * e
+  from (
+    select f.item_id, f.region, f.id, o.n, l + phi * b as mu, o.y - (l + phi * b + coalesce(s[1], 0)) as e, b, s, sse, alpha, beta, phi, gamma, seasonal
+    from folds f join cand c on c.id = f.id join obs o on o.item_id = f.item_id and o.region = f.region and o.n = f.n + 1
+  )
+),
+lengths as (select item_id, region, as_of, max(n) as n from obs join origins on week <= as_of group by all having max(n) >= 10),
+tried as (
+  select k.item_id, k.region, k.as_of, k.n as n_weeks, c.*, l, b, s, k.n * ln(greatest(sse / k.n, 1e-12::double)) + 2 * terms + 2.0::double * terms * (terms + 1) / (k.n - terms - 1) as aicc
+  from lengths k join folds f on f.item_id = k.item_id and f.region = k.region and f.n = k.n join cand c on c.id = f.id where k.n >= 104 or not seasonal
+),
+best as (select * from tried qualify row_number() over (partition by item_id, region, as_of order by aicc, id) = 1)""" + ("" if best_only else """,
+smooth as (
+  select *, greatest(0, l + b * list_sum(list_transform(range(1, lag + 1), lambda i: power(phi, i))) + coalesce(s[(lag - 1) % 52 + 1], 0)) as pred from best, (select unnest(range(1, 9))::int as lag)
+),
+shown as (
+  select p.item_id, p.region, p.as_of, p.last_week, p.lag, p.ix, p.lo, p.hi, coalesce(s.pred, p.p50) as p50 from points p left join smooth s on s.item_id = p.item_id and s.region = p.region and s.as_of = p.as_of and s.lag = p.lag
+)""")
+
+
+SMOOTHED_PRED = "select f.item_id, f.region, f.as_of, t.target as week, f.p50 as pred from shown f join targets t on t.as_of = f.as_of and t.lag = f.lag"
+
 PLAN_AS_OF = """
 vintages as (select item_id, region, week, as_of, max_by(plan_units, plan_version_date) as plan_units, max(plan_version_date) as plan_version_date from plan join origins on plan_version_date <= as_of group by all)"""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.series import SERIES
-from weekloom.operators import alerts, backtest, forecast, ml, repair, translate
+from weekloom.operators import alerts, backtest, forecast, ml, repair, smoothing, translate
 from weekloom.sources.schemas import RunConfig
 from weekloom.sources.workspace import Workspace
 
@@ -41,13 +41,14 @@ def _given(df: DataFrame) -> DataFrame | None:
 
 def blended_forecast(repaired: DataFrame, plan: DataFrame | None, cfg: RunConfig, override: DataFrame | None = None) -> DataFrame:
     origins = repaired.sparkSession.createDataFrame([(cfg.as_of,)], "as_of date")
-    points = ml.overridden(forecast.statistical_forecast(repaired, origins, cfg.horizon_weeks), override)
+    tier = smoothing.smoothing_forecast if cfg.smoothing_enabled else forecast.statistical_forecast
+    points = ml.overridden(tier(repaired, origins, cfg.horizon_weeks), override)
     return forecast.blend(points, plan, cfg.horizon_weeks).select(*FORECAST_COLUMNS)
 
 
 def tidy_scores(repaired: DataFrame, inventory: DataFrame | None, shipments: DataFrame | None, plan: DataFrame | None, promo: DataFrame | None, cfg: RunConfig) -> DataFrame:
     """Scores of every method that has its inputs. Sell-in is scored on shipments, the others on unconstrained sell-out."""
-    tier = ml.ml_forecaster(promo, inventory, champion=True) if cfg.ml_enabled else backtest.statistical
+    tier = ml.ml_forecaster(promo, inventory, champion=True) if cfg.ml_enabled else smoothing.smoothing if cfg.smoothing_enabled else backtest.statistical
     parts = [backtest.backtest(backtest.naive, repaired, cfg, method="naive", check=False), backtest.backtest(tier, repaired, cfg, method="statistical", check=False)]
     if shipments is not None:
         panel = translate.shipped_panel(repaired, shipments)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.functions import scalars, series
-from weekloom.operators import alerts, backtest, forecast, ml, quality, translate
+from weekloom.operators import alerts, backtest, forecast, ml, quality, smoothing, translate
 from weekloom.operators import repair as rep
 from weekloom.plans import oracles as o
 from weekloom.plans import pipeline as pipe
@@ -346,6 +346,18 @@ def blend(spark: SparkSession, d: str) -> DataFrame:
     return rounded(blended(spark, d))
 
 
+@query(f"with recursive {o.FEEDS_SQL}, {o.REPAIR}, {o.ONE_ORIGIN}, {o.smoothed(best_only=True)} select item_id, region, as_of, n_weeks, trend, seasonal, round(alpha, 6) as alpha, round(beta, 6) as beta, round(phi, 6) as phi, round(gamma, 6) as gamma, round(aicc, 6) as aicc from best")
+def smoothing_models(spark: SparkSession, d: str) -> DataFrame:
+    """The exponential-smoothing model that each series' weeks prefer."""
+    return rounded(smoothing.smoothing_fits(repaired(spark, d), one_origin(spark), 8).drop("path"))
+
+
+@query(f"""with recursive {o.FORECAST_CHAIN}, {o.smoothed()}
+select item_id, region, as_of, last_week, lag, round(greatest(0, least(p50, p50 + case when ix < 1 then 0 else lo end * sqrt(lag))), 6) as p10, round(p50, 6) as p50, round(greatest(p50, p50 + case when ix < 1 then 0 else hi end * sqrt(lag)), 6) as p90 from shown""")
+def smoothing_forecast(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(smoothing.smoothing_forecast(repaired(spark, d), one_origin(spark), 8))
+
+
 # ---- translation ----------------------------------------------------------------------------------------
 
 J_SQL = f"{R_SQL}, {o.ROWS}"
@@ -455,6 +467,12 @@ def backtest_statistical(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.backtest(backtest.statistical, repaired(spark, d), CFG, method="statistical", check=False))
 
 
+@query(f"with recursive {o.BACKTEST_CHAIN}, {o.STATE}, {o.FORECAST}, {o.smoothed()} {o.scored(o.SMOOTHED_PRED, 'statistical')}")
+def backtest_smoothing(spark: SparkSession, d: str) -> DataFrame:
+    """The statistical method's row with exponential smoothing; one fold of a candidate serves all origins."""
+    return rounded(backtest.backtest(smoothing.smoothing, repaired(spark, d), CFG, method="statistical", check=False))
+
+
 @query(f"with {o.BACKTEST_CHAIN}, {o.PLAN_AS_OF} {o.scored(o.PLAN_PRED, 'plan')}")
 def backtest_plan(spark: SparkSession, d: str) -> DataFrame:
     own = Inputs(spark, d)
