@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.series import SERIES, by_series
-from weekloom.operators import stumps
+from weekloom.operators import quantiles, stumps
 from weekloom.operators.backtest import on_axis, reads_panel
 from weekloom.operators.forecast import ORIGIN, point_paths
 from weekloom.sources.schemas import RunConfig
@@ -23,7 +23,9 @@ from weekloom.sources.scratch import written
 # Fixed values.
 LEAST_HISTORY, LEVEL_ROWS, VALIDATION_WEEKS, CHAMPION_LAGS, MARGIN = 16, 13, 6, 4, 0.02
 ROUNDS, RATE, LEAF = 60, 0.12, 8
+QUANTILE_ROUNDS, QUANTILE_RATE = 40, 0.2
 LOW, HIGH = 0.10, 0.90
+LEVELS = {"p10": LOW, "p50": 0.50, "p90": HIGH}
 FEATURES = ("r_last", "r_mean2", "r_mean4", "r_mean8", "r_std8", "r_slope4", "r_yoy", "zero_frac8", "woy_sin", "woy_cos", "h", "promo_t", "promo_tgt", "inv_ratio")
 
 _RATIO, _SPREAD, _SLOPE, _WAVE = np.geomspace(0.2, 5.0, 31), np.geomspace(0.01, 2.0, 31), np.linspace(-0.5, 0.5, 31), np.linspace(-1.0, 1.0, 33)[1:-1]
@@ -95,6 +97,38 @@ def models_at(rows: DataFrame, cuts: Sequence[dt.date]) -> dict[dt.date, stumps.
     return stumps.fitted(rows, BINS, F.col("week_tgt"), "ratio", cuts, ROUNDS, RATE, LEAF)
 
 
+def quantile_rounds(rows: DataFrame) -> dict[str, stumps.Model]:
+    """A model for each of LEVELS on the ``training_rows``; every round is a pass over them."""
+    return dict(zip(LEVELS, quantiles.fitted(rows, BINS, "ratio", [*LEVELS.values()], QUANTILE_ROUNDS, QUANTILE_RATE, LEAF), strict=True))
+
+
+def quantile_points(ahead: DataFrame, models: dict[str, stumps.Model], dates: Sequence[dt.date]) -> DataFrame:
+    """(item_id, region, as_of, week, lag, p10, p50, p90) in units for ``rows_ahead``, not below 0 and in order; nulls where there was nothing to learn from."""
+    for name, m in models.items():
+        ahead = stumps.predictions(ahead, BINS, "as_of", dict.fromkeys(dates, m), name)
+    told = F.sort_array(F.array(*[F.greatest(F.lit(0.0), F.col(c) * F.col("level")) for c in LEVELS]))
+    points = F.when(F.col("p50").isNotNull(), told)
+    return ahead.withColumn("_p", points).select(*ORIGIN, F.col("week_tgt").alias("week"), F.col("h").cast("int").alias("lag"), *[F.col("_p")[i].alias(c) for i, c in enumerate(LEVELS)])
+
+
+def quantile_forecast(history: DataFrame, promo: DataFrame | None, inventory: DataFrame | None, as_of: dt.date, horizon: int, value: str = "units_unconstrained") -> DataFrame:
+    """``quantile_points`` of every series for the weeks after its last one not after ``as_of``, learnt from the weeks up to ``as_of`` alone."""
+    known = history.where(F.col("week") <= F.lit(as_of))
+    features = written(origin_features(known, promo, inventory, value), "ml-features")
+    models = quantile_rounds(training_rows(features, promo, horizon))
+    return quantile_points(rows_ahead(features, promo, [as_of], horizon), models, [as_of])
+
+
+def coverage(forecast: DataFrame, history: DataFrame, value: str = "units_unconstrained") -> DataFrame:
+    """One row a lag: how many actuals the forecast met, the shares not above each quantile, and the pinball loss over all levels a unit sold."""
+    actual = history.where(F.col(value).isNotNull()).select(*SERIES, "week", F.col(value).cast("double").alias("actual"))
+    met = forecast.where("p50 is not null").join(actual, [*SERIES, "week"])
+    miss = lambda c, q: F.greatest(q * (F.col("actual") - F.col(c)), (q - 1.0) * (F.col("actual") - F.col(c)))
+    under = [F.avg((F.col("actual") <= F.col(c)).cast("double")).alias(f"under_{c}") for c in LEVELS]
+    loss = sum(miss(c, q) for c, q in LEVELS.items())
+    return met.groupBy("lag").agg(F.count(F.lit(1)).alias("weeks"), *under, F.try_divide(F.sum(loss), F.sum(F.abs("actual"))).alias("pinball"))
+
+
 class Tier:
     """The model beside the statistical tier at several origins of one panel.
 
@@ -148,7 +182,8 @@ def champions(history: DataFrame, promo: DataFrame | None, inventory: DataFrame
 def sellout_override(history: DataFrame, promo: DataFrame | None, inventory: DataFrame | None, cfg: RunConfig) -> tuple[DataFrame | None, DataFrame]:
     """(p10, p50, p90 by lag of the champion series, or None when there are none; the champion series).
 
-    The band is that of the residuals, from their 10 % and 90 % quantiles, not above and not below 0, and widens with the root of the lag."""
+    The band is that of the residuals, from their 10 % and 90 % quantiles, not above and not below 0, and widens with the root of the lag. With
+    ``cfg.ml_quantiles`` the three come from quantile models instead, on the same rows."""
     known = history.where(F.col("week") <= F.lit(cfg.as_of))
     weeks = _weeks(known)
     tier = Tier(known, promo, inventory, weeks, weeks[-1:], cfg.horizon_weeks, "units_unconstrained") if weeks else None
@@ -159,6 +194,9 @@ def sellout_override(history: DataFrame, promo: DataFrame | None, inventory: Dat
     if won.isEmpty():
         return None, won
     last = F.lit(weeks[-1])
+    if cfg.ml_quantiles:
+        ahead = rows_ahead(tier.features, promo, weeks[-1:], cfg.horizon_weeks).join(won, [*SERIES], "left_semi")
+        return quantile_points(ahead, quantile_rounds(tier.rows), weeks[-1:]).drop("as_of"), won
     own = stumps.predictions(tier.rows.select(*FEATURES, F.col("ratio").alias("target"), last.alias("as_of")), BINS, "as_of", tier.models, "ratio")
     low, high = own.select(F.percentile(F.col("target") - F.col("ratio"), F.array(F.lit(LOW), F.lit(HIGH)))).first()[0]
     ahead = scored.where(F.col("as_of") == last).join(won, [*SERIES], "left_semi")

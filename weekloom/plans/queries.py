@@ -27,7 +27,7 @@ KEYS = ("item_id", "region", "week")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ROWS_ONLY = {"ml_champion": "a boosted model", "backtest_champion": "the same at every origin"}
+ROWS_ONLY = {"ml_champion": "a boosted model", "backtest_champion": "the same at every origin", "ml_quantiles": "boosted models", "ml_quantile_coverage": "the same"}
 
 
 def query(sql: str | None = None):
@@ -574,6 +574,21 @@ def ml_champion(spark: SparkSession, d: str) -> DataFrame:
     return ml.champions(own.repaired.where(F.col("week") <= F.lit(AS_OF)), own.promo, own.inventory, CFG.horizon_weeks)
 
 
+@query()
+def ml_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """P10, P50 and P90 of every series from boosted quantile models."""
+    own = Inputs(spark, d)
+    return rounded(ml.quantile_forecast(own.repaired, own.promo, own.inventory, AS_OF, CFG.horizon_weeks))
+
+
+@query()
+def ml_quantile_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What share of the weeks held out after an earlier date came in under each quantile."""
+    own = Inputs(spark, d)
+    held = ml.quantile_forecast(own.repaired, own.promo, own.inventory, AS_OF - dt.timedelta(weeks=CFG.horizon_weeks), CFG.horizon_weeks)
+    return rounded(ml.coverage(held, own.repaired))
+
+
 # ---- views ----------------------------------------------------------------------------------------------
 
 

@@ -57,6 +57,7 @@ class RunConfig:
     order_cadence_weeks: int = 1
     reaction_lag_weeks: int = 1
     ml_enabled: bool = False
+    ml_quantiles: bool = False
     smoothing_enabled: bool = False
     deviation_threshold: float = 0.15
     backtest_weeks: int = 26
