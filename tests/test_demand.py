@@ -358,3 +358,30 @@ def test_stream_of_files(spark, feeds, tmp_path):
     for _ in range(2):
         ingest(spark, f"{tmp_path}/in", "promo", ws, f"{tmp_path}/checkpoint").awaitTermination()
     assert ws.list_snapshots("promo").count() == 1 and ws.read_canonical("promo").count() == 180
+
+
+def test_coverage_moves_and_gaps_equal_sets_of_series_by_week(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"I{i}", None if i == 3 else "E", at(n)) for i in range(6) for n in range(40) if n not in (7, 8, 30) and rng.random() < 0.7 for _ in range(1 + (n % 5 == 0))]
+    df = spark.createDataFrame([*rows, ("I9", "E", None)], "item_id string, region string, week date")
+    by_week = {}
+    for i, r, w in rows:
+        by_week.setdefault(w, set()).add((i, r))
+    weeks = sorted(by_week)
+    want = set()
+    for before, week in zip(weeks, weeks[1:], strict=False):
+        want |= {(week, *s, "added", len(by_week[before])) for s in by_week[week] - by_week[before]} | {(week, *s, "dropped", len(by_week[before])) for s in by_week[before] - by_week[week]}
+    got = [tuple(r) for r in quality.coverage_moves(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    shifts = {r.week: r for r in quality.coverage_shifts(df, 0.5).collect()}
+    flagged = {w for w in weeks[1:] if (many := [m for m in want if m[0] == w]) and len(many) / max(1, many[0][4]) >= 0.5}
+    assert set(shifts) == flagged and flagged
+    for w, r in shifts.items():
+        assert (r.n_added, r.n_dropped) == tuple(sum(m[0] == w and m[3] == c for m in want) for c in ("added", "dropped"))
+        assert r.added == (", ".join(sorted(f"{m[1]}|{m[2] or ''}" for m in want if m[0] == w and m[3] == "added")) or "—")
+    gaps = {(r.item_id, r.region, r.missing_week) for r in quality.series_gaps(df.distinct()).collect()}
+    own = {}
+    for i, r, w in rows:
+        own.setdefault((i, r), set()).add(w)
+    assert gaps == {(*s, at(n)) for s, has in own.items() for n in range(40) if min(has) < at(n) < max(has) and at(n) not in has}
+    assert quality.coverage_moves(df.limit(0)).isEmpty() and quality.series_gaps(df.limit(0)).isEmpty()

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.functions.series import islands, median
+from weekloom.functions.series import SERIES, by_series, islands, median
 from weekloom.sources.schemas import REFERENCES, fields_of, grain
 
 ORDER = ("pass", "warn", "fail")
@@ -45,6 +45,13 @@ def missing_weeks(df: DataFrame) -> DataFrame:
     return grid.join(present, "week", "left_anti").select(F.col("week").alias("missing_week"))
 
 
+def series_gaps(df: DataFrame) -> DataFrame:
+    """(item_id, region, missing_week): weeks of each series' seven-day grid, between its own first and last, that have no row."""
+    steps = df.where("week is not null").select(*SERIES, "week", F.lead("week").over(by_series()).alias("_next")).where(F.col("_next") > F.date_add("week", 7))
+    grid = F.sequence(F.date_add("week", 7), F.date_sub("_next", 1), F.expr("interval 7 day"))
+    return steps.select(*SERIES, F.explode(grid).alias("missing_week"))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")]
 
@@ -80,25 +87,36 @@ def duplicates(stream: str, df: DataFrame) -> DataFrame:
     return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n > 1").drop("_n")
 
 
+def coverage_moves(df: DataFrame) -> DataFrame:
+    """(week, item_id, region, change, base): a row for each series that a week has and the feed's week before it hadn't ("added"), or the other way round
+    ("dropped"), with that earlier week's number of series.
+
+    A series moves where its neighbouring row isn't of the neighbouring week, so one window by series finds both; only the week axis is joined."""
+    there = df.where("week is not null").select(*SERIES, "week").repartition(*SERIES).distinct()
+    order = Window.orderBy("week")  # one row a week
+    weeks = there.groupBy("week").agg(F.count(F.lit(1)).alias("n")).select("week", F.row_number().over(order).alias("at"), F.lag("n").over(order).alias("base"))
+    w = by_series()
+    near = there.join(F.broadcast(weeks.select("week", "at")), "week").withColumn("_b", F.lag("at").over(w)).withColumn("_a", F.lead("at").over(w))  # weeks: one row each
+    move = lambda when, at, change: F.when(when, F.struct(at.alias("at"), F.lit(change).alias("change")))
+    came = move(F.col("_b").isNull() | (F.col("_b") < F.col("at") - 1), F.col("at"), "added")
+    went = move(F.col("_a").isNull() | (F.col("_a") > F.col("at") + 1), F.col("at") + 1, "dropped")
+    moves = near.select(*SERIES, F.explode(F.array_compact(F.array(came, went))).alias("m")).select(*SERIES, "m.at", "m.change")
+    return moves.join(F.broadcast(weeks.where("base is not null")), "at").select("week", *SERIES, "change", "base")  # the first week has none before it, the last none after
+
+
 def coverage_shifts(df: DataFrame, threshold: float = 0.30) -> DataFrame:
-    """Weeks in which series added and dropped since the week before amount to the threshold's share of that week's.
+    """(week, n_added, n_dropped, added, dropped) where the series that came and went amount to the threshold's share of the week before.
 
-    Series are counted as rows of adds and drops; no set of all series is built, and names are listed for the weeks found only."""
+    Names are for reading, listed for the weeks found only; ``coverage_moves`` has them as rows, for feeds of very many series."""
+    moves = coverage_moves(df)
+    many = lambda change: F.count_if(F.col("change") == change)
+    by_week = moves.groupBy("week").agg(many("added").alias("n_added"), many("dropped").alias("n_dropped"), F.max("base").alias("base"))
+    found = by_week.where((F.col("n_added") + F.col("n_dropped")) / F.greatest(F.lit(1), F.col("base")) >= threshold).drop("base")
     series = F.concat_ws("|", F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("region").cast("string"), F.lit("")))
-    there = df.where("week is not null").select("week", series.alias("series")).distinct()
-    sizes = there.groupBy("week").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("week")  # one row a week
-    weeks = sizes.select("week", "n", F.lag("week").over(order).alias("before"), F.lag("n").over(order).alias("base"), F.lead("week").over(order).alias("after"))
-    own = there.join(weeks.select("week", "before", "after"), "week")
-    gains = own.where("before is not null").join(there.select(F.col("week").alias("before"), "series"), ["before", "series"], "left_anti").select("week", "series", F.lit(1).alias("added"))
-    losses = own.where("after is not null").select(F.col("after").alias("w"), "series").join(there.select(F.col("week").alias("w"), "series"), ["w", "series"], "left_anti").select(F.col("w").alias("week"), "series", F.lit(0).alias("added"))
-    moved = gains.unionByName(losses)
-    listed = lambda flag: F.array_join(F.array_sort(F.collect_list(F.when(F.col("added") == flag, F.col("series")))), ", ")
-    churn = moved.groupBy("week").agg(F.sum("added").cast("long").alias("n_added"), F.sum(1 - F.col("added")).cast("long").alias("n_dropped")).join(weeks.select("week", "base"), "week")
-    churn = churn.where((F.col("n_added") + F.col("n_dropped")) / F.greatest(F.lit(1), F.col("base")) >= threshold).drop("base")
-    names = moved.join(churn.select("week"), "week", "left_semi").groupBy("week").agg(listed(1).alias("added"), listed(0).alias("dropped"))
+    listed = lambda change: F.array_join(F.array_sort(F.collect_list(F.when(F.col("change") == change, series))), ", ").alias(change)
+    names = moves.join(F.broadcast(found.select("week")), "week", "left_semi").groupBy("week").agg(listed("added"), listed("dropped"))  # a row a week
     dash = lambda c: F.when(F.col(c) == "", "—").otherwise(F.col(c)).alias(c)
-    return churn.join(names, "week").select("week", "n_added", "n_dropped", dash("added"), dash("dropped"))
+    return found.join(names, "week").select("week", "n_added", "n_dropped", dash("added"), dash("dropped"))
 
 
 def unmatched_items(df: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -106,11 +124,11 @@ def unmatched_items(df: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return df.select(F.col("item_id").cast("string").alias("unmatched_item_id")).distinct().join(known, "unmatched_item_id", "left_anti")
 
 
-def phantom_runs(inventory: DataFrame, pos: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of consecutive rows with stock on hand and no sell-out; a missing sell-out row counts as none."""
+def phantom_runs(inventory: DataFrame, pos: DataFrame, least: int = 3, idle: float = 0.0) -> DataFrame:
+    """Runs of consecutive rows with stock on hand and no sell-out, or none above ``idle`` units; a missing sell-out row counts as none."""
     sold = pos.select("item_id", "region", "week", "units_sold")
     both = inventory.join(sold, ["item_id", "region", "week"], "left")
-    return islands(both.withColumn("_s", (F.col("on_hand_units") > 0) & (F.coalesce("units_sold", F.lit(0.0)) == 0)), "_s", least)
+    return islands(both.withColumn("_s", (F.col("on_hand_units") > 0) & (F.coalesce("units_sold", F.lit(0.0)) <= idle)), "_s", least)
 
 
 def reference_problems(name: str, df: DataFrame) -> DataFrame:

@@ -157,10 +157,12 @@ def qc_freshness(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.freshness_frame(feeds.pos(spark, d), "1998-12-28"))
 
 
-@query(f"""{F_SQL}, p as (select distinct week from pos where region = 'ASIA' and units_sold > 220)
-select g as missing_week from (select unnest(generate_series(min(week), max(week), interval 7 day))::date as g from p) where g not in (select week from p)""")
+@query(f"""{F_SQL}, r as (select item_id, region, min(week) as a, max(week) as b from pos group by all),
+g as (select item_id, region, unnest(generate_series(a, b, interval 7 day))::date as missing_week from r)
+select g.* from g anti join pos p on p.item_id = g.item_id and p.region = g.region and p.week = g.missing_week""")
 def qc_date_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return quality.missing_weeks(feeds.pos(spark, d).where("region = 'ASIA' and units_sold > 220"))
+    """The weeks that each series lacks."""
+    return quality.series_gaps(feeds.pos(spark, d))
 
 
 @query("select c_custkey, c_acctbal from customer where c_acctbal < 0 or c_custkey < 0")
@@ -187,17 +189,27 @@ def qc_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicates("pos", lines.select(F.col("l_orderkey").cast("string").alias("item_id"), F.col("l_linenumber").cast("string").alias("region"), day.alias("week"), F.col("l_quantity").alias("units_sold")))
 
 
-@query(f"""{F_SQL},
-t as (select distinct week, item_id || '|' || region as s from pos where units_sold > 100),
-w as (select week, lag(week) over (order by week) as b, count(*) as n from t group by week),
-x as (select week, b, lag(n) over (order by week) as base from w),
-a as (select x.week, t.s from x join t using (week) where b is not null and not exists (select 1 from t u where u.week = x.b and u.s = t.s)),
-g as (select x.week, t.s from x join t on t.week = x.b where not exists (select 1 from t u where u.week = x.week and u.s = t.s)),
-c as (select x.week, (select count(*) from a where a.week = x.week) as n_added, (select count(*) from g where g.week = x.week) as n_dropped, base,
-  coalesce((select string_agg(s, ', ' order by s) from a where a.week = x.week), '—') as added, coalesce((select string_agg(s, ', ' order by s) from g where g.week = x.week), '—') as dropped from x where b is not null)
-select week, n_added, n_dropped, added, dropped from c where n_added + n_dropped > 0 and (n_added + n_dropped) / greatest(1, base)::double >= 0.3""")
+_MOVES = """
+t as (select distinct week, item_id, region from pos),
+x as (select week, lag(week) over (order by week) as b, lag(n) over (order by week) as base from (select week, count(*) as n from t group by week)),
+moves as (
+  select x.week, t.item_id, t.region, 'added' as change, base from x join t on t.week = x.week where b is not null and not exists (select 1 from t u where u.week = x.b and u.item_id = t.item_id and u.region = t.region)
+  union all select x.week, t.item_id, t.region, 'dropped', base from x join t on t.week = x.b where not exists (select 1 from t u where u.week = x.week and u.item_id = t.item_id and u.region = t.region)
+)"""
+
+
+@query(f"""{F_SQL}, {_MOVES}, c as (select week, count(*) filter (change = 'added') as n_added, count(*) filter (change = 'dropped') as n_dropped, max(base) as base,
+  string_agg(item_id || '|' || region, ', ' order by item_id || '|' || region) filter (change = 'added') as came, string_agg(item_id || '|' || region, ', ' order by item_id || '|' || region) filter (change = 'dropped') as went from moves group by week)
+select week, n_added, n_dropped, coalesce(came, '—') as added, coalesce(went, '—') as dropped from c where (n_added + n_dropped) / greatest(1, base)::double >= 0.02""")
 def qc_coverage_shift(spark: SparkSession, d: str) -> DataFrame:
-    return quality.coverage_shifts(feeds.pos(spark, d).where("units_sold > 100"))
+    """At a threshold of 2 %, because few series of these tables ever stop."""
+    return quality.coverage_shifts(feeds.pos(spark, d), 0.02)
+
+
+@query(f"{F_SQL}, {_MOVES} select week, item_id, region, change, base from moves")
+def qc_coverage_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Which series came and went, a row each."""
+    return quality.coverage_moves(feeds.pos(spark, d))
 
 
 @query("select distinct p_type as unmatched_item_id from part where p_type not in (select p_type from part where p_type < 'M')")
@@ -207,12 +219,13 @@ def qc_crosswalk_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{F_SQL},
-b as (select i.item_id, i.region, i.week, i.on_hand_units > 0 and coalesce(p.units_sold, 0) = 0 as f from inv i left join (select * from pos where units_sold > 120) p using (item_id, region, week)),
+b as (select i.item_id, i.region, i.week, i.on_hand_units > 0 and coalesce(p.units_sold, 0) <= 120 as f from inv i left join pos p using (item_id, region, week)),
 r as (select *, row_number() over (partition by item_id, region order by week) as n from b),
 g as (select *, n - row_number() over (partition by item_id, region order by week) as k from r where f)
 select item_id, region, count(*) as run_weeks, min(week) as start_week, max(week) as end_week from g group by item_id, region, k having count(*) >= 3""")
 def qc_phantom_runs(spark: SparkSession, d: str) -> DataFrame:
-    return quality.phantom_runs(feeds.channel_inventory(spark, d), feeds.pos(spark, d).where("units_sold > 120"))
+    """Weeks of up to 120 units count as idle."""
+    return quality.phantom_runs(feeds.channel_inventory(spark, d), feeds.pos(spark, d), idle=120.0)
 
 
 # ---- scalars, coercion, reshaping -----------------------------------------------------------------------
