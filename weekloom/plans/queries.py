@@ -237,7 +237,7 @@ def week_snap_agg(spark: SparkSession, d: str) -> DataFrame:
     return events.groupBy(scalars.monday(F.col("ts")).alias("week"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
-_YEARS = (1994, 1995, 1996, 1997)
+_YEARS = tuple(range(1992, 1999))
 
 
 @query(f"{F_SQL}, s as (select item_id, region, year(week) as y, sum(units_sold) as v from pos group by all) " + " union all ".join(f"select k.item_id, k.region, 'y{y}' as week, v as units_sold from (select distinct item_id, region from pos) k left join s on s.item_id = k.item_id and s.region = k.region and y = {y}" for y in _YEARS))
