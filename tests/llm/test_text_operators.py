@@ -225,6 +225,14 @@ def test_copies_and_ranges_of_one_host(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_pages_with_an_article_are_differenced(spark):
+    page = lambda own, menu: f"<nav><a>{menu}</a></nav><article><h1>{own}</h1><p>quoted line</p></article><p>Shared end</p><footer>&copy; h.x</footer><span class='ad'>Buy</span>"
+    rows = [(1, "http://h.x/a/1", page("alpha", "m1")), (2, "http://h.x/a/2", page("beta", "m2")), (3, "http://h.x/a/3", page("beta", "m3")), (4, "http://g.x/a/1", page("gamma", "m4"))]
+    got = {r.page_id: (r.text, r.n_shared, r.n_restored) for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # shared: the quoted line, which stays, and the end, the footer and the advert, which go
+    assert got == {1: ("alpha\nquoted line", 4, 1), 2: ("beta\nquoted line", 4, 1), 3: ("beta\nquoted line", 4, 1), 4: ("gamma\nquoted line", 0, 0)}
+
+
 def test_languages_on_held_out_rows(spark):
     rng = random.Random(5)
     words = {"en": "the and of with this from that".split(), "de": "der und nicht mit von ein für".split(), "fr": "les est dans pour une avec très".split()}

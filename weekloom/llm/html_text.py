@@ -1,11 +1,11 @@
-"""Main text of web pages: structure first, then nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing, checked by structure.
 
-A page is read into text blocks. Elements that never hold the article (menus, headers, footers, asides, forms, scripts, hidden ones, and those
-whose class, id or role names an advert, a notice, comments and the like) are left out. Blocks inside ``article`` or ``main`` are
-the article's, and if there are any, they are the text. For the others, pages are sorted by host and URL path, each is aligned with its
-nearest neighbour of the same host by a longest common subsequence of blocks, and what both share is template and deleted.
-
-Article blocks are not deleted for being shared: pages of one host quote each other's lines."""
+A page is read into text blocks. Pages are sorted by host and URL path, and each is aligned with its nearest neighbour of the same host
+by longest common subsequences of blocks; what both share is template and goes. Two checks by structure follow. Blocks inside ``article`` or ``main`` are
+the article's: they are put back, because pages of one host quote each other's lines, and if there are any, they are the text. Elements that
+never hold the article (menus, headers, footers, asides, forms, hidden ones, and those whose class, id or role names an advert, a notice,
+comments and the like) go also where they differ from page to page. They are aligned apart from the other blocks, so that a menu that moved
+costs no match."""
 
 from __future__ import annotations
 
@@ -63,9 +63,13 @@ def _role(tag: str, given: str, inside: bool) -> str:
     return ""
 
 
-def blocks(page: str) -> list[tuple[bool, str]]:
-    """(whether it is the article's, text) of each block that is not left out, in page order."""
-    out: list[tuple[bool, str]] = []
+#: Roles of blocks, in the low bits of their hashes.
+PLAIN, ARTICLE, TEMPLATE = 0, 1, 2
+
+
+def page_blocks(page: str) -> list[tuple[int, str]]:
+    """(role, text) of each block of a page, in page order."""
+    out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements with their role
     left_out = inside = 0
@@ -75,7 +79,7 @@ def blocks(page: str) -> list[tuple[bool, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((inside > 0, text))
+                out.append((TEMPLATE if left_out else ARTICLE if inside else PLAIN, text))
 
     def close(depth: int) -> None:
         nonlocal left_out, inside
@@ -88,7 +92,7 @@ def blocks(page: str) -> list[tuple[bool, str]]:
     while at < size:
         m = TOKEN.search(page, at)
         upto = m.start() if m else size
-        if upto > at and not left_out:
+        if upto > at:
             parts.append(page[at:upto])
         if not m:
             break
@@ -99,7 +103,7 @@ def blocks(page: str) -> list[tuple[bool, str]]:
         if m[1]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    if any(name in BLOCK for name, _ in stack[depth:]):
+                    if any(role or name in BLOCK for name, role in stack[depth:]):
                         flush()
                     close(depth)
                     break
@@ -159,12 +163,30 @@ def common(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[bool, str]], other: list[int] | None) -> str:
-    """The page's text, given its blocks and the hashes of its neighbour's."""
-    if any(mine for mine, _ in own):
-        return "\n".join(t for mine, t in own if mine)
-    shared = common([xxhash.xxh3_64_intdigest(t) for _, t in own], other) if other else set()
-    return "\n".join(t for i, (_, t) in enumerate(own) if i not in shared)
+def blocks(page: str) -> list[tuple[bool, str]]:
+    """(whether it is the article's, text) of each block that structure doesn't rule out, in page order."""
+    return [(role == ARTICLE, text) for role, text in page_blocks(page) if role != TEMPLATE]
+
+
+def block_hashes(own: list[tuple[int, str]]) -> np.ndarray:
+    """For each block 62 bits of its text's hash, then its role."""
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & ~3 | role for role, t in own], dtype="<u8")
+
+
+def shared_blocks(own: np.ndarray, other: np.ndarray) -> set[int]:
+    """Indices of the blocks that a neighbour's page has too, in an alignment of what structure rules out and one of the rest."""
+    out: set[int] = set()
+    for ruled_out in (False, True):
+        at = np.flatnonzero((own & np.uint64(3) == TEMPLATE) == ruled_out)
+        mate = other[(other & np.uint64(3) == TEMPLATE) == ruled_out]
+        out.update(at[sorted(common((own[at] >> np.uint64(2)).tolist(), (mate >> np.uint64(2)).tolist()))].tolist())
+    return out
+
+
+def main_text(own: list[tuple[bool, str]], shared: set[int] | None) -> str:
+    """The page's text, given its blocks and the indices of those that its neighbour shares."""
+    article = any(mine for mine, _ in own)
+    return "\n".join(t for i, (mine, t) in enumerate(own) if (mine if article else i not in (shared or ())))
 
 
 def _path(url: str | None) -> tuple[str, str]:
@@ -212,47 +234,56 @@ def _neighbours(lists: DataFrame) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: ``page_id, url, text, n_chars`` (code points). White space inside a block is one space, blocks are joined by a line feed.
-
-    Null or empty html and pages of nothing but template give an empty text. A page is compared with the neighbour (in the order of host,
-    path, url, id) whose path begins most like its own. Pages of a host with the very same blocks count once, where the first of them stands, and
-    have the same text; pages without blocks are nobody's neighbour. Pages with a null URL are a host of their own. Whole pages are read. Repeated rows
-    give repeated results; null ids are kept; other columns are ignored; an empty table gives an empty result."""
+    """Per page: ``page_id, url, text, n_chars`` (code points), ``n_shared, n_restored``. White space inside a block is one space, blocks are joined by a line feed.
+
+    n_shared counts the blocks of the whole page, menus and the like included, that its neighbour shares; n_restored those of them that are
+    the article's and stay. Null or empty html and pages of nothing but template give an empty text. Each page, with an article or without, is compared with the
+    neighbour (in the order of host, path, url, id) whose path begins most like its own. Pages of a host that are the same but for what structure rules out count once,
+    where the first of them stands, and have the same text; pages without other blocks are nobody's neighbour. Pages with a null URL are a host of their own. Whole pages are read;
+    they are read twice, so that no text is stored. Repeated rows give repeated results; null ids are kept; other columns are ignored; an empty table gives an empty result."""
+
+    def parsed(url: str | None, page: str | None) -> tuple[str, str, list[tuple[int, str]], np.ndarray, bytes | None]:
+        """(host, path, blocks, their hashes, key of those that structure doesn't rule out)"""
+        own = page_blocks(page or "")
+        hashes = block_hashes(own)
+        kept = hashes[hashes & np.uint64(3) != TEMPLATE]
+        return *_path(url), own, hashes, xxhash.xxh3_128_digest(kept.tobytes()) if len(kept) else None
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parsed(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([x[4] for x in found], pa.binary()), pa.array([x[3].tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "host", "path", "key", "hashes"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            host, path, held, keys, hashes, plain = [], [], [], [], [], []
-            for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h, p = _path(url)
-                own = blocks(page or "")
-                host.append(h)
-                path.append(p)
-                plain.append(not any(mine for mine, _ in own))
-                held.append(squeeze.compress("\n".join(t for mine, t in own if mine or plain[-1]).encode("utf-8", "surrogatepass")))
-                hashes.append(np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for _, t in own], dtype="<u8").tobytes())
-                keys.append(xxhash.xxh3_128_digest(hashes[-1]))
-            columns = [pa.array(host, pa.string()), pa.array(path, pa.string()), *[pa.array(x, pa.binary()) for x in (held, keys, hashes)], pa.array(plain, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "host", "path", "held", "key", "hashes", "plain"])
+            found = [parsed(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            held = [squeeze.compress("\n".join(t for role, t in x[2] if role != TEMPLATE).encode("utf-8", "surrogatepass")) for x in found]
+            columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[4] for x in found], pa.binary()), pa.array([x[3].tobytes() for x in found], pa.binary()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "host", "key", "hashes", "held"])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widen = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = []
-            for held, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text = widen.decompress(held, max_output_size=1 << 31).decode("utf-8", "surrogatepass")
-                if other:
-                    text = main_text([(False, t) for t in text.split("\n")] if text else [], np.frombuffer(other, "<u8").tolist())
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            texts, n_shared, n_restored = [], [], []
+            for hashes, held, other in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                own = np.frombuffer(hashes, "<u8")
+                roles = (own & np.uint64(3)).astype(np.int64)
+                shared = shared_blocks(own, np.frombuffer(other, "<u8")) if other else set()
+                kept = np.flatnonzero(roles != TEMPLATE).tolist()
+                lines = widen.decompress(held, max_output_size=1 << 31).decode("utf-8", "surrogatepass").split("\n") if kept else []
+                texts.append(main_text([(roles[i] == ARTICLE, t) for i, t in zip(kept, lines, strict=True)], {at for at, i in enumerate(kept) if i in shared}))
+                n_shared.append(len(shared))
+                n_restored.append(sum(roles[i] == ARTICLE for i in shared))
+            columns = [pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in (list(map(len, texts)), n_shared, n_restored)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "text", "n_chars", "n_shared", "n_restored"])
 
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    held = materialize(rows.mapInArrow(tidy(read), "page_id long, url string, host string, path string, held binary, key binary, hashes binary, plain boolean"), "pages-read")
-    alone = held.where("plain and length(hashes) > 0")
-    out = held.where("not plain or length(hashes) = 0").select("page_id", "url", "held", F.lit(None).cast("binary").alias("other"))
-    if not alone.isEmpty():
-        of_hosts = held.where("length(hashes) > 0").join(alone.select("host").distinct(), "host", "left_semi")
-        lists = of_hosts.groupBy("host", "key").agg(F.min(F.struct("path", "url", "page_id", "hashes")).alias("first")).select("host", "key", "first.*")
-        out = out.unionAll(alone.join(_neighbours(lists), ["host", "key"], "left").select("page_id", "url", "held", "other"))
-    return out.mapInArrow(tidy(differ), "page_id long, url string, text string, n_chars long")
+    outlines = rows.mapInArrow(tidy(outline), "page_id long, url string, host string, path string, key binary, hashes binary").where("key is not null")
+    lists = outlines.groupBy("host", "key").agg(F.min(F.struct("path", "url", "page_id", "hashes")).alias("first")).select("host", "key", "first.*")
+    near = materialize(_neighbours(lists).where("other is not null"), "page-neighbours")
+    texts = rows.mapInArrow(tidy(read), "page_id long, url string, host string, key binary, hashes binary, held binary")
+    out = texts.join(near, ["host", "key"], "left").select("page_id", "url", "hashes", "held", "other")
+    return out.mapInArrow(tidy(differ), "page_id long, url string, text string, n_chars long, n_shared long, n_restored long")
