@@ -2,6 +2,9 @@ import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from weekloom.llm import substring_dedup
 from weekloom.llm.jaccard_join import jaccard_join
 from weekloom.llm.shared import connected_components
 from weekloom.llm.substring_dedup import repeated_passages, tuned_bands
@@ -139,6 +142,47 @@ def test_wrapped_passages(spark):
         assert got[i + 2].components == got[i + 3].components != [] and got[i + 3].removals == "30:90"
 
 
+def test_words_equal_plain_splitting():
+    rng = random.Random(13)
+    texts = [None, b"", b" \n", b"A\nb\n\n c\x0b\x0cd\r\n", b"x" * 64 + b" " + b"x" * 65 + b"\t" + b"x" * 66, b"\x00 \x00\x00"]
+    texts += [bytes(rng.choice(b"aB \n\t\x00\x85\xa0") for _ in range(rng.randrange(200))) for _ in range(300)]
+    words, of_word = substring_dedup.Words(texts), {}
+    lines = iter([(a, b) for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True) if a < b])
+    for t, first, last in zip(texts, words.first.tolist(), words.last.tolist(), strict=True):
+        plain = [x.split() for x in (t or b"").lower().split(b"\n")]
+        flat = [w for x in plain for w in x]
+        assert last - first == len(flat) and words.inside[first:last].all()
+        assert all(of_word.setdefault(w, h) == h for w, h in zip(flat, words.values[first:last].tolist(), strict=True))
+        for x in filter(None, plain):
+            assert next(lines) == (first, first := first + len(x))
+    assert next(lines, None) is None and len(set(of_word.values())) == len(of_word) and words.inside.sum() == (words.last - words.first).sum()
+
+
+def test_what_is_stored_and_joined_by_prefixes(spark, monkeypatch):
+    rng = random.Random(14)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    hub, docs = fresh(60), []
+    for i in range(40):  # one large group, and 40 pairs of near copies
+        for base, at in ((hub, (0,)), (fresh(60), (1, 2))):
+            for k in at:
+                w = list(base)
+                if k != 1 and (i or k):
+                    w[rng.randrange(60)] = f"x{i}"
+                docs.append((3 * i + k, " ".join(w)))
+    rows, plain = [], substring_dedup.prefixes
+    monkeypatch.setattr(substring_dedup, "prefixes", lambda sets, *rest: rows.append(sets.count()) or plain(sets, *rest))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.components for r in repeated_passages(df).collect()}
+    assert 16 < rows[0] < 60  # not the 80 lines of short bands, whose pairs are compared at once
+    want, found, groups = brute(docs, 5, 80, 100), {}, {}
+    for d, c in want.items():
+        groups.setdefault(c, set()).add(d)
+        found.setdefault(tuple(got[d]), set()).add(d)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values())) and len(groups) == 41
+    units = substring_dedup._units(df.select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("_text")))
+    assert units.count() == 2 * len(docs)  # its line and one row of all pieces
+
+
 def test_bands():
     bands, rows = tuned_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)

@@ -191,16 +191,30 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return _passing(left, *_sides(_let_through(sets, ids)), does)
 
 
+def among(ids: DataFrame) -> Callable:
+    """Made anew in each task: of an array of numbers, which are in ``ids(id)``; a few others pass too."""
+    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(ids)))
+
+    def make() -> Callable:
+        bits = np.unpackbits(shared.value).astype(bool)
+
+        def test(numbers: np.ndarray) -> np.ndarray:
+            one, two = _bits(numbers)
+            return bits[one] & bits[two]
+
+        return test
+
+    return make
+
+
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The ``rows`` whose long ``key`` is in ``ids(id)``, and a few others, without a shuffle: what a join with ``ids`` need not move."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(ids)))
-    at = rows.columns.index(key)
+    make, at = among(ids), rows.columns.index(key)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        test = make()
         for batch in batches:
-            one, two = _bits(batch.column(at).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(bits[one] & bits[two], pa.bool_()))
+            yield batch.filter(pa.array(test(batch.column(at).to_numpy(zero_copy_only=False)), pa.bool_()))
 
     return rows.mapInArrow(tidy(keep), rows.schema)
 

@@ -9,15 +9,17 @@ In each component or piece the document with the smallest id keeps its copy; the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.jaccard_join import SHORT, linked_components, maybe_among, prefixes, sets_by_id, stored_sets, verified
-from weekloom.llm.shared import WordHashes, connected_components, discard, hashes_of, materialize, mix, ngram_hashes, tidy
+from weekloom.llm.jaccard_join import SHORT, among, linked_components, maybe_among, prefixes, sets_by_id, stored_sets, verified
+from weekloom.llm.shared import WordHashes, connected_components, discard, materialize, mix, ngram_hashes, tidy
 
 LEAST = 20
 REACH = 4
@@ -28,6 +30,8 @@ RECALL = 0.999
 WRAP = 40
 #: Places between two texts of a batch; more than content-defined cuts and shingles look ahead.
 GAP = 8
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def tuned_bands(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
@@ -55,25 +59,48 @@ def _summed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(each, at) + sizes.astype(np.uint64))
 
 
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [start, end) of ``raw``, eight bytes of all words at a time."""
+    sizes = ends - starts
+    eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    out = sizes.astype(np.uint64)
+    left = np.flatnonzero(sizes <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        if done:
+            left = left[sizes[left] > done]
+        unused = np.maximum(8 - (sizes[left] - done), 0).astype(np.uint64) * np.uint64(8)
+        out[left] = mix(out[left] * np.uint64(0x9E3779B97F4A7C15) + (eight[starts[left] + done] << unused))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
+
+
 class Words:
     """The words of a batch of texts in one array, with ``GAP`` places between texts, so that nothing near one text's end depends on the next text.
 
     starts and ends are those of its lines; a blank line stands between texts."""
 
-    def __init__(self, texts: list[bytes | None], cache: WordHashes):
-        lines = [[x.split() for x in t.lower().split(b"\n")] if t else [] for t in texts]
-        flat, _ = hashes_of([w for x in lines for w in x], cache)
-        counts = np.array([sum(map(len, x)) for x in lines], dtype=np.int64)
+    def __init__(self, texts: list[bytes | None]):
+        raw = b"\n\n".join([*(t or b"" for t in texts), b""]).lower()
+        seen = np.frombuffer(raw, np.uint8)
+        blank = (seen == 32) | (seen - np.uint8(9) < 5)
+        edges = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1))
+        at, to = edges[::2], edges[1::2]
+        flat = word_hashes(raw, at, to)
+        sizes = np.array([len(t or b"") + 2 for t in texts], dtype=np.int64)
+        begin = np.cumsum(sizes) - sizes
+        before = np.searchsorted(at, begin)  # words before each text
+        counts = np.diff(np.append(before, len(at)))
         self.first = np.cumsum(counts + GAP) - counts - GAP  # where each text begins
         self.last = self.first + counts
         self.values = np.zeros(int((counts + GAP).sum()), dtype=np.uint64)
         self.inside = np.zeros(len(self.values), dtype=bool)
-        place = np.arange(len(flat)) + np.repeat(self.first - (np.cumsum(counts) - counts), counts)
+        place = np.arange(len(flat)) + np.repeat(self.first - before, counts)
         self.values[place], self.inside[place] = flat, True
-        sizes = np.array([n for x in lines for n in (*map(len, x), 0)], dtype=np.int64)  # the 0 is the blank line
-        of = np.repeat(np.arange(len(lines)), [len(x) + 1 for x in lines])
-        before = np.cumsum(sizes) - sizes
-        self.starts = before + self.first[of] - (np.cumsum(counts) - counts)[of] if len(lines) else before
+        feeds = seen == 10
+        of = np.searchsorted(begin, np.flatnonzero(feeds), side="right") - 1  # the text of each line
+        sizes = np.bincount(np.cumsum(feeds)[at], minlength=len(of))
+        self.starts = np.cumsum(sizes) - sizes + (self.first - before)[of]
         self.ends = self.starts + sizes
 
     def text_of(self, places: np.ndarray) -> np.ndarray:
@@ -130,41 +157,114 @@ def signatures(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def packed(starts: np.ndarray, ends: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Runs of words in few bytes."""
+    return squeeze.compress(np.concatenate([np.diff(starts, prepend=0), ends - starts]).astype("<i4").tobytes())
+
+
+def unpacked(runs: bytes, widen: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of what ``packed`` gave."""
+    steps, sizes = np.frombuffer(widen.decompress(runs, max_output_size=1 << 31), "<i4").astype(np.int64).reshape(2, -1)
+    starts = np.cumsum(steps)
+    return starts, starts + sizes
+
+
 def _units(texts: DataFrame) -> DataFrame:
-    """Paragraphs (with bands) and pieces: ``id, text`` (a hash of it), ``hash, start, end, bands``."""
+    """``id, text`` (a hash of it) and either a paragraph (``hash, start, end`` and its bands, a column each) or all pieces of that text (``piece_hashes, piece_runs``)."""
+    bands = [f"band{i}" for i in range(BANDS)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             found = batch.column(1).to_pylist()
-            words = Words(found, cache)
+            words = Words(found)
             ids, names = batch.column(0).to_numpy(zero_copy_only=False), np.array([xxhash.xxh3_64_intdigest(t or b"") for t in found], dtype=np.uint64).view(np.int64)
             ls, le = words.paragraphs()
             ps, pe = words.pieces()
             keys = signatures(words.values, ls, le).view(np.int64)
-            hashes = np.concatenate([_summed(words.values, ls, le), _summed(words.values, ps, pe)])
-            starts, ends = np.concatenate([ls, ps]), np.concatenate([le, pe])
-            of = words.text_of(starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ls) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            bands = pa.concat_arrays([lists, pa.nulls(len(ps), lists.type)])
-            columns = [pa.array(ids[of], pa.int64()), pa.array(names[of], pa.int64()), pa.array(hashes.view(np.int64), pa.int64()), *[pa.array(x - words.first[of], pa.int32()) for x in (starts, ends)], bands]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text", "hash", "start", "end", "bands"])
+            of, of_piece = words.text_of(ls), words.text_of(ps)
+            order = np.argsort(of_piece, kind="stable")
+            ps, pe, of_piece = ps[order], pe[order], of_piece[order]
+            piece_hashes = _summed(words.values, ps, pe).astype("<u8")
+            full, bounds = np.unique(of_piece, return_index=True)
+            spans = [(a, b, first) for (a, b), first in zip(pairwise([*bounds.tolist(), len(ps)]), words.first[full].tolist(), strict=True)]
+            lines, texts = len(ls), len(full)
+            longs = [_summed(words.values, ls, le).view(np.int64), *keys.T]
+            columns = [pa.array(np.concatenate([x[of], x[full]]), pa.int64()) for x in (ids, names)]
+            columns += [pa.concat_arrays([pa.array(np.ascontiguousarray(x), t), pa.nulls(texts, t)]) for x, t in [(longs[0], pa.int64()), *[(x - words.first[of], pa.int32()) for x in (ls, le)], *[(x, pa.int64()) for x in longs[1:]]]]
+            columns += [pa.concat_arrays([pa.nulls(lines, pa.binary()), pa.array(x, pa.binary())]) for x in ([piece_hashes[a:b].tobytes() for a, b, _ in spans], [packed(ps[a:b] - first, pe[a:b] - first, squeeze) for a, b, first in spans])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text", "hash", "start", "end", *bands, "piece_hashes", "piece_runs"])
+
+    return texts.where("id is not null").mapInArrow(tidy(cut), f"id long, text long, hash long, start int, end int, {', '.join(f'{x} long' for x in bands)}, piece_hashes binary, piece_runs binary")
+
+
+def _piece_hashes(texts: DataFrame) -> DataFrame:
+    """``id, hash`` of each piece of ``texts(id, piece_hashes)``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(1).to_pylist()
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.frombuffer(b"".join(found), "<i8"), pa.int64())], ["id", "hash"])
 
-    return texts.where("id is not null").mapInArrow(tidy(cut), "id long, text long, hash long, start int, end int, bands array<long>")
+    return texts.select("id", "piece_hashes").mapInArrow(tidy(each), "id long, hash long")
+
+
+def _pieces_among(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``id, text, hash, start, end`` of the pieces of ``texts(id, text, piece_hashes, piece_runs)`` whose hash is in ``hashes(id)``, and of a few others."""
+    shared = among(hashes)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_among, widen = shared(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            found, runs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            values = np.frombuffer(b"".join(found), "<i8")
+            row = np.repeat(np.arange(len(found)), [len(x) // 8 for x in found])
+            kept = np.flatnonzero(is_among(values))
+            row, base = row[kept], np.cumsum([0, *[len(x) // 8 for x in found]])
+            starts, ends = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
+            some, bounds = np.unique(row, return_index=True)
+            for i, (a, b) in zip(some.tolist(), pairwise([*bounds.tolist(), len(row)]), strict=True):
+                one, two = unpacked(runs[i], widen)
+                starts[a:b], ends[a:b] = one[kept[a:b] - base[i]], two[kept[a:b] - base[i]]
+            columns = [pa.array(batch.column(i).to_numpy()[row], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[kept], pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "text", "hash", "start", "end"])
+
+    return texts.select("id", "text", "piece_hashes", "piece_runs").mapInArrow(tidy(keep), "id long, text long, hash long, start int, end int")
 
 
 def _line_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, hashes``: the shingle sets of the paragraphs whose hash is asked for (and a few others)."""
 
     def lines(docs: pa.Array, texts: pa.Array, cache: WordHashes) -> Iterator[tuple[np.ndarray, Callable]]:
-        words = Words(texts.to_pylist(), cache)
+        words = Words(texts.to_pylist())
         starts, ends = words.paragraphs()
         grams = ngram_hashes(words.values, SHINGLE)
-        yield _summed(words.values, starts, ends).view(np.int64), lambda i: np.unique(grams[starts[i] : ends[i] - SHINGLE + 1])
+
+        def distinct(i: int) -> np.ndarray:
+            own = np.sort(grams[starts[i] : ends[i] - SHINGLE + 1])
+            return own[np.append(True, own[1:] != own[:-1])]
+
+        yield _summed(words.values, starts, ends).view(np.int64), distinct
 
     return sets_by_id(texts, ids, lines)
 
 
+def joined(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of ``LEAST`` words or more that what overlaps or touches makes together, for rows of lists of ``start << 32 | end``."""
+    row = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    both = runs.flatten().to_numpy()
+    if not len(both):
+        return row, row, row
+    a, b = (row << 32) + (both >> 32), (row << 32) + (both & 0xFFFFFFFF)
+    order = np.argsort(a)
+    a, top = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.append(True, a[1:] > top[:-1]))
+    starts, ends = a[first], top[np.append(first[1:], len(a)) - 1]
+    kept = ends - starts >= LEAST
+    return starts[kept] >> 32, starts[kept] & 0xFFFFFFFF, ends[kept] & 0xFFFFFFFF
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_repeats, repeated_words, removed_words, spans, removals, components``.
 
@@ -174,11 +274,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count; rows that repeat an id are one document: the numbers of its different texts add up, their lists are joined by a semicolon, and a text that the id has twice counts once. Rows with a null id are left out. Other columns are ignored; an empty table gives an empty result."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_text"))
     units = materialize(_units(texts), "repeat-units")
-    lines, pieces = units.where("bands is not null"), units.where("bands is null").drop("bands")
+    lines, pieces = units.where("hash is not null"), units.where("hash is null")
+    bands = [f"band{i}" for i in range(BANDS)]
 
-    classes = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("bands").alias("bands"))
-    classes = materialize(classes, "repeat-classes")
-    banded = classes.select(F.col("hash").alias("id"), F.explode("bands").alias("shingle"))
+    classes = materialize(lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(x).alias(x) for x in bands]), "repeat-classes")
+    banded = classes.select(F.col("hash").alias("id"), F.explode(F.array(*bands)).alias("shingle"))
     shared = banded.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     collide = materialize(banded.join(shared, "shingle"), "repeat-bands")
     few, many = collide.where(F.col("m") <= SHORT), collide.where(F.col("m") > SHORT).select("id").distinct()
@@ -192,43 +292,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if many.isEmpty():
         found = connected_components(links, "repeat")
     else:  # a long band by an exact prefix join of its lines: comparing all its pairs would grow with its square
-        hot = prefixes(sets, stored_sets, NUM, DEN).drop("high", "low")  # the few lines of short bands with them: leaving them out would move all sets
+        # the pairs of short bands are linked already, so only the lines of long ones take part
+        hot = prefixes(maybe_among(sets, "id", many), stored_sets, NUM, DEN).drop("high", "low")
         found = linked_components(materialize(hot, "repeat-hot"), lambda _: sets, NUM, DEN, "repeat-hot", links)
     found = materialize(found, "repeat-near")
     discard(pairs, sets)
-    of_line = classes.join(found.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    of_line = classes.drop(*bands).join(found.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     groups = of_line.groupBy("component").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last")
     runs_of = ["id", "text", "start", "end", "component", "keeper"]
     repeated_lines = lines.select("hash", *runs_of[:4]).join(of_line.join(groups, "component").select("hash", "component", "keeper"), "hash").select(*runs_of)
 
-    twice = pieces.groupBy("hash").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "keeper")
+    twice = _piece_hashes(pieces).groupBy("hash").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "keeper")
     twice = materialize(twice, "repeat-twice")
-    repeated_pieces = maybe_among(pieces, "hash", twice.select("hash")).join(twice, "hash").withColumn("component", F.lit(None).cast("long")).select(*runs_of)
+    repeated_pieces = _pieces_among(pieces, twice.select("hash")).join(twice, "hash").withColumn("component", F.lit(None).cast("long")).select(*runs_of)
 
+    run = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
     runs = repeated_lines.unionAll(repeated_pieces).groupBy("id", "text").agg(  # of one text
-        F.collect_set(F.struct("start", "end")).alias("all"), F.collect_set(F.when(F.col("keeper") < F.col("id"), F.struct("start", "end"))).alias("go"), F.array_sort(F.collect_set("component")).alias("components")
+        F.collect_set(run).alias("all"), F.collect_set(F.when(F.col("keeper") < F.col("id"), run)).alias("go"), F.array_sort(F.collect_set("component")).alias("components")
     )
 
-    def joined(parts: list, least: int) -> list[list[int]]:
-        out: list[list[int]] = []
-        for a, b in sorted((p["start"], p["end"]) for p in parts):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return [x for x in out if x[1] - x[0] >= least]
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said = lambda spans: ",".join(f"{a}:{b}" for a, b in spans)
         for batch in batches:
-            every, go = ([joined(x, LEAST) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in every], pa.int64())]
-                + [pa.array([sum(b - a for a, b in x) for x in of], pa.int64()) for of in (every, go)]
-                + [pa.array([said(x) for x in of], pa.string()) for of in (every, go)]
-                + [pa.array([c if x else [] for c, x in zip(batch.column(4).to_pylist(), every, strict=True)], pa.list_(pa.int64()))],
-                ["id", "text", "n_repeats", "repeated_words", "removed_words", "spans", "removals", "components"],
-            )
+            n, said, words, counts = batch.num_rows, [], [], []
+            for i in (2, 3):
+                row, starts, ends = joined(batch.column(i))
+                counts.append(np.bincount(row, minlength=n))
+                words.append(np.bincount(row, weights=ends - starts, minlength=n).astype(np.int64))
+                each, bounds = [f"{a}:{b}" for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.cumsum([0, *counts[-1]]).tolist()
+                said.append([",".join(each[a:b]) for a, b in pairwise(bounds)])
+            named = [c if k else [] for c, k in zip(batch.column(4).to_pylist(), counts[0].tolist(), strict=True)]
+            columns = [*[pa.array(x, pa.int64()) for x in (counts[0], *words)], *[pa.array(x, pa.string()) for x in said], pa.array(named, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text", "n_repeats", "repeated_words", "removed_words", "spans", "removals", "components"])
 
     merged = runs.mapInArrow(tidy(merge), "id long, text long, n_repeats long, repeated_words long, removed_words long, spans string, removals string, components array<long>")
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("text", c)))), lambda x: x[c]), ";").alias(c)
